@@ -27,6 +27,7 @@ import json
 import re
 import unicodedata
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -45,7 +46,7 @@ _LETTERS = "a-zA-Zß-öø-ÿÀ-ÖØ-Þœ"
 _LATIN = re.compile(_PARTS + "|[" + _LETTERS + "]+|[0-9]|[^\\t-\\r 0-9" + _LETTERS + "]+")
 _PLAIN = re.compile("[\\x00-\\x7f" + _LETTERS + "]*")
 
-WORDS_KEPT = 200_000
+WORDS_KEPT = 300_000
 
 
 def byte_letters() -> list[str]:
@@ -58,6 +59,19 @@ def byte_letters() -> list[str]:
     return out
 
 
+class _Words(dict):
+    """Words by number; a word met for the first time gets the next number and waits in `new`."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        self.new.append(word)
+        return n
+
+
 class WordBpe:
     """A vocabulary with word ends; ids of words by speculation, of texts by gathering."""
 
@@ -67,12 +81,17 @@ class WordBpe:
         self.vocab: dict[str, int] = dict(model["vocab"])
         self.end: str = model["end_of_word_suffix"] or ""
         pairs = [m if isinstance(m, list) else m.split(" ", 1) for m in model["merges"]]
-        self.merges = {(self.vocab[a], self.vocab[b]): (rank, self.vocab[a + b]) for rank, (a, b) in enumerate(pairs)}
+        self.rank = {(self.vocab[a], self.vocab[b]): rank for rank, (a, b) in enumerate(pairs)}
+        self.made = [self.vocab[a + b] for a, b in pairs]
         self.special = {t["content"]: t["id"] for t in data["added_tokens"]}
         self.split_special = re.compile("(" + "|".join(re.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
         self.token = {i: t for t, i in [*self.vocab.items(), *self.special.items()]}
         self.letters = byte_letters()
-        self.longest = max(len(t.removesuffix(self.end)) for t in self.vocab)
+        # The longest token that begins with each pair of letters.
+        self.longest: dict[str, int] = {}
+        for t in self.vocab:
+            bare = t.removesuffix(self.end) if t != self.end else t
+            self.longest[bare[:2]] = max(self.longest.get(bare[:2], 1), len(bare))
         self.size = max(self.token) + 1
         self.good = np.zeros(0, np.int64)
         self.bad = np.zeros(0, np.int64)
@@ -81,13 +100,23 @@ class WordBpe:
         self._clear()
 
     def _clear(self) -> None:
-        self.index: dict[str, int] = {}
+        """An empty table of words, or the better half by use of a full one."""
+        old = getattr(self, "index", {})
+        keep = []
+        if old:
+            often = np.argsort(-self.used, kind="stable")[: self.kept // 2]
+            names = list(old)
+            keep = [(names[i], self.flat[self.starts[i] : self.starts[i] + self.counts[i]].tolist()) for i in np.sort(often[self.used[often] > 1]) if names[i] not in self.special]
+        self.index = _Words()
         self.counts = np.zeros(0, np.int64)
         self.starts = np.zeros(0, np.int64)
+        self.used = np.zeros(0, np.int64)
         self.flat = np.zeros(0, np.uint32)
         self.decoded: list[bytes] = []
-        for text, i in self.special.items():
-            self._append([text], [[i]])
+        kept = [*((t, [i]) for t, i in self.special.items()), *keep]
+        for w, _ in kept:
+            self.index[w] = len(self.index)
+        self._append([w for w, _ in kept], [x for _, x in kept])
 
     def _symbols(self, text: str, end: bool) -> list[int]:
         units = list(text)
@@ -97,12 +126,19 @@ class WordBpe:
 
     def merged(self, ids: list[int]) -> list[int]:
         """The exact encoding: the pair of lowest rank merges first, the leftmost of equals."""
-        while len(ids) > 1:
-            best = min((self.merges.get(p, (1 << 60, -1))[0], k) for k, p in enumerate(zip(ids, ids[1:], strict=False)))
-            if best[0] == 1 << 60:
+        get, none = self.rank.get, len(self.made)
+        ranks = [get(p, none) for p in zip(ids, ids[1:], strict=False)]
+        while ranks:
+            low = min(ranks)
+            if low == none:
                 break
-            k = best[1]
-            ids = [*ids[:k], self.merges[ids[k], ids[k + 1]][1], *ids[k + 2 :]]
+            k = ranks.index(low)
+            ids[k : k + 2] = [self.made[low]]
+            del ranks[k]
+            if k:
+                ranks[k - 1] = get((ids[k - 1], ids[k]), none)
+            if k < len(ranks):
+                ranks[k] = get((ids[k], ids[k + 1]), none)
         return ids
 
     def exact(self, word: str) -> list[int]:
@@ -115,14 +151,16 @@ class WordBpe:
 
     def proposal(self, word: str) -> list[int] | None:
         """Greedy longest match; None where some character has no token."""
-        text = "".join([self.letters[b] for b in word.encode()])
-        vocab, out, at, n = self.vocab, [], 0, len(text)
+        text = word if word.isascii() and word.isprintable() else "".join([self.letters[b] for b in word.encode()])
+        vocab, longest, out, at, n = self.vocab, self.longest, [], 0, len(text)
         while at < n:
-            got = vocab.get(text[at:] + self.end) if n - at <= self.longest else None
-            if got is not None:
-                out.append(got)
-                break
-            for stop in range(min(n - 1, at + self.longest), at, -1):
+            most = longest.get(text[at : at + 2], 1)
+            if n - at <= most:
+                got = vocab.get(text[at:] + self.end)
+                if got is not None:
+                    out.append(got)
+                    break
+            for stop in range(min(n - 1, at + most), at, -1):
                 got = vocab.get(text[at:stop])
                 if got is not None:
                     out.append(got)
@@ -168,11 +206,10 @@ class WordBpe:
         return [self.exact(w) if x is None else x for w, x in zip(words, ids, strict=True)]
 
     def _append(self, words: list[str], ids: list[list[int]]) -> None:
-        for w in words:
-            self.index[w] = len(self.index)
         counts = np.array([len(x) for x in ids], np.int64)
         self.starts = np.concatenate((self.starts, len(self.flat) + np.cumsum(counts) - counts))
         self.counts = np.concatenate((self.counts, counts))
+        self.used = np.concatenate((self.used, np.zeros(len(ids), np.int64)))
         self.flat = np.concatenate((self.flat, np.array([t for x in ids for t in x], np.uint32)))
         self.decoded += [" ".join([self.token[t] for t in x]).encode() for x in ids]
 
@@ -196,18 +233,26 @@ class WordBpe:
         if len(self.index) > self.kept:
             self._clear()
         split = [self.words(t) for t in texts]
-        new = list({w for x in split for w in x} - self.index.keys())
-        new.sort()
-        if new:
-            self._append(new, self.encode_words(new))
-        get, decoded = self.index.__getitem__, self.decoded
-        for words in split:
-            at = np.fromiter(map(get, words), np.int64, len(words))
-            counts = self.counts[at]
-            total = int(counts.sum())
-            place = np.repeat(self.starts[at] - (np.cumsum(counts) - counts), counts) + np.arange(total)
-            pieces = [decoded[i] for i in at.tolist()]
-            yield self.flat[place], b" ".join(p for p in pieces if p)
+        sizes = np.array([len(x) for x in split], np.int64)
+        at = np.fromiter(map(self.index.__getitem__, chain.from_iterable(split)), np.int64, int(sizes.sum()))
+        if self.index.new:
+            words, self.index.new = self.index.new, []
+            self._append(words, self.encode_words(words))
+        self.used += np.bincount(at, minlength=len(self.used))
+        counts = self.counts[at]
+        ends = np.cumsum(counts)
+        place = np.arange(int(counts.sum())) + np.repeat(self.starts[at] - (ends - counts), counts)
+        ids = self.flat[place]
+        # A word of no token leaves no gap in the decoded text.
+        decoded = self.decoded
+        pieces = [decoded[i] for i in at.tolist()]
+        word = np.concatenate(([0], np.cumsum(sizes)))
+        token = np.concatenate(([0], ends))[word]
+        for k in range(len(texts)):
+            part = pieces[word[k] : word[k + 1]]
+            if not counts[word[k] : word[k + 1]].all():
+                part = [p for p in part if p]
+            yield ids[token[k] : token[k + 1]], b" ".join(part)
 
     def decode(self, ids: np.ndarray) -> str:
         """Tokens joined by spaces: the vocabulary file names no decoder."""
