@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 from collections.abc import Callable
 
-MODULES: tuple[str, ...] = ()
+MODULES: tuple[str, ...] = ("listing", "facts_views", "series")
 
 
 def queries() -> dict[str, Callable]:
