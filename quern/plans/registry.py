@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 from collections.abc import Callable
 
-MODULES: tuple[str, ...] = ("listing", "facts_views", "series")
+MODULES: tuple[str, ...] = ("listing", "facts_views", "series", "urls", "text")
 
 
 def queries() -> dict[str, Callable]:
