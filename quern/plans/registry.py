@@ -5,18 +5,18 @@ from __future__ import annotations
 import importlib
 from collections.abc import Callable
 
-MODULES: tuple[str, ...] = ("listing", "facts_views", "series", "urls", "text")
+MODULES = ("plans.listing", "plans.facts_views", "plans.series", "plans.urls", "plans.text", "plans.models", "streaming.events")
 
 
 def queries() -> dict[str, Callable]:
     out: dict[str, Callable] = {}
     for name in MODULES:
-        out.update(importlib.import_module(f"quern.plans.{name}").QUERIES)
+        out.update(importlib.import_module(f"quern.{name}").QUERIES)
     return out
 
 
 def oracle_sql() -> dict[str, str]:
     out: dict[str, str] = {}
     for name in MODULES:
-        out.update(importlib.import_module(f"quern.plans.{name}").SQL)
+        out.update(importlib.import_module(f"quern.{name}").SQL)
     return out
