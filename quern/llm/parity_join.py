@@ -10,9 +10,8 @@ each document may leave out its poorest pieces as long as these are at most q;
 that keeps out empty and one-word pieces, which many unrelated texts share, and
 loses no pair.
 
-Documents that share a piece are joined to the smallest set of that piece, a row
-per set and piece and never a row per pair; the connected groups so found hold
-every pair that can link.  Inside a group all pairs are compared in bounded
+Sets that share a piece are chained, a row per set and piece and never a row per
+pair; the connected groups so found hold every pair that can link.  Inside a group all pairs are compared in bounded
 blocks: first whole-sketch Hamming distances against d, then exact set
 intersections for pairs not yet connected.  What comes out of a block is a
 spanning forest of true links, which suffices for the components.
@@ -192,8 +191,33 @@ def _keys(docs: DataFrame, rule: JaccardRule) -> DataFrame:
     return docs.mapInArrow(run, "key long, sid long")
 
 
+def _chains(keys: DataFrame, parts: int) -> DataFrame:
+    """(u, v): each set of a piece linked to the one before it, in order of set ids.
+
+    A piece's rows are two numbers each and pass as a sorted stream, so even one
+    that very many sets share takes no memory; a set has many pieces, so one
+    piece holds a small share of all rows.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key0, sid0 = None, None
+        for b in batches:
+            key, sid = b.column(0).to_numpy(), b.column(1).to_numpy()
+            if not len(key):
+                continue
+            same = (key[1:] == key[:-1]) & (sid[1:] != sid[:-1])
+            u, v = sid[:-1][same], sid[1:][same]
+            if key0 == key[0] and sid0 != sid[0]:
+                u, v = np.append(u, sid0), np.append(v, sid[0])
+            key0, sid0 = key[-1], sid[-1]
+            pairs = np.unique(np.stack((u, v), 1), axis=0) if len(u) else np.zeros((0, 2), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["u", "v"])
+
+    return keys.repartition(parts, "key").sortWithinPartitions("key", "sid").mapInArrow(run, "u long, v long").distinct()
+
+
 def _members(docs: DataFrame, rule: JaccardRule) -> DataFrame:
-    """(comp, sid, n, sketch, grams) of rows of (id, text, want, comp) whose set is the wanted one."""
+    """(comp, blocks, sid, n, sketch, grams) of rows of (id, text, want, comp, blocks) whose set is the wanted one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -209,15 +233,16 @@ def _members(docs: DataFrame, rule: JaccardRule) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         b.column(3).slice(lo, hi - lo).take(pa.array(ok)),
+                        b.column(4).slice(lo, hi - lo).take(pa.array(ok)),
                         pa.array(sid[ok]),
                         pa.array(size[ok]),
                         pa.array([sketch[i].tobytes() for i in ok], pa.binary()),
                         pa.array([grams[cut[i] : cut[i + 1]].tobytes() for i in ok], pa.binary()),
                     ],
-                    names=["comp", "sid", "n", "sketch", "grams"],
+                    names=["comp", "blocks", "sid", "n", "sketch", "grams"],
                 )
 
-    return docs.mapInArrow(run, "comp long, sid long, n long, sketch binary, grams binary")
+    return docs.mapInArrow(run, "comp long, blocks int, sid long, n long, sketch binary, grams binary")
 
 
 def _forest(left: list[tuple], right: list[tuple] | None, rule: JaccardRule) -> list[tuple[int, int]]:
@@ -267,10 +292,9 @@ def _forest(left: list[tuple], right: list[tuple] | None, rule: JaccardRule) ->
 
 def links(members: DataFrame, rule: JaccardRule, parts: int) -> DataFrame:
     """(u, v): a spanning forest of the true links among members of each comp, found in pairs of blocks."""
-    size = members.groupBy("comp").agg(F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum(F.col("n") * 8 + 160) / BLOCK_BYTES)).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int")
     mate = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("mate")
-    dealt = members.join(size, "comp").withColumn("own", own).select("*", mate).select("comp", F.least("own", "mate").alias("i"), F.greatest("own", "mate").alias("j"), (F.col("own") > F.col("mate")).alias("second"), "sid", "n", "sketch", "grams")
+    dealt = members.withColumn("own", own).select("*", mate).select("comp", F.least("own", "mate").alias("i"), F.greatest("own", "mate").alias("j"), (F.col("own") > F.col("mate")).alias("second"), "sid", "n", "sketch", "grams")
     dealt = dealt.repartition(parts, "comp", "i", "j").sortWithinPartitions("comp", "i", "j", "second")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -305,15 +329,12 @@ def linked_components(docs: DataFrame, rule: JaccardRule = JaccardRule(), id_col
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     sets = stored(_sets(texts, rule), "sets")
-    keys = _keys(texts, rule)
-    groups = stored(keys.groupBy("key").agg(F.min("sid").alias("lead"), F.max("sid").alias("last"), F.count("*").alias("n")).where("lead < last"), "groups")
-    pairs = groups.select(F.col("lead").alias("u"), F.col("last").alias("v")).distinct()
-    more = keys.join(groups.where("n > 2").select("key", "lead"), "key").where("sid <> lead").select(F.col("lead").alias("u"), F.col("sid").alias("v")).distinct()
-    near = stored(components(pairs.unionByName(more)), "near")
-    wanted = sets.where("n > 0").groupBy("sid").agg(F.min("id").alias("want_id"))
-    wanted = stored(near.select(F.col("id").alias("sid"), F.col("component").alias("comp")).join(wanted, "sid"), "wanted")
-    texts_of = texts.join(wanted.select(F.col("want_id").alias("id"), F.col("sid").alias("want"), "comp"), "id").select("id", "text", "want", "comp")
-    members = stored(_members(texts_of, rule).dropDuplicates(["sid"]), "members")
+    near = components(_chains(_keys(texts, rule), parts)).select(F.col("id").alias("sid"), F.col("component").alias("comp"))
+    one = sets.where("n > 0").groupBy("sid").agg(F.min("id").alias("id"), F.first("n").alias("n"))
+    wanted = stored(near.join(one, "sid"), "wanted")
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum(F.col("n") * 8 + 160) / BLOCK_BYTES)).cast("int")
+    wanted = wanted.join(wanted.groupBy("comp").agg(blocks.alias("blocks")), "comp").select("id", F.col("sid").alias("want"), "comp", "blocks")
+    members = _members(texts.join(stored(wanted, "asked"), "id").select("id", "text", "want", "comp", "blocks"), rule)
     found = components(links(members, rule, parts))
     # Nodes of the final graph are sets; each set's smallest document stands for it.
     label = sets.where("n > 0").join(found.select(F.col("id").alias("sid"), "component"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
