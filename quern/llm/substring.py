@@ -14,7 +14,7 @@ document) are aggregations that combine before the shuffle, so a passage in a
 third of all documents costs a row per task and not a pair per couple.  Texts
 are shuffled once and that exchange is reused.
 
-Windows are compared by 96 hash bits.  "Earlier" is a smaller doc_id, or an
+Windows are compared by 80 hash bits; texts travel compressed.  "Earlier" is a smaller doc_id, or an
 earlier start in the same document.
 
 Edge cases: null text has no words; null ids come before all others; equal rows
@@ -32,6 +32,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -72,6 +73,30 @@ def anchors(words: np.ndarray, rows: np.ndarray, rule: Repeats) -> tuple[np.ndar
     return starts, place[starts], grams
 
 
+def _packed(docs: DataFrame) -> DataFrame:
+    """The second column's texts, compressed one by one for the shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=3)
+        for b in batches:
+            for lo, hi, buf, offs in tb.slices(b.column(1)):
+                data = memoryview(np.ascontiguousarray(buf))
+                part = b.slice(lo, hi - lo)
+                yield part.set_column(1, "text", pa.array([press.compress(data[s:e]) for s, e in zip(offs[:-1], offs[1:], strict=True)], pa.binary()))
+
+    fields = [f"`{f.name}` {'binary' if k == 1 else f.dataType.simpleString()}" for k, f in enumerate(docs.schema)]
+    return docs.mapInArrow(run, ", ".join(fields))
+
+
+def _opened(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """Batches of some rows with their texts decompressed."""
+    press = zstandard.ZstdDecompressor()
+    for whole in batches:
+        for lo in range(0, whole.num_rows, rows):
+            b = whole.slice(lo, rows)
+            yield b.set_column(1, "text", pa.array([press.decompress(x) for x in b.column(1).to_pylist()], pa.large_binary()))
+
+
 def _slices(b: pa.RecordBatch) -> Iterator[tuple]:
     for lo, hi, buf, offs in tb.slices(b.column(1)):
         starts, ends, rows = tb.word_spans(buf, offs)
@@ -127,7 +152,7 @@ def _anchor_rows(docs: DataFrame, rule: Repeats) -> DataFrame:
 
 def _window_rows(docs: DataFrame, rule: Repeats) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _opened(batches):
             for lo, hi, _, _, _, _, rows, words, first, text in _slices(b):
                 starts, place, _ = anchors(words, rows, rule)
                 if not len(starts):
@@ -138,13 +163,13 @@ def _window_rows(docs: DataFrame, rule: Repeats) -> DataFrame:
                 _, one = np.unique(tb.mix(key + row.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), return_index=True)
                 ids = b.column(0).slice(lo, hi - lo).to_numpy()
                 row, at = row[one], starts[one]
-                yield pa.RecordBatch.from_arrays([pa.array(tb.signed(key[one])), pa.array((check[one] >> np.uint64(33)).astype(np.int32)), pa.array(ids[row]), pa.array(text[row] + at - first[row])], names=["w", "c", "d", "at"])
+                yield pa.RecordBatch.from_arrays([pa.array(tb.signed(key[one])), pa.array((check[one] >> np.uint64(48)).astype(np.int32)), pa.array(ids[row]), pa.array(text[row] + at - first[row])], names=["w", "c", "d", "at"])
 
     return docs.mapInArrow(run, "w long, c int, d long, at long")
 
 
 def marked(docs: DataFrame, rule: Repeats = Repeats(), id_col: str = "doc_id", text_col: str = "text", others: tuple[str, ...] = ()) -> DataFrame:
-    """(d, text, lonely, firsts, others...): each text with what its document needs to find its repeats.
+    """(d, text, lonely, firsts, others...): each compressed text with what its document needs to find its repeats.
 
     lonely: places of anchors without a second occurrence.  firsts: starts of
     seeded windows that are the first of their word sequence.
@@ -152,7 +177,7 @@ def marked(docs: DataFrame, rule: Repeats = Repeats(), id_col: str = "doc_id", t
     # A narrow integer id sorts as doc_id does; nulls get a value below all others.
     own = F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    texts = docs.select(own.alias("d"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *(F.col(c).alias(f"_{i}") for i, c in enumerate(others))).repartition(parts, "d")
+    texts = _packed(docs.select(own.alias("d"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *(F.col(c).alias(f"_{i}") for i, c in enumerate(others)))).repartition(parts, "d")
     lonely = _anchor_rows(docs.select(own.alias("d"), F.col(text_col).alias("text")), rule).groupBy("h").agg(F.sum("n").alias("n"), F.min(F.struct("d", "at")).alias("m")).where("n = 1").select("m.d", "m.at").groupBy("d").agg(F.collect_list("at").alias("lonely"))
     seeded = texts.join(lonely, "d", "left")
     firsts = _window_rows(seeded.select("d", "text", "lonely"), rule).groupBy("w", "c").agg(F.min(F.struct("d", "at")).alias("m")).select("m.d", "m.at").groupBy("d").agg(F.collect_list("at").alias("firsts"))
@@ -189,7 +214,7 @@ def digests(docs: DataFrame, rule: Repeats = Repeats(), id_col: str = "doc_id",
     """(id, n_words, n_removed, kept_sha256) of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _opened(batches):
             for lo, hi, buf, _, starts, ends, rows, first, gone in removals(b, rule):
                 n = hi - lo
                 ids = b.column(0).slice(lo, n).to_numpy()
@@ -210,7 +235,7 @@ def maximal_repeats(docs: DataFrame, rule: Repeats = Repeats(), id_col: str = "d
     """(id, first_word, n_words, text): the maximal runs of words to remove."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _opened(batches):
             for lo, hi, buf, _, starts, ends, rows, first, gone in removals(b, rule):
                 begin, end = tb.runs(gone, first)
                 ids = b.column(0).slice(lo, hi - lo).to_numpy()[rows[begin]]
@@ -226,10 +251,10 @@ def cut(docs: DataFrame, rule: Repeats = Repeats(), id_col: str = "doc_id", text
     names = [id_col if c == "d" else text_col if c == "text" else others[int(c[1:])] for c in ("d", "text", *(f"_{i}" for i in range(len(others))))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _opened(batches):
             for lo, hi, buf, offs, starts, ends, rows, first, gone in removals(b, rule):
                 begin, end = tb.runs(gone, first)
-                texts = b.column(1).slice(lo, hi - lo).to_pylist()
+                texts = [x.decode() for x in b.column(1).slice(lo, hi - lo).to_pylist()]
                 data = buf.tobytes()
                 for row in np.unique(rows[begin]):
                     a, z = np.searchsorted(rows[begin], (row, row + 1))
