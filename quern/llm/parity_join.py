@@ -7,8 +7,8 @@ in n-grams.  Sets of similarity t and sizes a and b differ in at most
 level have one bound d.  The sketch is cut into d + 1 + q pieces, of which at
 least q + 1 must be equal (pigeonhole).  As equal pieces hold the same n-grams,
 each document may leave out its poorest pieces as long as these are at most q;
-that keeps out empty and one-word pieces, which many unrelated texts share, and
-loses no pair.
+that keeps out pieces without any but common n-grams, which many unrelated texts
+share, and loses no pair.
 
 Sets that share a piece are chained, a row per set and piece and never a row per
 pair; the connected groups so found hold every pair that can link.  Inside a group all pairs are compared in bounded
@@ -42,8 +42,9 @@ from quern.llm.components import components
 from quern.llm.scratch import stored
 
 SKETCH_WORDS = 16
-BLOCK_ROWS = 256
-BLOCK_BYTES = 4 << 20
+BLOCK_ROWS = 1024
+BLOCK_BYTES = 8 << 20
+COMMON_KEPT = 1 << 18
 
 
 @dataclass(frozen=True)
@@ -120,7 +121,7 @@ def set_ids(grams: np.ndarray, rows: np.ndarray, n: int) -> tuple[np.ndarray, np
     return size, tb.signed(tb.mix(_sums(tb.mix(grams), rows, n) ^ tb.mix(size.astype(np.uint64))))
 
 
-def piece_keys(grams: np.ndarray, rows: np.ndarray, size: np.ndarray, rule: JaccardRule) -> tuple[np.ndarray, np.ndarray]:
+def piece_keys(grams: np.ndarray, rows: np.ndarray, size: np.ndarray, rule: JaccardRule, common: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(key, row) of the pieces that each set is joined on, at its own level and the next."""
     border = bands(rule)
     number, spare = pieces(rule)
@@ -130,6 +131,10 @@ def piece_keys(grams: np.ndarray, rows: np.ndarray, size: np.ndarray, rule: Jacc
     # One hash bit of 2**16 in a piece, as a random word: their XOR is the piece's parity sketch.
     bit = tb.mix((grams & np.uint64(0xFFFF)) + np.uint64(0x51ED27))
     high = grams >> np.uint64(32)
+    # A piece's worth is its number of n-grams that are not common ones.
+    worth = np.ones(len(grams))
+    if common is not None and len(common):
+        worth[common[np.minimum(np.searchsorted(common, grams), len(common) - 1)] == grams] = 0
     for up in (0, 1):
         level = np.where(has, band + up, 0)
         m = np.where(has, number[level], 0)
@@ -137,22 +142,23 @@ def piece_keys(grams: np.ndarray, rows: np.ndarray, size: np.ndarray, rule: Jacc
         cell = ((high * m[rows].astype(np.uint64)) >> np.uint64(32)).astype(np.int64) + base[rows]
         total = int(base[-1])
         count = np.bincount(cell, minlength=total)
+        rare = np.bincount(cell, worth, total).astype(np.int64)
         value = np.zeros(total, np.uint64)
         if len(cell):
             first = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1])))
             value[cell[first]] = np.bitwise_xor.reduceat(bit, first)
         row = np.repeat(np.arange(len(size)), m)
-        # The poorest counts are left out while all pieces of such a count fit into the spare ones.
+        # The poorest pieces are left out while all of such a worth fit into the spare ones.
         least = np.zeros(len(size), np.int64)
         gone = np.zeros(len(size), np.int64)
         open_ = has.copy()
         for c in range(12):
-            gone = gone + np.bincount(row[count == c], minlength=len(size))
+            gone = gone + np.bincount(row[rare == c], minlength=len(size))
             open_ &= gone <= spare[level]
             if not open_.any():
                 break
             least[open_] = c + 1
-        keep = count >= least[row]
+        keep = rare >= least[row]
         piece = np.arange(total) - base[row]
         key = tb.mix(value ^ tb.mix((level[row] * (1 << 40) + piece * 64 + np.minimum(count, 63)).astype(np.uint64)))
         out.append((key[keep], row[keep]))
@@ -172,7 +178,37 @@ def _sets(docs: DataFrame, rule: JaccardRule) -> DataFrame:
     return docs.mapInArrow(run, f"id {docs.schema[0].dataType.simpleString()}, n long, sid long")
 
 
-def _keys(docs: DataFrame, rule: JaccardRule) -> DataFrame:
+def _common(docs: DataFrame, rule: JaccardRule, n_docs: int) -> np.ndarray:
+    """The n-grams of boilerplate and much-copied passages, ascending: at most COMMON_KEPT of them.
+
+    Each task counts all its n-grams and passes on those found in three or more
+    of its documents.  The table only says which pieces are worth joining on;
+    results are the same with any table.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def found() -> pa.RecordBatch:
+            g, n = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(tb.signed(g[n >= 3])), pa.array(n[n >= 3])], names=["g", "n"])
+
+        for b in batches:
+            for _, _, buf, offs in tb.slices(b.column(1)):
+                held.append(ngrams(buf, offs, rule.ngram)[0])
+                size += len(held[-1])
+                if size > 4_000_000:
+                    yield found()
+                    held, size = [], 0
+        if size:
+            yield found()
+
+    counted = docs.mapInArrow(run, "g long, n long").groupBy("g").agg(F.sum("n").alias("n")).where(F.col("n") >= max(8, n_docs // 4000))
+    rows = counted.orderBy(F.col("n").desc(), "g").limit(COMMON_KEPT).select("g").toArrow()
+    return np.sort(rows.column("g").to_numpy().view(np.uint64)) if rows.num_rows else np.zeros(0, np.uint64)
+
+
+def _keys(docs: DataFrame, rule: JaccardRule, common: np.ndarray | None = None) -> DataFrame:
     """(key, sid) of every piece joined on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,7 +221,7 @@ def _keys(docs: DataFrame, rule: JaccardRule) -> DataFrame:
                 lone = np.zeros(hi - lo, bool)
                 lone[one] = True
                 pick = lone[rows]
-                key, row = piece_keys(grams[pick], rows[pick], np.where(lone, size, 0), rule)
+                key, row = piece_keys(grams[pick], rows[pick], np.where(lone, size, 0), rule, common)
                 yield pa.RecordBatch.from_arrays([pa.array(tb.signed(key)), pa.array(sid[row])], names=["key", "sid"])
 
     return docs.mapInArrow(run, "key long, sid long")
@@ -329,7 +365,8 @@ def linked_components(docs: DataFrame, rule: JaccardRule = JaccardRule(), id_col
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     sets = stored(_sets(texts, rule), "sets")
-    near = components(_chains(_keys(texts, rule), parts)).select(F.col("id").alias("sid"), F.col("component").alias("comp"))
+    common = _common(texts, rule, sets.count())
+    near = components(_chains(_keys(texts, rule, common), parts)).select(F.col("id").alias("sid"), F.col("component").alias("comp"))
     one = sets.where("n > 0").groupBy("sid").agg(F.min("id").alias("id"), F.first("n").alias("n"))
     wanted = stored(near.join(one, "sid"), "wanted")
     blocks = F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum(F.col("n") * 8 + 160) / BLOCK_BYTES)).cast("int")
