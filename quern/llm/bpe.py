@@ -275,7 +275,7 @@ def read_spec(path: str) -> str:
         return f.read()
 
 
-def _run(docs: DataFrame, spec: str, id_col: str, text_col: str, what, shape: str, names: list[str]) -> DataFrame:
+def _run(docs: DataFrame, spec: str, id_col: str, text_col: str, what, shape: str, names: list[str], kinds: list[pa.DataType]) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(spec)
     picked = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias(text_col))
 
@@ -284,7 +284,7 @@ def _run(docs: DataFrame, spec: str, id_col: str, text_col: str, what, shape: st
         for b in batches:
             for lo, hi, _, _ in tb.slices(b.column(1)):
                 rows = [what(ids, text) for ids, text in bpe.encode(b.column(1).slice(lo, hi - lo).to_pylist())]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), *(pa.array(c) for c in zip(*rows, strict=True))], names=[id_col, *names])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True))], names=[id_col, *names])
 
     return picked.mapInArrow(run, f"{id_col} {picked.schema[0].dataType.simpleString()}, {shape}")
 
@@ -295,9 +295,9 @@ def digests(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col:
     def what(ids: np.ndarray, text: bytes) -> tuple:
         return len(ids), hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(text).hexdigest()
 
-    return _run(docs, read_spec(vocabulary), id_col, text_col, what, "n_tokens long, ids_sha256 string, decoded_sha256 string", ["n_tokens", "ids_sha256", "decoded_sha256"])
+    return _run(docs, read_spec(vocabulary), id_col, text_col, what, "n_tokens long, ids_sha256 string, decoded_sha256 string", ["n_tokens", "ids_sha256", "decoded_sha256"], [pa.int64(), pa.string(), pa.string()])
 
 
 def encoded(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids, decoded) of every text."""
-    return _run(docs, read_spec(vocabulary), id_col, text_col, lambda ids, text: (ids.astype(np.int32).tolist(), text.decode()), "ids array<int>, decoded string", ["ids", "decoded"])
+    return _run(docs, read_spec(vocabulary), id_col, text_col, lambda ids, text: (ids.tolist(), text.decode()), "ids array<int>, decoded string", ["ids", "decoded"], [pa.list_(pa.int32()), pa.string()])

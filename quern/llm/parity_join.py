@@ -166,16 +166,16 @@ def piece_keys(grams: np.ndarray, rows: np.ndarray, size: np.ndarray, rule: Jacc
 
 
 def _sets(docs: DataFrame, rule: JaccardRule) -> DataFrame:
-    """(id, n, sid) of every row of (id, text)."""
+    """(id, n, sid, tag) of every row of (id, text, tag)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo, hi, buf, offs in tb.slices(b.column(1)):
                 grams, rows = ngrams(buf, offs, rule.ngram)
                 size, sid = set_ids(grams, rows, hi - lo)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(size), pa.array(sid)], names=["id", "n", "sid"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(size), pa.array(sid), b.column(2).slice(lo, hi - lo)], names=["id", "n", "sid", "tag"])
 
-    return docs.mapInArrow(run, f"id {docs.schema[0].dataType.simpleString()}, n long, sid long")
+    return docs.mapInArrow(run, f"id {docs.schema[0].dataType.simpleString()}, n long, sid long, tag long")
 
 
 def _common(docs: DataFrame, rule: JaccardRule, n_docs: int) -> np.ndarray:
@@ -253,7 +253,7 @@ def _chains(keys: DataFrame, parts: int) -> DataFrame:
 
 
 def _members(docs: DataFrame, rule: JaccardRule) -> DataFrame:
-    """(comp, blocks, sid, n, sketch, grams) of rows of (id, text, want, comp, blocks) whose set is the wanted one."""
+    """(comp, blocks, sid, n, sketch, grams) of rows of (tag, text, want, comp, blocks) whose set is the wanted one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -334,7 +334,7 @@ def links(members: DataFrame, rule: JaccardRule, parts: int) -> DataFrame:
     dealt = dealt.repartition(parts, "comp", "i", "j").sortWithinPartitions("comp", "i", "j", "second")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, left, right = None, [], []
+        now, left, right, seen = None, [], [], set()
 
         def done() -> pa.RecordBatch | None:
             if len(left) + len(right) < 2:
@@ -351,8 +351,10 @@ def links(members: DataFrame, rule: JaccardRule, parts: int) -> DataFrame:
                 if (comp, i, j) != now:
                     if now is not None and (got := done()) is not None:
                         yield got
-                    now, left, right = (comp, i, j), [], []
-                (right if second else left).append(tuple(rest))
+                    now, left, right, seen = (comp, i, j), [], [], set()
+                if (second, rest[0]) not in seen:  # repeated rows
+                    seen.add((second, rest[0]))
+                    (right if second else left).append(tuple(rest))
         if now is not None and (got := done()) is not None:
             yield got
 
@@ -364,14 +366,16 @@ def linked_components(docs: DataFrame, rule: JaccardRule = JaccardRule(), id_col
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    sets = stored(_sets(texts, rule), "sets")
+    # A row is found again by its id and text, as ids may repeat or be null.
+    tagged = texts.withColumn("tag", F.xxhash64("id", "text"))
+    sets = stored(_sets(tagged, rule), "sets")
     common = _common(texts, rule, sets.count())
     near = components(_chains(_keys(texts, rule, common), parts)).select(F.col("id").alias("sid"), F.col("component").alias("comp"))
-    one = sets.where("n > 0").groupBy("sid").agg(F.min("id").alias("id"), F.first("n").alias("n"))
+    one = sets.where("n > 0").groupBy("sid").agg(F.min("tag").alias("tag"), F.first("n").alias("n"))
     wanted = stored(near.join(one, "sid"), "wanted")
     blocks = F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum(F.col("n") * 8 + 160) / BLOCK_BYTES)).cast("int")
-    wanted = wanted.join(wanted.groupBy("comp").agg(blocks.alias("blocks")), "comp").select("id", F.col("sid").alias("want"), "comp", "blocks")
-    members = _members(texts.join(stored(wanted, "asked"), "id").select("id", "text", "want", "comp", "blocks"), rule)
+    wanted = wanted.join(wanted.groupBy("comp").agg(blocks.alias("blocks")), "comp").select("tag", F.col("sid").alias("want"), "comp", "blocks")
+    members = _members(tagged.select("tag", "text").join(stored(wanted, "asked"), "tag").select("tag", "text", "want", "comp", "blocks"), rule)
     found = components(links(members, rule, parts))
     # Nodes of the final graph are sets; each set's smallest document stands for it.
     label = sets.where("n > 0").join(found.select(F.col("id").alias("sid"), "component"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))

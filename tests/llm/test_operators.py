@@ -151,7 +151,7 @@ def test_toxicity_held_out_and_place(labelled, empty):
     assert places and np.mean(["idiot" in r["sentence"] or "moron" in r["sentence"] for r in places]) > 0.9
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
     for r in places[:20]:
-        assert texts[r["doc_id"]][r["start"] : r["start"] + r["chars"]].lower() == r["sentence"]
+        assert texts[r["doc_id"]][r["start"] : r["start"] + r["chars"]] == r["sentence"]
     assert [r["score"] for r in toxicity.scores(docs, model).where("doc_id >= 1000").collect()] == [0.0, 0.0]
     assert toxicity.scores(empty, model).count() == 0
     blank = toxicity.fit(docs, labels.limit(0), ~held)
