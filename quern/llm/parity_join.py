@@ -361,8 +361,8 @@ def links(members: DataFrame, rule: JaccardRule, parts: int) -> DataFrame:
     return dealt.mapInArrow(run, "u long, v long")
 
 
-def linked_components(docs: DataFrame, rule: JaccardRule = JaccardRule(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_shingles, component_id) of every document."""
+def _labelled(docs: DataFrame, rule: JaccardRule, id_col: str, text_col: str) -> DataFrame:
+    """(id, n, tag, component_id) of every row."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -381,12 +381,24 @@ def linked_components(docs: DataFrame, rule: JaccardRule = JaccardRule(), id_col
     label = sets.where("n > 0").join(found.select(F.col("id").alias("sid"), "component"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
     least = label.groupBy("component").agg(F.min("id").alias("component_id"))
     by_set = label.select("sid", "component").distinct().join(least, "component").select("sid", "component_id")
-    out = sets.join(by_set, "sid", "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
+    component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
+    return sets.join(by_set, "sid", "left").select("id", "n", "tag", component.alias("component_id"))
+
+
+def linked_components(docs: DataFrame, rule: JaccardRule = JaccardRule(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n_shingles, component_id) of every document."""
+    return _labelled(docs, rule, id_col, text_col).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
 
 
 def one_of_each(docs: DataFrame, rule: JaccardRule = JaccardRule(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents, all columns, of which each component keeps its smallest id."""
-    found = linked_components(docs, rule, id_col, text_col)
-    drop = stored(found.where(F.col("component_id") != F.col(id_col)).select(F.col(id_col).alias("_gone")).distinct(), "gone")
-    return docs.join(drop, docs[id_col] == drop["_gone"], "left_anti")
+    """The documents, all columns, of which each component keeps its smallest id, and repeated rows one.
+
+    Null ids go where they are linked to a document with an id, and stay otherwise.
+    """
+    found = stored(_labelled(docs, rule, id_col, text_col), "labelled")
+    gone = stored(found.where(~F.col("component_id").eqNullSafe(F.col("id"))).select(F.col("tag").alias("_gone")).distinct(), "gone")
+    again = stored(found.groupBy("tag").agg(F.count("*").alias("n")).where("n > 1").select(F.col("tag").alias("_again")), "again")
+    rows = docs.withColumn("_tag", F.xxhash64(id_col, text_col)).join(gone, F.col("_tag") == F.col("_gone"), "left_anti")
+    single = rows.join(again, F.col("_tag") == F.col("_again"), "left_anti")
+    several = rows.join(again, F.col("_tag") == F.col("_again"), "left_semi").dropDuplicates(["_tag"])
+    return single.unionByName(several).select(*docs.columns)

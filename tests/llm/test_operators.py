@@ -77,6 +77,14 @@ def test_edited_fingerprints(hard, hard_rows):
     assert long_one["near_edited"] > 0.6 > 0.3 > long_one["near_next"]
 
 
+def test_edited_fingerprints_of_nothing_and_of_one(empty, hard):
+    assert edit_embedding.edited_fingerprints(empty).count() == 0
+    r = edit_embedding.edited_fingerprints(hard.where("doc_id = 3")).first()
+    assert r["near_next"] == 1.0
+    r = edit_embedding.edited_fingerprints(hard.where("doc_id = 4")).first()
+    assert (r["n_chars"], r["near_edited"], r["near_next"]) == (0, 1.0, 1.0)
+
+
 def test_edit_distance_shows_in_likeness():
     text = "".join(chr(97 + (i * i + i // 7) % 26) for i in range(4000))
     points = lambda t: np.frombuffer(t.encode("utf-32-le"), np.uint32)
@@ -284,6 +292,14 @@ def test_sketch_bounds_the_difference():
                 assert keys[0] & keys[1]
 
 
+def test_one_of_each(hard):
+    kept = parity_join.one_of_each(hard)
+    assert kept.columns == hard.columns
+    ids = Counter(r["doc_id"] for r in kept.collect())
+    # 1, 3, 17 and 17 are copies, 8 and 9 differ in case only; the second text of 16 and the one without an id are near copies.
+    assert ids[1] == 1 and not ids[3] and not ids[17] and ids[8] == 1 and not ids[9] and ids[4] == ids[5] == ids[6] == 1 and ids[16] == 2
+
+
 def test_parity_join_empty(empty):
     assert parity_join.linked_components(empty).count() == 0
     assert parity_join.one_of_each(empty).columns == empty.columns
