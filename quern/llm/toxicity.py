@@ -160,19 +160,26 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, sample: TrainingSamp
     doc = np.repeat(np.arange(len(sizes)), [len(x) for x in sizes])
     size = np.concatenate(sizes)
     sentence = np.repeat(np.arange(len(size)), size)
+    del rows
     # Features of a few documents teach nothing about others.
     of_doc = doc[sentence]
-    used, code = np.unique(pairs, return_inverse=True)
-    code = code.reshape(pairs.shape)
-    spread = np.zeros(len(used), np.int64)
+    spread = np.zeros(WEIGHTS, np.int64)
     for c in (0, 1):
-        seen = np.unique(code[:, c].astype(np.int64) * len(sizes) + of_doc)
-        spread += np.bincount(seen // len(sizes), minlength=len(used))
+        seen = np.unique(pairs[:, c].astype(np.int64) * len(sizes) + of_doc)
+        spread += np.bincount(seen // len(sizes), minlength=WEIGHTS)
+        del seen
     common = np.flatnonzero(spread >= sample.min_docs)
-    renamed = np.full(len(used), -1)
-    renamed[common] = np.arange(len(common))
-    cell, feature = np.repeat(sentence, 2), renamed[code].ravel()
-    cell, feature = distinct(cell[feature >= 0], feature[feature >= 0])
+    renamed = np.full(WEIGHTS, -1, np.int32)
+    renamed[common] = np.arange(len(common), dtype=np.int32)
+    cells, features = [], []
+    for c in (0, 1):
+        code = renamed[pairs[:, c]]
+        some = np.flatnonzero(code >= 0)
+        at, what = distinct(sentence[some], code[some])
+        cells.append(at.astype(np.int32))
+        features.append(what.astype(np.int32))
+    cell, feature = np.concatenate(cells), np.concatenate(features)
+    del cells, features, pairs, sentence, of_doc
 
     w, bias = np.zeros(len(common)), -4.0
     m, v = np.zeros(len(common) + 1), np.zeros(len(common) + 1)
@@ -188,7 +195,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, sample: TrainingSamp
         w -= move[:-1]
         bias -= float(move[-1])
     weights = np.zeros(WEIGHTS, np.float32)
-    weights[used[common]] = w
+    weights[common] = w
     return Model(weights, bias, sample.stem)
 
 
