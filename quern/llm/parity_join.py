@@ -12,8 +12,8 @@ share, and loses no pair.
 
 Sets that share a piece are chained, a row per set and piece and never a row per
 pair; the connected groups so found hold every pair that can link.  Inside a group all pairs are compared in bounded
-blocks: first whole-sketch Hamming distances against d, then exact set
-intersections for pairs not yet connected.  What comes out of a block is a
+blocks: first by whole-sketch Hamming distances against d, which splits the group
+up, then by exact set intersections for pairs not yet connected.  What comes out of a block is a
 spanning forest of true links, which suffices for the components.
 
 Exact copies of a set collapse to one before any comparison.  Sets are compared
@@ -34,7 +34,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm import textbatch as tb
@@ -42,6 +42,7 @@ from quern.llm.components import components
 from quern.llm.scratch import stored
 
 SKETCH_WORDS = 16
+SKETCH_ROWS = 4096
 BLOCK_ROWS = 1024
 BLOCK_BYTES = 8 << 20
 COMMON_KEPT = 1 << 18
@@ -165,17 +166,25 @@ def piece_keys(grams: np.ndarray, rows: np.ndarray, size: np.ndarray, rule: Jacc
     return np.concatenate([k for k, _ in out]), np.concatenate([r for _, r in out])
 
 
+def _sketches(grams: np.ndarray, rows: np.ndarray, n: int) -> list[bytes]:
+    """Whole-set parity sketches of SKETCH_WORDS * 64 bits."""
+    width = SKETCH_WORDS * 64
+    place = (tb.mix(grams) >> np.uint64(64 - width.bit_length() + 1)).astype(np.int64)
+    odd = (np.bincount(rows * width + place, minlength=n * width) & 1).astype(np.uint8)
+    return [x.tobytes() for x in np.packbits(odd.reshape(n, width), axis=1)]
+
+
 def _sets(docs: DataFrame, rule: JaccardRule) -> DataFrame:
-    """(id, n, sid, tag) of every row of (id, text, tag)."""
+    """(id, n, sid, sketch, tag) of every row of (id, text, tag)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo, hi, buf, offs in tb.slices(b.column(1)):
                 grams, rows = ngrams(buf, offs, rule.ngram)
                 size, sid = set_ids(grams, rows, hi - lo)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(size), pa.array(sid), b.column(2).slice(lo, hi - lo)], names=["id", "n", "sid", "tag"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(size), pa.array(sid), pa.array(_sketches(grams, rows, hi - lo), pa.binary()), b.column(2).slice(lo, hi - lo)], names=["id", "n", "sid", "sketch", "tag"])
 
-    return docs.mapInArrow(run, f"id {docs.schema[0].dataType.simpleString()}, n long, sid long, tag long")
+    return docs.mapInArrow(run, f"id {docs.schema[0].dataType.simpleString()}, n long, sid long, sketch binary, tag long")
 
 
 def _common(docs: DataFrame, rule: JaccardRule, n_docs: int) -> np.ndarray:
@@ -260,10 +269,7 @@ def _members(docs: DataFrame, rule: JaccardRule) -> DataFrame:
             for lo, hi, buf, offs in tb.slices(b.column(1)):
                 grams, rows = ngrams(buf, offs, rule.ngram)
                 size, sid = set_ids(grams, rows, hi - lo)
-                bits = np.zeros((hi - lo, SKETCH_WORDS * 64), np.uint8)
-                place = (tb.mix(grams) >> np.uint64(54)).astype(np.int64)
-                np.bitwise_xor.at(bits, (rows, place), 1)
-                sketch = np.packbits(bits, axis=1)
+                sketch = _sketches(grams, rows, hi - lo)
                 cut = np.searchsorted(rows, np.arange(hi - lo + 1))
                 ok = np.flatnonzero(sid == b.column(2).slice(lo, hi - lo).to_numpy())
                 yield pa.RecordBatch.from_arrays(
@@ -272,7 +278,7 @@ def _members(docs: DataFrame, rule: JaccardRule) -> DataFrame:
                         b.column(4).slice(lo, hi - lo).take(pa.array(ok)),
                         pa.array(sid[ok]),
                         pa.array(size[ok]),
-                        pa.array([sketch[i].tobytes() for i in ok], pa.binary()),
+                        pa.array([sketch[i] for i in ok], pa.binary()),
                         pa.array([grams[cut[i] : cut[i + 1]].tobytes() for i in ok], pa.binary()),
                     ],
                     names=["comp", "blocks", "sid", "n", "sketch", "grams"],
@@ -282,7 +288,10 @@ def _members(docs: DataFrame, rule: JaccardRule) -> DataFrame:
 
 
 def _forest(left: list[tuple], right: list[tuple] | None, rule: JaccardRule) -> list[tuple[int, int]]:
-    """True links that connect what is linked, inside `left` or between the two lists."""
+    """True links that connect what is linked, inside `left` or between the two lists.
+
+    Without n-grams in the rows: what the sketches do not rule out.
+    """
     a_n = np.array([x[1] for x in left], np.int64)
     a_s = np.frombuffer(b"".join(x[2] for x in left), np.uint64).reshape(-1, SKETCH_WORDS)
     other = left if right is None else right
@@ -297,6 +306,7 @@ def _forest(left: list[tuple], right: list[tuple] | None, rule: JaccardRule) ->
             i = lead[i]
         return i
 
+    exact = len(left[0]) > 3
     sets: dict[int, np.ndarray] = {}
 
     def grams(i: int) -> np.ndarray:
@@ -318,19 +328,23 @@ def _forest(left: list[tuple], right: list[tuple] | None, rule: JaccardRule) ->
             u, v = root(p), root(q)
             if u == v:
                 continue
-            x, y = grams(p), grams(q)
-            common = len(np.intersect1d(x, y, assume_unique=True))
-            if 100 * common >= rule.percent * (len(x) + len(y) - common):
+            if exact:
+                x, y = grams(p), grams(q)
+                common = len(np.intersect1d(x, y, assume_unique=True))
+            if not exact or 100 * common >= rule.percent * (len(x) + len(y) - common):
                 lead[u] = v
                 out.append((left[p][0], (other[q - shift] if right is not None else left[q])[0]))
     return out
 
 
 def links(members: DataFrame, rule: JaccardRule, parts: int) -> DataFrame:
-    """(u, v): a spanning forest of the true links among members of each comp, found in pairs of blocks."""
+    """(u, v): a spanning forest of the links among members of each comp, found in pairs of blocks.
+
+    members are (comp, blocks, sid, n, sketch) and, for an exact check, grams.
+    """
     own = F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int")
     mate = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("mate")
-    dealt = members.withColumn("own", own).select("*", mate).select("comp", F.least("own", "mate").alias("i"), F.greatest("own", "mate").alias("j"), (F.col("own") > F.col("mate")).alias("second"), "sid", "n", "sketch", "grams")
+    dealt = members.withColumn("own", own).select("*", mate).select("comp", F.least("own", "mate").alias("i"), F.greatest("own", "mate").alias("j"), (F.col("own") > F.col("mate")).alias("second"), *members.columns[2:])
     dealt = dealt.repartition(parts, "comp", "i", "j").sortWithinPartitions("comp", "i", "j", "second")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -361,6 +375,11 @@ def links(members: DataFrame, rule: JaccardRule, parts: int) -> DataFrame:
     return dealt.mapInArrow(run, "u long, v long")
 
 
+def _in_blocks(members: DataFrame, blocks: Column) -> DataFrame:
+    """Each member with the number of blocks of its comp."""
+    return members.join(members.groupBy("comp").agg(blocks.cast("int").alias("blocks")), "comp")
+
+
 def _labelled(docs: DataFrame, rule: JaccardRule, id_col: str, text_col: str) -> DataFrame:
     """(id, n, tag, component_id) of every row."""
     spark = docs.sparkSession
@@ -370,12 +389,14 @@ def _labelled(docs: DataFrame, rule: JaccardRule, id_col: str, text_col: str) ->
     tagged = texts.withColumn("tag", F.xxhash64("id", "text"))
     sets = stored(_sets(tagged, rule), "sets")
     common = _common(texts, rule, sets.count())
-    near = components(_chains(_keys(texts, rule, common), parts)).select(F.col("id").alias("sid"), F.col("component").alias("comp"))
-    one = sets.where("n > 0").groupBy("sid").agg(F.min("tag").alias("tag"), F.first("n").alias("n"))
-    wanted = stored(near.join(one, "sid"), "wanted")
-    blocks = F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum(F.col("n") * 8 + 160) / BLOCK_BYTES)).cast("int")
-    wanted = wanted.join(wanted.groupBy("comp").agg(blocks.alias("blocks")), "comp").select("tag", F.col("sid").alias("want"), "comp", "blocks")
-    members = _members(tagged.select("tag", "text").join(stored(wanted, "asked"), "tag").select("tag", "text", "want", "comp", "blocks"), rule)
+    one = sets.where("n > 0").groupBy("sid").agg(F.min("tag").alias("tag"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    near = components(_chains(_keys(texts, rule, common), parts)).toDF("sid", "comp")
+    # Groups that share pieces fall apart where whole sketches rule the links out, before any set is shipped.
+    asked = _in_blocks(stored(near.join(one, "sid"), "near"), F.ceil(F.count("*") / SKETCH_ROWS))
+    near = components(links(asked.select("comp", "blocks", "sid", "n", "sketch"), rule, parts)).toDF("sid", "comp")
+    wanted = _in_blocks(stored(near.join(one.drop("sketch"), "sid"), "wanted"), F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum(F.col("n") * 8 + 160) / BLOCK_BYTES)))
+    wanted = stored(wanted.select("tag", F.col("sid").alias("want"), "comp", "blocks"), "asked")
+    members = _members(tagged.select("tag", "text").join(wanted, "tag").select("tag", "text", "want", "comp", "blocks"), rule)
     found = components(links(members, rule, parts))
     # Nodes of the final graph are sets; each set's smallest document stands for it.
     label = sets.where("n > 0").join(found.select(F.col("id").alias("sid"), "component"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
