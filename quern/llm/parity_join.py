@@ -41,8 +41,7 @@ from quern.llm import textbatch as tb
 from quern.llm.components import components
 from quern.llm.scratch import stored
 
-SKETCH_WORDS = 16
-SKETCH_ROWS = 4096
+SKETCH_BYTES = 1 << 20
 BLOCK_ROWS = 1024
 BLOCK_BYTES = 8 << 20
 COMMON_KEPT = 1 << 18
@@ -50,12 +49,16 @@ COMMON_KEPT = 1 << 18
 
 @dataclass(frozen=True)
 class JaccardRule:
-    """Two sets link when percent * union <= 100 * intersection."""
+    """Two sets link when percent * union <= 100 * intersection; percent is 50 to 100."""
 
     ngram: int = 5
     percent: int = 80
     spare: float = 0.25
 
+    def __post_init__(self) -> None:
+        if not 50 <= self.percent <= 100:
+            raise ValueError("percent must be from 50 to 100")
+
     def most_apart(self, total: int) -> int:
         """Largest symmetric difference of linked sets whose sizes add up to total."""
         return total * (100 - self.percent) // (100 + self.percent)
@@ -167,11 +170,43 @@ def piece_keys(grams: np.ndarray, rows: np.ndarray, size: np.ndarray, rule: Jacc
 
 
 def _sketches(grams: np.ndarray, rows: np.ndarray, n: int) -> list[bytes]:
-    """Whole-set parity sketches of SKETCH_WORDS * 64 bits."""
-    width = SKETCH_WORDS * 64
-    place = (tb.mix(grams) >> np.uint64(64 - width.bit_length() + 1)).astype(np.int64)
-    odd = (np.bincount(rows * width + place, minlength=n * width) & 1).astype(np.uint8)
-    return [x.tobytes() for x in np.packbits(odd.reshape(n, width), axis=1)]
+    """Whole-set parity sketches, of the first power of two bits that is no less than the set's size, 1024 at least."""
+    size = np.bincount(rows, minlength=n)
+    width = np.maximum(1024, 1 << np.ceil(np.log2(np.maximum(size, 1))).astype(np.int64))
+    base = np.concatenate(([0], np.cumsum(width)))
+    place = base[rows] + (tb.mix(grams).view(np.int64) & (width[rows] - 1))
+    odd = np.packbits((np.bincount(place, minlength=int(base[-1])) & 1).astype(np.uint8)).tobytes()
+    return [odd[x // 8 : y // 8] for x, y in zip(base[:-1], base[1:], strict=True)]
+
+
+def _by_width(rows: list[tuple]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Places and sketches of the rows of each sketch width, in 64-bit words."""
+    places: dict[int, list[int]] = {}
+    for i, x in enumerate(rows):
+        places.setdefault(len(x[2]) // 8, []).append(i)
+    return {w: (np.array(at), np.frombuffer(b"".join(rows[i][2] for i in at), np.uint64).reshape(-1, w)) for w, at in places.items()}
+
+
+def _near(left: list[tuple], right: list[tuple], rule: JaccardRule) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(place in left, place in right, distance) of the pairs that the sketches do not rule out, in blocks.
+
+    A sketch of twice the width folds onto a narrower one; sets whose widths are
+    further apart differ too much in size to link.
+    """
+    a_n, b_n = (np.array([x[1] for x in rows], np.int64) for rows in (left, right))
+    b_by = _by_width(right)
+    for wa, (a_at, a) in _by_width(left).items():
+        for wb, (b_at, b) in b_by.items():
+            if max(wa, wb) > 2 * min(wa, wb):
+                continue
+            w = min(wa, wb)
+            x, y = (m if m.shape[1] == w else m[:, :w] ^ m[:, w:] for m in (a, b))
+            step = max(1, (1 << 22) // max(1, len(y) * w))
+            for lo in range(0, len(x), step):
+                apart = np.bitwise_count(x[lo : lo + step, None, :] ^ y[None, :, :]).sum(2, dtype=np.int64)
+                both = a_n[a_at[lo : lo + step], None] + b_n[b_at][None, :]
+                i, j = np.nonzero(apart * (100 + rule.percent) <= both * (100 - rule.percent))
+                yield a_at[lo + i], b_at[j], apart[i, j]
 
 
 def _sets(docs: DataFrame, rule: JaccardRule) -> DataFrame:
@@ -292,11 +327,7 @@ def _forest(left: list[tuple], right: list[tuple] | None, rule: JaccardRule) ->
 
     Without n-grams in the rows: what the sketches do not rule out.
     """
-    a_n = np.array([x[1] for x in left], np.int64)
-    a_s = np.frombuffer(b"".join(x[2] for x in left), np.uint64).reshape(-1, SKETCH_WORDS)
     other = left if right is None else right
-    b_n = np.array([x[1] for x in other], np.int64)
-    b_s = np.frombuffer(b"".join(x[2] for x in other), np.uint64).reshape(-1, SKETCH_WORDS)
     lead = list(range(len(left) + (0 if right is None else len(right))))
     shift = 0 if right is None else len(left)
 
@@ -315,16 +346,12 @@ def _forest(left: list[tuple], right: list[tuple] | None, rule: JaccardRule) ->
         return sets[i]
 
     out = []
-    for lo in range(0, len(left), 64):
-        apart = np.bitwise_count(a_s[lo : lo + 64, None, :] ^ b_s[None, :, :]).sum(2, dtype=np.int64)
-        both = a_n[lo : lo + 64, None] + b_n[None, :]
-        near = apart * (100 + rule.percent) <= both * (100 - rule.percent)
-        i, j = np.nonzero(near)
+    for i, j, apart in _near(left, other, rule):
         if right is None:
-            later = j > i + lo
-            i, j = i[later], j[later]
-        order = np.argsort(apart[i, j], kind="stable")
-        for p, q in zip((i[order] + lo).tolist(), (j[order] + shift).tolist(), strict=True):
+            later = j > i
+            i, j, apart = i[later], j[later], apart[later]
+        order = np.argsort(apart, kind="stable")
+        for p, q in zip(i[order].tolist(), (j[order] + shift).tolist(), strict=True):
             u, v = root(p), root(q)
             if u == v:
                 continue
@@ -392,7 +419,7 @@ def _labelled(docs: DataFrame, rule: JaccardRule, id_col: str, text_col: str) ->
     one = sets.where("n > 0").groupBy("sid").agg(F.min("tag").alias("tag"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     near = components(_chains(_keys(texts, rule, common), parts)).toDF("sid", "comp")
     # Groups that share pieces fall apart where whole sketches rule the links out, before any set is shipped.
-    asked = _in_blocks(stored(near.join(one, "sid"), "near"), F.ceil(F.count("*") / SKETCH_ROWS))
+    asked = _in_blocks(stored(near.join(one, "sid"), "near"), F.ceil(F.sum(F.length("sketch") + 64) / SKETCH_BYTES))
     near = components(links(asked.select("comp", "blocks", "sid", "n", "sketch"), rule, parts)).toDF("sid", "comp")
     wanted = _in_blocks(stored(near.join(one.drop("sketch"), "sid"), "wanted"), F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum(F.col("n") * 8 + 160) / BLOCK_BYTES)))
     wanted = stored(wanted.select("tag", F.col("sid").alias("want"), "comp", "blocks"), "asked")
