@@ -423,7 +423,8 @@ def _labelled(docs: DataFrame, rule: JaccardRule, id_col: str, text_col: str) ->
     near = components(links(asked.select("comp", "blocks", "sid", "n", "sketch"), rule, parts)).toDF("sid", "comp")
     wanted = _in_blocks(stored(near.join(one.drop("sketch"), "sid"), "wanted"), F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum(F.col("n") * 8 + 160) / BLOCK_BYTES)))
     wanted = stored(wanted.select("tag", F.col("sid").alias("want"), "comp", "blocks"), "asked")
-    members = _members(tagged.select("tag", "text").join(wanted, "tag").select("tag", "text", "want", "comp", "blocks"), rule)
+    # What is wanted grows with the corpus, so the plan is a merge join at every size.
+    members = _members(tagged.select("tag", "text").join(wanted.hint("merge"), "tag").select("tag", "text", "want", "comp", "blocks"), rule)
     found = components(links(members, rule, parts))
     # Nodes of the final graph are sets; each set's smallest document stands for it.
     label = sets.where("n > 0").join(found.select(F.col("id").alias("sid"), "component"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
