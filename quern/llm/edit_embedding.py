@@ -9,8 +9,9 @@ A fingerprint samples the embedding at SLOTS steps, drawn consistently: the
 step of a slot is the last record of a random sequence within the walk's
 length, so it is uniform over the walk and mostly the same for texts of nearly
 equal length.  Two fingerprints' likeness is the share of equal slots, corrected
-for chance.  Near pairs come from bands of sampled slots and are verified on the
-fingerprints and then on the words of the texts.
+for chance.  Near copies are texts whose likeness on any of WALKS independent
+walks reaches a cut.  Candidates share a band of sampled slots of a walk; all
+distinct texts of a band are compared, in blocks of about BLOCK_ROWS.
 
 Edge cases: null text reads as empty and has the all-zero fingerprint; equal
 texts have equal fingerprints, and two empty texts are alike (1.0); equal ids
@@ -35,6 +36,8 @@ from quern.llm.scratch import stored
 
 SLOTS = 128
 BANDS, BAND_SLOTS = 16, 8
+WALKS = 3
+BLOCK_ROWS = 1024
 PERIOD = 4096
 BLOCK_CHARS = 6 << 20
 _STEPS = 128
@@ -57,9 +60,11 @@ def _records() -> np.ndarray:
 
 
 _RECORDS = _records()
+#: The bits of each walk; the first walk's are those of the fingerprint column.
+_MOVES = [_MOVE, *(np.random.Generator(np.random.PCG64(99 + k)).integers(0, 2, (PERIOD, 256), dtype=np.uint8) for k in range(1, WALKS))]
 
 
-def fingerprints(texts: list[np.ndarray]) -> np.ndarray:
+def fingerprints(texts: list[np.ndarray], move: np.ndarray = _MOVE) -> np.ndarray:
     """uint8 slots of each text, given as code points; 0 only where a text has no character."""
     out = np.zeros((len(texts), SLOTS), np.uint8)
     lens = np.array([len(t) for t in texts], np.int64)
@@ -92,7 +97,7 @@ def fingerprints(texts: list[np.ndarray]) -> np.ndarray:
         pos, stop = at[:active], end[:active]
         for j in range(_STEPS):
             log[j, :active] = pos
-            pos = pos + _MOVE[(block + j) % PERIOD][code[pos]]
+            pos = pos + move[(block + j) % PERIOD][code[pos]]
             np.minimum(pos, stop, out=pos)
         at[:active] = pos
         upto = int(np.searchsorted(steps, block + _STEPS))
@@ -109,6 +114,16 @@ def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.clip((same - 1 / 12) / (1 - 1 / 12), 0, 1)
 
 
+def walks_likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The best likeness of any walk, of fingerprints with the walks side by side."""
+    return np.max([likeness(a[:, k : k + SLOTS], b[:, k : k + SLOTS]) for k in range(0, b.shape[1], SLOTS)], 0)
+
+
+def text_key(text: str) -> int:
+    """64 bits by which equal texts meet."""
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
 def _code_points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
@@ -160,11 +175,20 @@ def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.mapInArrow(run, "bucket long, tail boolean, id long, text string").repartition(parts, "bucket")
 
 
-FIGURES = "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+FIGURES = "text_key long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
 def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprints of each text and of its edited form (see the query's contract), and their likenesses."""
+    return _edited(docs, id_col, text_col).drop("text_key")
+
+
+def edited_and_near(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """edited_fingerprints and each row's component_id of near copies."""
+    return _with_component(_edited(docs, id_col, text_col), _component_of_key(plain_fingerprints(docs, id_col, text_col), least, id_col), id_col).drop("text_key")
+
+
+def _edited(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     rows = with_next(docs, id_col, text_col).sortWithinPartitions("bucket", "tail", F.col("id").asc_nulls_first(), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,6 +215,7 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             out = pa.RecordBatch.from_arrays(
                 [
                     pa.array([i for i, _, _ in pairs], pa.int64()),
+                    pa.array([text_key(t) for t in texts], pa.int64()),
                     pa.array([len(t) for t in texts], pa.int64()),
                     pa.array([hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in edited]),
                     pa.array([p.tobytes().hex() for p in own]),
@@ -218,43 +243,106 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def plain_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_chars, fingerprint) of every text, without a shuffle."""
+    """(id, text_key, n_chars, fingerprint) of every text, the walks side by side, without a shuffle."""
     picked = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias(text_col))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column(1).to_pylist()
             for lo, hi in _blocks(texts):
-                prints = fingerprints([_code_points(t) for t in texts[lo:hi]])
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array([len(t) for t in texts[lo:hi]], pa.int64()), pa.array([p.tobytes() for p in prints], pa.binary())], names=[id_col, "n_chars", "fingerprint"])
+                points = [_code_points(t) for t in texts[lo:hi]]
+                prints = np.hstack([fingerprints(points, move) for move in _MOVES])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array([text_key(t) for t in texts[lo:hi]], pa.int64()), pa.array([len(t) for t in texts[lo:hi]], pa.int64()), pa.array([p.tobytes() for p in prints], pa.binary())], names=[id_col, "text_key", "n_chars", "fingerprint"])
 
-    return picked.mapInArrow(run, f"{id_col} {picked.schema[0].dataType.simpleString()}, n_chars long, fingerprint binary")
+    return picked.mapInArrow(run, f"{id_col} {picked.schema[0].dataType.simpleString()}, text_key long, n_chars long, fingerprint binary")
 
 
-def near_copies(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, component_id): near copies by bit-sampled bands, verified.
+def _forest(prints: np.ndarray, left: int, least: float) -> list[tuple[int, int]]:
+    """Links of a spanning forest of the alike rows: among all if left is 0, else of the first `left` with the rest.
 
-    Each band takes BAND_SLOTS sampled slots of the fingerprint; texts that
-    share a band are compared with that band's smallest id, a row per text and
-    band and never a pair of any two, and joined where their fingerprints'
-    likeness reaches `least`.  component_id is the smallest id so reachable.
-    Empty texts stay alone.
+    A pair is left uncompared only where both are connected already.
     """
-    prints = stored(plain_fingerprints(docs, id_col, text_col).where("n_chars > 0 and " + id_col + " is not null"), "prints").select(F.col(id_col).alias("id"), "fingerprint")
-    cut = np.random.Generator(np.random.PCG64(7)).permutation(SLOTS)
-    bands = F.array(*[F.xxhash64(F.lit(k), *[F.substring("fingerprint", int(s) + 1, 1) for s in cut[k * BAND_SLOTS : (k + 1) * BAND_SLOTS]]) for k in range(BANDS)])
-    keyed = prints.select("id", F.explode(bands).alias("band"))
-    lead = keyed.groupBy("band").agg(F.min("id").alias("lead"), F.count("*").alias("n")).where("n > 1").select("band", "lead")
-    pairs = keyed.join(lead, "band").where("id > lead").select("id", "lead").distinct()
-    both = pairs.join(prints, "id").join(prints.select(F.col("id").alias("lead"), F.col("fingerprint").alias("other")), "lead")
+    n = len(prints)
+    group = np.arange(n)
+    out = []
+    for i in range(left or n - 1):
+        others = np.arange(left or i + 1, n)
+        others = others[group[others] != group[i]]
+        hits = others[walks_likeness(prints[i : i + 1], prints[others]) >= least] if len(others) else others
+        if len(hits):
+            joined, at = np.unique(group[hits], return_index=True)
+            out += [(i, int(k)) for k in hits[at]]
+            group[np.isin(group, joined)] = group[i]
+            if (group == group[0]).all():
+                break
+    return out
+
+
+def _links(members: DataFrame, least: float) -> DataFrame:
+    """(u, v): links among the members (band, lo, hi, own, text_key, fingerprint) of each pair of blocks."""
+    parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = members.select("band", "lo", "hi", "own", "text_key", "fingerprint").repartition(parts, "band", "lo", "hi").sortWithinPartitions("band", "lo", "hi", "own", "text_key")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now: tuple | None = None
+        rows: list[tuple] = []
+        out: list[tuple[int, int]] = []
+
+        def close() -> None:
+            if len(rows) > 1:
+                left = sum(own == now[1] for own, _, _ in rows) if now[1] != now[2] else 0
+                if now[1] == now[2] or 0 < left < len(rows):
+                    prints = np.frombuffer(b"".join(p for _, _, p in rows), np.uint8).reshape(len(rows), -1)
+                    out.extend((rows[i][1], rows[k][1]) for i, k in _forest(prints, left, least))
+
+        def found() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([u for u, _ in out], pa.int64()), pa.array([v for _, v in out], pa.int64())], names=["u", "v"])
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if b.num_rows:
-                a, z = (np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint8).reshape(-1, SLOTS) for k in ("fingerprint", "other"))
-                yield b.select(["id", "lead"]).filter(pa.array(likeness(a, z) >= least))
-
-    kind = docs.schema[id_col].dataType.simpleString()
-    linked = both.select("id", "lead", "fingerprint", "other").mapInArrow(verify, f"id {kind}, lead {kind}")
-    labels = components(linked.toDF("u", "v"))
-    return docs.select(F.col(id_col)).join(labels.toDF(id_col, "component_id"), id_col, "left").withColumn("component_id", F.coalesce("component_id", id_col))
+            for band, lo, hi, own, key, prints in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if (band, lo, hi) != now:
+                    close()
+                    now, rows = (band, lo, hi), []
+                rows.append((own, key, prints))
+            if out:
+                yield found()
+                out = []
+        close()
+        if out:
+            yield found()
+
+    return dealt.mapInArrow(run, "u long, v long").distinct()
+
+
+def _component_of_key(prints: DataFrame, least: float, id_col: str) -> DataFrame:
+    """(text_key, component_id): the smallest id of each distinct text's near copies."""
+    some = prints.where("n_chars > 0").groupBy("text_key").agg(F.min("fingerprint").alias("fingerprint"), F.min(id_col).alias("low"))
+    texts = stored(some, "prints")
+    cut = np.random.Generator(np.random.PCG64(7)).permutation(SLOTS)
+    bands = F.array(*[F.xxhash64(F.lit(w * BANDS + k), *[F.substring("fingerprint", w * SLOTS + int(s) + 1, 1) for s in cut[k * BAND_SLOTS : (k + 1) * BAND_SLOTS]]) for w in range(WALKS) for k in range(BANDS)])
+    keyed = texts.select("text_key", F.explode(bands).alias("band"))
+    shared = keyed.groupBy("band").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"), F.count("*").alias("n")).where("n > 1").drop("n")
+    own = F.pmod(F.xxhash64("text_key"), F.col("blocks")).cast("int")
+    met = keyed.join(shared, "band").withColumn("own", own).withColumn("mate", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    members = met.select("band", "text_key", "own", F.least("own", "mate").alias("lo"), F.greatest("own", "mate").alias("hi")).join(texts.select("text_key", "fingerprint"), "text_key")
+    found = components(_links(members, least)).toDF("text_key", "component")
+    label = texts.select("text_key", "low").join(found, "text_key", "left").withColumn("component", F.coalesce("component", "text_key"))
+    return label.join(label.groupBy("component").agg(F.min("low").alias("component_id")), "component").select("text_key", "component_id")
+
+
+def _with_component(rows: DataFrame, by_key: DataFrame, id_col: str) -> DataFrame:
+    component = F.when(F.col("n_chars") > 0, F.coalesce("component_id", id_col)).otherwise(F.col(id_col))
+    return rows.join(by_key, "text_key", "left").withColumn("component_id", component)
+
+
+def near_copies(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, component_id): near copies by bit-sampled bands, verified.
+
+    Each band takes BAND_SLOTS sampled slots of one walk's fingerprint.  All
+    distinct texts of a band are compared, in pairs of blocks, and joined where
+    their likeness on any walk reaches `least`; rows of one text are one.
+    component_id is the smallest id so reachable.  Empty texts stay alone; rows
+    of null id link like others and get an id from a linked row only.
+    """
+    prints = stored(plain_fingerprints(docs, id_col, text_col), "rows")
+    return _with_component(prints, _component_of_key(prints, least, id_col), id_col).select(id_col, "component_id")

@@ -22,7 +22,7 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_edit_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return edit_embedding.edited_fingerprints(_table(spark, sf_dir, "documents"))
+    return edit_embedding.edited_and_near(_table(spark, sf_dir, "documents"))
 
 
 def op3_quality_vote(spark: SparkSession, sf_dir: str) -> DataFrame:

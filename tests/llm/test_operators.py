@@ -98,6 +98,59 @@ def test_near_copies(hard):
     assert got[3] == got[17] == got[1] == 1 and got[5] == 5 and got[15] == 15
 
 
+def _least_linked(ids, alike):
+    label = {i: i for i in ids}
+    for a, b in alike:
+        low, high = sorted((label[a], label[b]))
+        label = {i: low if v == high else v for i, v in label.items()}
+    return label
+
+
+def test_near_copies_behind_an_unlike_lead(spark, monkeypatch):
+    r = np.random.default_rng(3)
+    cut = np.random.Generator(np.random.PCG64(7)).permutation(edit_embedding.SLOTS)
+    a = r.integers(1, 120, edit_embedding.WALKS * edit_embedding.SLOTS).astype(np.uint8)
+    b, c = a.copy(), a.copy()
+    for w in range(edit_embedding.WALKS):
+        for band in range(6):
+            at = w * edit_embedding.SLOTS + cut[band * 8 : band * 8 + 8]
+            b[at] += 120
+            c[at] = b[at]
+            c[at[0]] += 1
+    prints = spark.createDataFrame([(i, i, 9, bytearray(p.tobytes())) for i, p in enumerate((a, b, c), 1)], "doc_id long, text_key long, n_chars long, fingerprint binary")
+    monkeypatch.setattr(edit_embedding, "plain_fingerprints", lambda *_: prints)
+    for rows in (1024, 1):
+        monkeypatch.setattr(edit_embedding, "BLOCK_ROWS", rows)
+        got = {x["doc_id"]: x["component_id"] for x in edit_embedding.near_copies(prints.select("doc_id", "text_key")).collect()}
+        assert got == {1: 1, 2: 2, 3: 2}
+
+
+def test_components_of_planted_edits(spark):
+    import random
+
+    from conftest import invented
+
+    r = random.Random(11)
+    template = invented(40, 250)
+    texts = [template + " " + invented(50 + k, 120) for k in range(30)]
+    for t in list(texts):
+        for edits in (1, 3):
+            c = list(t)
+            for _ in range(edits):
+                c[r.randrange(len(c))] = r.choice("qxz")
+            texts.append("".join(c))
+    df = spark.createDataFrame([(i, t, None, None, len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {x["doc_id"]: x["component_id"] for x in edit_embedding.edited_and_near(df).collect()}
+    points = [np.frombuffer(t.encode("utf-32-le"), np.uint32) for t in texts]
+    prints = np.hstack([edit_embedding.fingerprints(points, m) for m in edit_embedding._MOVES])
+    alike = [(i, j) for i in range(len(texts)) for j in range(i + 1, len(texts)) if edit_embedding.walks_likeness(prints[i : i + 1], prints[j : j + 1])[0] >= 0.8]
+    assert len(alike) >= 60
+    want = _least_linked(range(len(texts)), alike)
+    found = sum(got[i] == got[j] for i, j in alike)
+    assert found >= 0.97 * len(alike)
+    assert all(want[got[i]] == want[i] for i in got)
+
+
 # 3 and 6 classifiers
 
 
