@@ -78,3 +78,23 @@ def test_streams_give_the_batch_result(spark):
     if os.path.isdir("/root/testdata/sf0.001"):
         n = spark.read.parquet("/root/testdata/sf0.001/events.parquet").count()
         assert events.stream_daily(spark, "/root/testdata/sf0.001").agg(F.sum("n")).first()[0] == n
+
+
+def test_stream_daily_counts_late_files(spark, tmp_path):
+    import datetime
+    import os
+    import shutil
+
+    from quern.streaming import events
+
+    schema = "event_id long, ts timestamp_ntz, event_type string, user_id long, value double"
+    folder = tmp_path / "events.parquet"
+    folder.mkdir()
+    for k in range(10):
+        at = datetime.datetime(2024, 12, 1) - datetime.timedelta(days=30 * k)
+        spark.createDataFrame([(k, at, "view", 1, 1.0)], schema).coalesce(1).write.parquet(str(tmp_path / f"part{k}"))
+        (part,) = (tmp_path / f"part{k}").glob("*.parquet")
+        shutil.copy(part, folder / f"{k}.parquet")
+        os.utime(folder / f"{k}.parquet", (1_700_000_000 + k, 1_700_000_000 + k))
+    got = events.stream_daily(spark, str(tmp_path)).collect()
+    assert len(got) == 10 and all(r["n"] == 1 for r in got)
