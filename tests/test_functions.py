@@ -98,3 +98,23 @@ def test_stream_daily_counts_late_files(spark, tmp_path):
         os.utime(folder / f"{k}.parquet", (1_700_000_000 + k, 1_700_000_000 + k))
     got = events.stream_daily(spark, str(tmp_path)).collect()
     assert len(got) == 10 and all(r["n"] == 1 for r in got)
+
+
+def test_duplicates_of_other_rows_than_the_first(spark):
+    from quern.plans import models
+
+    tail = "the quick brown fox jumps over a lazy dog while rain falls"
+    texts = [
+        "parish of saint mary and many other quite unrelated words", "parish of the holy ghost at riverbank hill top", "parish of the holy ghost at riverbank hill tops",
+        "Alpha " + tail, "Omega " + tail, "x" * 130 + " one two three four five six seven", "x" * 130 + "".join(f" {k}q" for k in range(80)),
+    ]
+    df = spark.createDataFrame([(i, t, "en", f"s{i}") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string")
+    real, models.table = models.table, lambda *_: df
+    try:
+        for rows in (256, 1):
+            kept, S.BLOCK_ROWS = S.BLOCK_ROWS, rows
+            got = {(r["doc_id"], r["seed"]) for r in models.fuzzy_dedup(spark, "").collect()}
+            S.BLOCK_ROWS = kept
+            assert got == {(2, 1), (4, 3)}
+    finally:
+        models.table = real
