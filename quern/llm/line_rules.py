@@ -169,7 +169,7 @@ def figures(docs: DataFrame, rules: LineRules = LineRules(), id_col: str = "doc_
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), *(pa.array(got[k], t) for k, t in _FIELDS)], names=[b.schema.names[0], *(k for k, _ in _FIELDS)])
 
     picked = docs.select(F.col(id_col), F.col(text_col))
-    return picked.mapInArrow(run, f"{id_col} {picked.schema[0].dataType.simpleString()}, {FIGURES}")
+    return tb.in_batches(picked, run, f"{id_col} {picked.schema[0].dataType.simpleString()}, {FIGURES}")
 
 
 def clean(docs: DataFrame, rules: LineRules = LineRules(), text_col: str = "text") -> DataFrame:
@@ -194,4 +194,4 @@ def clean(docs: DataFrame, rules: LineRules = LineRules(), text_col: str = "text
                 columns[at] = texts
                 yield pa.RecordBatch.from_arrays([c.take(pa.array(kept)) for c in columns], names=part.schema.names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return tb.in_batches(docs, run, docs.schema)

@@ -1,27 +1,33 @@
 """Substring deduplication by seed and extend.
 
-Seeds are winnowed anchors: of the WIDTH k-word hashes inside a window of
-`window` words the smallest is the window's anchor, so any two equal windows
-share an anchor at the same place.  Anchors are joined over all documents;
-those that occur once are sent back to their document, and what is left are the
-seeds.  Every seed is extended both ways over the windows it anchors, up to the
-window's length on either side, and an extended match is confirmed where the
-whole word sequence has an earlier start.  Confirmed windows that touch or
-overlap merge into maximal repeats.
-
-All three meeting points (anchors, extended windows, what returns to a
-document) are aggregations that combine before the shuffle, so a passage in a
-third of all documents costs a row per task and not a pair per couple.  Texts
-are shuffled once and that exchange is reused.
-
-Windows are compared by 80 hash bits; texts travel compressed.  "Earlier" is a smaller doc_id, or an
-earlier start in the same document.
-
-Edge cases: null text has no words; null ids come before all others; equal rows
-are one document (both keep or lose the same words), and different texts under
-one id are ordered by a hash of the text; documents below `window` words lose
-nothing; empty tables give empty results; extra columns pass through `cut`
-untouched.
+Seeds are winnowed anchors: of the `seed`-word hashes inside a window of `window`
+words the smallest is the window's anchor, so equal windows have equal anchors at
+the same place.  Documents are joined on their anchors: every occurrence of an
+anchor meets its first one, the leader, and gets the words around it.  The match
+is extended both ways, word by word, and matches of at least `window` words are
+repeats of earlier text.
+
+An occurrence may differ from its leader and yet repeat a third document.  Windows
+that stay unconfirmed are therefore seeds of a second round, each as a whole: they
+are joined on the hash of the window with its first occurrence, and the words
+compared again.  What both rounds confirm is every word with an earlier start;
+touching and overlapping matches merge into maximal repeats.
+
+Every occurrence meets one leader and never all others, so a passage in a third of
+all documents costs a row for each of them.  Leaders are found by aggregations that
+combine before the shuffle; in the joins a leader's side has one row a key, and
+adaptive execution splits the other.  Words travel in pieces of BLOCK words with
+enough on either side, each to a document once.  Texts are shuffled once,
+compressed, and that exchange is reused.
+
+Words are compared by 64-bit hashes, one by one.  "Earlier" is a smaller doc_id, or
+an earlier start in the same document.
+
+Edge cases: null text has no words; null ids come before all others, in order of a
+hash of the text; equal rows are one document (both keep or lose the same words),
+and different texts under one id are ordered by a hash of the text; documents below
+`window` words lose nothing; empty tables give empty results; extra columns pass
+through `cut` untouched.
 """
 
 from __future__ import annotations
@@ -29,6 +35,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +44,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm import textbatch as tb
+from quern.llm.scratch import parts_for
 
-_NO_ID = -(1 << 63)
+#: Null ids become the least ids, by a hash of the text.
+_NO_ID, _NULLS = -(1 << 63), 1 << 40
+#: A place is a hash of the text, which tells apart different texts under one id, and PLACE_BITS of a word's number.
+PLACE_BITS = 40
+#: Leaders' words travel in pieces of so many bits of words.
+BLOCK_BITS = 7
 
 
 @dataclass(frozen=True)
@@ -85,10 +98,10 @@ def _packed(docs: DataFrame) -> DataFrame:
                 yield part.set_column(1, "text", pa.array([press.compress(data[s:e]) for s, e in zip(offs[:-1], offs[1:], strict=True)], pa.binary()))
 
     fields = [f"`{f.name}` {'binary' if k == 1 else f.dataType.simpleString()}" for k, f in enumerate(docs.schema)]
-    return docs.mapInArrow(run, ", ".join(fields))
+    return tb.in_batches(docs, run, ", ".join(fields))
 
 
-def _opened(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+def _opened(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
     """Batches of some rows with their texts decompressed."""
     press = zstandard.ZstdDecompressor()
     for whole in batches:
@@ -97,14 +110,26 @@ def _opened(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.
             yield b.set_column(1, "text", pa.array([press.decompress(x) for x in b.column(1).to_pylist()], pa.large_binary()))
 
 
-def _slices(b: pa.RecordBatch) -> Iterator[tuple]:
-    for lo, hi, buf, offs in tb.slices(b.column(1)):
-        starts, ends, rows = tb.word_spans(buf, offs)
-        words = tb.hash_spans(buf, starts, ends)
-        first = np.searchsorted(rows, np.arange(hi - lo + 1))
-        # Tells apart different texts under one id.
-        text = (tb.hash_spans(buf, offs[:-1], offs[1:]) >> np.uint64(49)).astype(np.int64) << 40
-        yield lo, hi, buf, offs, starts, ends, rows, words, first, text
+class Slice:
+    """Rows lo to hi of a batch: bytes, words, and where each row's words begin."""
+
+    def __init__(self, lo: int, hi: int, buf: np.ndarray, offs: np.ndarray) -> None:
+        self.lo, self.hi, self.n, self.buf, self.offs = lo, hi, hi - lo, buf, offs
+        self.starts, self.ends, self.rows = tb.word_spans(buf, offs)
+        self.first = np.searchsorted(self.rows, np.arange(self.n + 1))
+        self.text = (tb.hash_spans(buf, offs[:-1], offs[1:]) >> np.uint64(49)).astype(np.int64) << PLACE_BITS
+
+    @cached_property
+    def words(self) -> np.ndarray:
+        return tb.hash_spans(self.buf, self.starts, self.ends)
+
+    def place(self, at: np.ndarray) -> np.ndarray:
+        """The places of words, by their numbers in the slice."""
+        return self.text[self.rows[at]] + at - self.first[self.rows[at]]
+
+
+def _slices(texts: pa.Array) -> Iterator[Slice]:
+    return (Slice(*x) for x in tb.slices(texts))
 
 
 def _flat(column: pa.Array, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
@@ -114,86 +139,202 @@ def _flat(column: pa.Array, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
     return part.flatten().to_numpy(), np.repeat(np.arange(hi - lo), size)
 
 
-def _among(values: np.ndarray, rows: np.ndarray, own: np.ndarray, own_rows: np.ndarray) -> np.ndarray:
-    """Which (own_rows, own) pairs are among the (rows, values) pairs."""
-    mine = tb.mix(own.astype(np.uint64) * np.uint64(3) + own_rows.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    theirs = np.sort(tb.mix(values.astype(np.uint64) * np.uint64(3) + rows.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
-    if not len(theirs):
-        return np.zeros(len(own), bool)
-    return theirs[np.minimum(np.searchsorted(theirs, mine), len(theirs) - 1)] == mine
+def _fields(column: pa.Array, lo: int, hi: int) -> tuple[list, np.ndarray]:
+    """Fields and row numbers of the structs in a list column's rows lo to hi; binary ones as lists of bytes."""
+    part = column.slice(lo, hi - lo)
+    size = part.value_lengths().fill_null(0).to_numpy()
+    return [x.to_pylist() if pa.types.is_binary(x.type) else x.to_numpy() for x in part.flatten().flatten()], np.repeat(np.arange(hi - lo), size)
+
+
+def _dealt(pairs: DataFrame, name: str) -> DataFrame:
+    """(d, name): a document's (at, d0, at0), each once."""
+    return pairs.groupBy("d").agg(F.collect_set(F.struct("at", "d0", "at0")).alias(name))
+
+
+def _mixed(values: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Values told apart by row."""
+    return tb.mix(values.astype(np.uint64) * np.uint64(3) + rows.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
 
+def _found(keys: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the asked are among the keys, and the key's place for these."""
+    order = np.argsort(keys, kind="stable")
+    if not len(keys):
+        return np.zeros(len(asked), bool), np.zeros(0, np.int64)
+    at = np.minimum(np.searchsorted(keys[order], asked), len(keys) - 1)
+    hit = keys[order][at] == asked
+    return hit, order[at[hit]]
 
-def _seeded(lonely: pa.Array, lo: int, hi: int, starts: np.ndarray, place: np.ndarray, rows: np.ndarray, first: np.ndarray, text: np.ndarray) -> np.ndarray:
-    """The windows whose anchor occurs elsewhere, i.e. is not among the lonely ones."""
-    values, of = _flat(lonely, lo, hi)
-    row = rows[starts]
-    return ~_among(values, of, text[row] + place - first[row], row)
+
+def _occurrences(keys: np.ndarray, at: np.ndarray, of: Slice, ids: pa.Array, names: list[str]) -> pa.RecordBatch:
+    """(key, d, at, n): each key of a document once, at its first place, with how often it occurs."""
+    row = of.rows[at]
+    _, one, times = np.unique(_mixed(keys, row), return_index=True, return_counts=True)
+    row, at = row[one], at[one]
+    return pa.RecordBatch.from_arrays([pa.array(tb.signed(keys[one])), pa.array(ids.to_numpy()[row]), pa.array(of.place(at)), pa.array(times)], names=names)
 
 
 def _anchor_rows(docs: DataFrame, rule: Repeats) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lo, hi, _, _, _, _, rows, words, first, text in _slices(b):
-                starts, place, grams = anchors(words, rows, rule)
-                if not len(starts):
-                    continue
-                at = place[np.concatenate(([True], place[1:] != place[:-1]))]
-                at = np.unique(at)
-                row = rows[at]
-                # Once a document and hash, with how often.
-                key = tb.mix(grams[at] + row.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-                _, one, times = np.unique(key, return_index=True, return_counts=True)
-                one_at, one_row = at[one], row[one]
-                ids = b.column(0).slice(lo, hi - lo).to_numpy()
-                yield pa.RecordBatch.from_arrays([pa.array(tb.signed(grams[one_at])), pa.array(ids[one_row]), pa.array(text[one_row] + one_at - first[one_row]), pa.array(times)], names=["h", "d", "at", "n"])
+            for of in _slices(b.column(1)):
+                starts, place, grams = anchors(of.words, of.rows, rule)
+                if len(starts):
+                    at = np.unique(place)
+                    yield _occurrences(grams[at], at, of, b.column(0).slice(of.lo, of.n), ["h", "d", "at", "n"])
+
+    return tb.in_batches(docs, run, "h long, d long, at long, n long")
 
-    return docs.mapInArrow(run, "h long, d long, at long, n long")
 
+def _led(occurrences: DataFrame) -> DataFrame:
+    """(d, at, d0, at0): occurrences of keys (h, d, at, n) that occur again, with the key's first one."""
+    first = occurrences.groupBy("h").agg(F.sum("n").alias("all"), F.min(F.struct("d", "at")).alias("m")).where("all > 1")
+    # A key of its own gives the join exchanges of its own, whose large partitions can be split.
+    own = F.col("h").bitwiseXOR(F.lit(-1)).alias("g")
+    first = first.select("h", own, F.col("m.d").alias("d0"), F.col("m.at").alias("at0"))
+    met = occurrences.select("h", own, "d", "at", "n").join(first.hint("merge"), ["g", "h"])
+    return met.where("n > 1 or d <> d0 or at <> at0").select("d", "at", "d0", "at0")
+
+
+def _pieces(texts: DataFrame, seeds: DataFrame, name: str, rule: Repeats) -> DataFrame:
+    """(d, name): for each document with seeds, the pieces (d0, s, words) of the leaders' texts."""
+    column = seeds.columns[1]
+    asked = seeds.select("d", F.explode(F.array_distinct(F.transform(column, lambda x: F.struct(x["d0"].alias("d0"), F.shiftright(x["at0"], BLOCK_BITS).alias("s"))))).alias("p")).select("d", "p.d0", "p.s")
+    wanted = asked.groupBy("d0").agg(F.collect_set("s").alias("wanted")).withColumnRenamed("d0", "d")
 
-def _window_rows(docs: DataFrame, rule: Repeats) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=3)
         for b in _opened(batches):
-            for lo, hi, _, _, _, _, rows, words, first, text in _slices(b):
-                starts, place, _ = anchors(words, rows, rule)
-                if not len(starts):
-                    continue
-                starts = starts[_seeded(b.column(2), lo, hi, starts, place, rows, first, text)]
-                key, check = tb.windows(words, rule.window)[starts], tb.windows(words, rule.window, 1)[starts]
-                row = rows[starts]
-                _, one = np.unique(tb.mix(key + row.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), return_index=True)
+            for lo, hi, buf, offs in tb.slices(b.column(1)):
+                of = Slice(lo, hi, buf, offs)
+                segment, row = _flat(b.column(b.num_columns - 1), lo, hi)
+                mine = (segment >> (PLACE_BITS - BLOCK_BITS)) == (of.text[row] >> PLACE_BITS)
+                segment, row = segment[mine], row[mine]
+                at = ((segment << BLOCK_BITS) - of.text[row]).clip(0)
+                first, last = of.first[row], of.first[row + 1]
+                begin, end = np.maximum(first + at - (rule.window - rule.seed), first), np.minimum(first + at + (1 << BLOCK_BITS) + rule.window, last)
+                some = np.flatnonzero(begin < end)
+                data = memoryview(np.ascontiguousarray(buf))
                 ids = b.column(0).slice(lo, hi - lo).to_numpy()
-                row, at = row[one], starts[one]
-                yield pa.RecordBatch.from_arrays([pa.array(tb.signed(key[one])), pa.array((check[one] >> np.uint64(48)).astype(np.int32)), pa.array(ids[row]), pa.array(text[row] + at - first[row])], names=["w", "c", "d", "at"])
+                words = [press.compress(data[of.starts[i] : of.ends[j - 1]]) for i, j in zip(begin[some], end[some], strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[row[some]]), pa.array(segment[some]), pa.array(words, pa.binary())], names=["d0", "s", "words"])
+
+    own = F.xxhash64("d0", "s").alias("g")
+    # Equal rows give equal pieces, of which one goes on.
+    cut = tb.in_batches(texts.join(wanted, "d"), run, "d0 long, s long, words binary").groupBy("d0", "s").agg(F.min("words").alias("words"))
+    sent = asked.select("d", "d0", "s", own).join(cut.select("d0", "s", own, "words").hint("merge"), ["g", "d0", "s"])
+    return sent.groupBy("d").agg(F.collect_list(F.struct("d0", "s", "words")).alias(name))
+
+
+class _Leaders:
+    """The seeds of a slice's documents and the leaders' words that came with them."""
+
+    def __init__(self, of: Slice, seeds: pa.Array, pieces: pa.Array, rule: Repeats) -> None:
+        self.of, self.rule = of, rule
+        (self.at, self.d0, self.at0), self.row = _fields(seeds, of.lo, of.hi)
+        mine = (self.at >> PLACE_BITS) == (of.text[self.row] >> PLACE_BITS)
+        self.at, self.d0, self.at0, self.row = self.at[mine], self.d0[mine], self.at0[mine], self.row[mine]
+        (d0, s, words), row = _fields(pieces, of.lo, of.hi)
+        press = zstandard.ZstdDecompressor()
+        texts = [press.decompress(x) for x in words]
+        buf = np.frombuffer(b"".join(texts), np.uint8)
+        starts, ends, piece = tb.word_spans(buf, np.concatenate(([0], np.cumsum([len(x) for x in texts], dtype=np.int64))))
+        self.words = tb.hash_spans(buf, starts, ends)
+        self.cut = np.searchsorted(piece, np.arange(len(texts) + 1))
+        # The place in the leader's document of a piece's first word.
+        low = (s << BLOCK_BITS) & ((1 << PLACE_BITS) - 1)
+        self.base = (s << BLOCK_BITS) - low + np.maximum(low - (rule.window - rule.seed), 0) if len(s) else s
+        self.piece_keys = _mixed(s ^ tb.signed(tb.mix(d0.astype(np.uint64))), row) if len(s) else np.zeros(0, np.uint64)
+
+    def meet(self, keys: np.ndarray, at: np.ndarray, own: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of places `at` with `keys`: those that have an earlier leader, its piece, the place's counterpart there; and whether each has one.
+
+        own are the keys of all places of the slice, by which seeds are told.
+        """
+        seed = _mixed(own[self.of.first[self.row] + (self.at - self.of.text[self.row])], self.row)
+        hit, k = _found(seed, _mixed(keys, self.of.rows[at]))
+        row = self.of.rows[at[hit]]
+        later = (self.d0[k] != ids[row]) | (self.at0[k] != self.of.place(at[hit]))
+        led = np.zeros(len(at), bool)
+        led[np.flatnonzero(hit)[later]] = True
+        k, row = k[later], row[later]
+        ask = (self.at0[k] >> BLOCK_BITS) ^ tb.signed(tb.mix(self.d0[k].astype(np.uint64)))
+        there, piece = _found(self.piece_keys, _mixed(ask, row))
+        return at[led][there], piece, self.at0[k][there] - self.base[piece] + self.cut[piece], led
+
+    def equal(self, at: np.ndarray, piece: np.ndarray, other: np.ndarray, before: int, after: int) -> np.ndarray:
+        """Which of the words from `before` to `after` around each place are those around its counterpart."""
+        out = np.zeros((len(at), before + after), bool)
+        first, last = self.of.first[self.of.rows[at]], self.of.first[self.of.rows[at] + 1]
+        low, high = self.cut[piece], self.cut[piece + 1]
+        for col, step in enumerate(range(-before, after)):
+            x, y = at + step, other + step
+            inside = np.flatnonzero((x >= first) & (x < last) & (y >= low) & (y < high))
+            out[inside, col] = self.of.words[x[inside]] == self.words[y[inside]]
+        return out
+
+
+def _extended(of: Slice, ids: np.ndarray, seeds: pa.Array, pieces: pa.Array, rule: Repeats) -> tuple[np.ndarray, np.ndarray]:
+    """Flags of the starts of repeats that the anchors' leaders confirm; starts of windows with a leader that they do not."""
+    starts, place, grams = anchors(of.words, of.rows, rule)
+    flags = np.zeros(len(of.words), bool)
+    if not len(starts):
+        return flags, starts
+    leaders, side = _Leaders(of, seeds, pieces, rule), rule.window - rule.seed
+    every = np.unique(place)
+    at, piece, other, led = leaders.meet(grams[every], every, grams, ids)
+    same = leaders.equal(at, piece, other, side, rule.window)
+    left = np.minimum.accumulate(same[:, :side][:, ::-1], axis=1).sum(1)
+    right = np.minimum.accumulate(same[:, side + rule.seed :], axis=1).sum(1)
+    whole = same[:, side : side + rule.seed].all(1) & (left + right >= side)
+    begin, number = (at - left)[whole], (left + right - side + 1)[whole]
+    delta = np.zeros(len(flags) + 1, np.int64)
+    np.add.at(delta, begin, 1)
+    np.add.at(delta, begin + number, -1)
+    flags = np.cumsum(delta[:-1]) > 0
+    return flags, starts[led[np.searchsorted(every, place)] & ~flags[starts]]
+
+
+def _unsettled_rows(found: DataFrame, rule: Repeats) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _opened(batches):
+            for of in _slices(b.column(1)):
+                ids = b.column(0).slice(of.lo, of.n)
+                _, open_ = _extended(of, ids.to_numpy(), b.column(b.num_columns - 2), b.column(b.num_columns - 1), rule)
+                if len(open_):
+                    yield _occurrences(tb.windows(of.words, rule.window)[open_], open_, of, ids, ["h", "d", "at", "n"])
 
-    return docs.mapInArrow(run, "w long, c int, d long, at long")
+    return tb.in_batches(found, run, "h long, d long, at long, n long")
 
 
 def marked(docs: DataFrame, rule: Repeats = Repeats(), id_col: str = "doc_id", text_col: str = "text", others: tuple[str, ...] = ()) -> DataFrame:
-    """(d, text, lonely, firsts, others...): each compressed text with what its document needs to find its repeats.
+    """(d, text, others..., seeds, pieces, seeds2, pieces2): each compressed text with what its document needs to find its repeats.
 
-    lonely: places of anchors without a second occurrence.  firsts: starts of
-    seeded windows that are the first of their word sequence.
+    seeds: anchors with their leaders; pieces: the leaders' words; both again for
+    the windows that the first round leaves open.
     """
-    # A narrow integer id sorts as doc_id does; nulls get a value below all others.
-    own = F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID))
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    texts = _packed(docs.select(own.alias("d"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *(F.col(c).alias(f"_{i}") for i, c in enumerate(others)))).repartition(parts, "d")
-    lonely = _anchor_rows(docs.select(own.alias("d"), F.col(text_col).alias("text")), rule).groupBy("h").agg(F.sum("n").alias("n"), F.min(F.struct("d", "at")).alias("m")).where("n = 1").select("m.d", "m.at").groupBy("d").agg(F.collect_list("at").alias("lonely"))
-    seeded = texts.join(lonely, "d", "left")
-    firsts = _window_rows(seeded.select("d", "text", "lonely"), rule).groupBy("w", "c").agg(F.min(F.struct("d", "at")).alias("m")).select("m.d", "m.at").groupBy("d").agg(F.collect_list("at").alias("firsts"))
-    return seeded.join(firsts, "d", "left").select("d", "text", "lonely", "firsts", *(f"_{i}" for i in range(len(others))))
+    null = F.lit(_NO_ID) + F.xxhash64(text_col).bitwiseAND(F.lit(_NULLS - 1))
+    own = F.coalesce(F.col(id_col).cast("long"), null)
+    texts = _packed(docs.select(own.alias("d"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *(F.col(c).alias(f"_{i}") for i, c in enumerate(others)))).repartition(parts_for(docs), "d")
+    seeds = _dealt(_led(_anchor_rows(docs.select(own.alias("d"), F.col(text_col).alias("text")), rule)), "seeds")
+    pieces = _pieces(texts, seeds, "pieces", rule)
+    seeds2 = _dealt(_led(_unsettled_rows(texts.join(seeds, "d").join(pieces, "d"), rule)), "seeds2")
+    pieces2 = _pieces(texts, seeds2, "pieces2", rule)
+    return texts.join(seeds, "d", "left").join(pieces, "d", "left").join(seeds2, "d", "left").join(pieces2, "d", "left")
 
 
-def removals(b: pa.RecordBatch, rule: Repeats) -> Iterator[tuple]:
+def removals(b: pa.RecordBatch, rule: Repeats) -> Iterator[tuple[Slice, np.ndarray]]:
     """Slices of a batch of `marked` rows, with the flags of the words to remove."""
-    for lo, hi, buf, offs, starts, ends, rows, words, first, text in _slices(b):
-        begin, place, _ = anchors(words, rows, rule)
-        if len(begin):
-            begin = begin[_seeded(b.column(2), lo, hi, begin, place, rows, first, text)]
-            values, of = _flat(b.column(3), lo, hi)
-            row = rows[begin]
-            begin = begin[~_among(values, of, text[row] + begin - first[row], row)]
-        yield lo, hi, buf, offs, starts, ends, rows, first, tb.covered(len(rows), begin, rule.window)
+    at = b.num_columns - 4
+    for of in _slices(b.column(1)):
+        ids = b.column(0).slice(of.lo, of.n).to_numpy()
+        flags, open_ = _extended(of, ids, b.column(at), b.column(at + 1), rule)
+        if len(open_):
+            leaders = _Leaders(of, b.column(at + 2), b.column(at + 3), rule)
+            windows = tb.windows(of.words, rule.window)
+            begin, piece, other, _ = leaders.meet(windows[open_], open_, windows, ids)
+            flags[begin[leaders.equal(begin, piece, other, 0, rule.window).all(1)]] = True
+        yield of, tb.covered(len(of.words), np.flatnonzero(flags), rule.window)
 
 
 def _joined(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, keep: np.ndarray, first: np.ndarray) -> list[bytes]:
@@ -215,20 +356,19 @@ def digests(docs: DataFrame, rule: Repeats = Repeats(), id_col: str = "doc_id",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _opened(batches):
-            for lo, hi, buf, _, starts, ends, rows, first, gone in removals(b, rule):
-                n = hi - lo
-                ids = b.column(0).slice(lo, n).to_numpy()
+            for of, gone in removals(b, rule):
+                ids = b.column(0).slice(of.lo, of.n).to_numpy()
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(ids, mask=ids == _NO_ID),
-                        pa.array(np.bincount(rows, minlength=n)),
-                        pa.array(np.bincount(rows[gone], minlength=n)),
-                        pa.array([hashlib.sha256(x).hexdigest() for x in _joined(buf, starts, ends, ~gone, first)]),
+                        pa.array(ids, mask=ids < _NO_ID + _NULLS),
+                        pa.array(np.bincount(of.rows, minlength=of.n)),
+                        pa.array(np.bincount(of.rows[gone], minlength=of.n)),
+                        pa.array([hashlib.sha256(x).hexdigest() for x in _joined(of.buf, of.starts, of.ends, ~gone, of.first)]),
                     ],
                     names=[id_col, "n_words", "n_removed", "kept_sha256"],
                 )
 
-    return marked(docs, rule, id_col, text_col).mapInArrow(run, f"{id_col} long, n_words long, n_removed long, kept_sha256 string")
+    return tb.in_batches(marked(docs, rule, id_col, text_col), run, f"{id_col} long, n_words long, n_removed long, kept_sha256 string")
 
 
 def maximal_repeats(docs: DataFrame, rule: Repeats = Repeats(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -236,13 +376,14 @@ def maximal_repeats(docs: DataFrame, rule: Repeats = Repeats(), id_col: str = "d
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _opened(batches):
-            for lo, hi, buf, _, starts, ends, rows, first, gone in removals(b, rule):
-                begin, end = tb.runs(gone, first)
-                ids = b.column(0).slice(lo, hi - lo).to_numpy()[rows[begin]]
-                data = buf.tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array(ids, mask=ids == _NO_ID), pa.array(begin - first[rows[begin]]), pa.array(end - begin), pa.array([data[starts[i] : ends[j - 1]].decode() for i, j in zip(begin, end, strict=True)], pa.string())], names=[id_col, "first_word", "n_words", "text"])
+            for of, gone in removals(b, rule):
+                begin, end = tb.runs(gone, of.first)
+                row = of.rows[begin]
+                ids = b.column(0).slice(of.lo, of.n).to_numpy()[row]
+                data = of.buf.tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array(ids, mask=ids < _NO_ID + _NULLS), pa.array(begin - of.first[row]), pa.array(end - begin), pa.array([data[of.starts[i] : of.ends[j - 1]].decode() for i, j in zip(begin, end, strict=True)], pa.string())], names=[id_col, "first_word", "n_words", "text"])
 
-    return marked(docs, rule, id_col, text_col).mapInArrow(run, f"{id_col} long, first_word long, n_words long, text string")
+    return tb.in_batches(marked(docs, rule, id_col, text_col), run, f"{id_col} long, first_word long, n_words long, text string")
 
 
 def cut(docs: DataFrame, rule: Repeats = Repeats(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -252,10 +393,10 @@ def cut(docs: DataFrame, rule: Repeats = Repeats(), id_col: str = "doc_id", text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _opened(batches):
-            for lo, hi, buf, offs, starts, ends, rows, first, gone in removals(b, rule):
-                begin, end = tb.runs(gone, first)
-                texts = [x.decode() for x in b.column(1).slice(lo, hi - lo).to_pylist()]
-                data = buf.tobytes()
+            for of, gone in removals(b, rule):
+                begin, end = tb.runs(gone, of.first)
+                texts = [x.decode() for x in b.column(1).slice(of.lo, of.n).to_pylist()]
+                data, rows, first, starts, ends, offs = of.buf.tobytes(), of.rows, of.first, of.starts, of.ends, of.offs
                 for row in np.unique(rows[begin]):
                     a, z = np.searchsorted(rows[begin], (row, row + 1))
                     pieces, at = [], offs[row]
@@ -264,9 +405,9 @@ def cut(docs: DataFrame, rule: Repeats = Repeats(), id_col: str = "doc_id", text
                         at = starts[j] if j < first[row + 1] else ends[j - 1]
                     pieces.append(data[at : offs[row + 1]])
                     texts[row] = b"".join(pieces).decode()
-                ids = b.column(0).slice(lo, hi - lo).to_numpy()
-                yield pa.RecordBatch.from_arrays([pa.array(ids, mask=ids == _NO_ID), pa.array(texts, pa.string()), *(b.column(4 + i).slice(lo, hi - lo) for i in range(len(others)))], names=names)
+                ids = b.column(0).slice(of.lo, of.n).to_numpy()
+                yield pa.RecordBatch.from_arrays([pa.array(ids, mask=ids < _NO_ID + _NULLS), pa.array(texts, pa.string()), *(b.column(2 + i).slice(of.lo, of.n) for i in range(len(others)))], names=names)
 
     done = marked(docs, rule, id_col, text_col, others)
     shape = ", ".join(f"`{n}` {docs.schema[n].dataType.simpleString() if n != id_col else 'long'}" for n in names)
-    return done.mapInArrow(run, shape).select(*docs.columns)
+    return tb.in_batches(done, run, shape).select(*docs.columns)

@@ -2,20 +2,22 @@
 
 Words are maximal runs of bytes outside ``\\x20`` and ``\\x09-\\x0D``; as those
 bytes never occur inside a multi-byte character, this equals splitting the code
-points.  Everything works on slices of whole rows of about ``SLICE_BYTES``, so
-memory follows the slice and not the batch; a single longer row is its own
-slice and costs a few machine words per word of text.
+points.  Everything works on slices of whole rows of about ``SLICE_BYTES`` and
+at most ``SLICE_ROWS``, so memory follows the slice and not the batch; a single
+longer row is its own slice and costs a few machine words per word of text.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
+SLICE_ROWS = 2048
 SPAN_BYTES = 1 << 20
 
 SPACE = np.zeros(256, bool)
@@ -32,6 +34,26 @@ _MIX1 = np.uint64(0xBF58476D1CE4E5B9)
 _MIX2 = np.uint64(0x94D049BB133111EB)
 
 
+def release() -> None:
+    """Gives memory that a reused worker process has freed back to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def in_batches(df, run: Callable, shape):
+    """df.mapInArrow(run, shape), after which the worker keeps no freed memory."""
+
+    def freed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return df.mapInArrow(freed, shape)
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Bijective finaliser of 64-bit values (the public splitmix64 constants)."""
     h = h ^ (h >> np.uint64(30))
@@ -56,13 +78,13 @@ def string_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return buf[offs[0] : offs[-1]], offs - offs[0]
 
 
-def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def slices(column: pa.Array, limit: int = SLICE_BYTES, most_rows: int = SLICE_ROWS) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets from 0) of runs of whole rows."""
     buf, offs = string_buffers(column)
     n, lo = len(column), 0
     while lo < n:
         hi = int(np.searchsorted(offs, offs[lo] + limit, "right")) - 1
-        hi = min(n, max(hi, lo + 1))
+        hi = min(n, max(hi, lo + 1), lo + most_rows)
         yield lo, hi, buf[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo]
         lo = hi
 
