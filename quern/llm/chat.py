@@ -12,7 +12,8 @@ strings inside them cannot end a turn, and unescaping gives them back exactly.
 The loss mask covers the bodies of the assistant's turns, as spans of code points.
 
 Turns of a conversation are brought together by its id, which the result's row
-needs whole; equal turn numbers stand in the order of role and text.
+needs whole; equal turn numbers stand in the order of role and text, by their
+UTF-8 bytes before any escape.
 
 Edge cases: null texts and roles read as empty; null conversation ids form one
 conversation, null turns come first; unknown kinds of part are written as
@@ -66,10 +67,12 @@ def format_chat(turns: DataFrame) -> DataFrame:
     (turn, place, kind, ref, tokens) in order.
     """
     role = F.coalesce("role", F.lit(""))
-    turns = turns.select("conv_id", "turn", role.alias("role"), F.transform(F.coalesce("parts", F.array().cast(f"array<{PART}>")), visit).alias("parts"))
+    given = F.coalesce("parts", F.array().cast(f"array<{PART}>"))
+    plain = F.array_join(F.transform(given, lambda p: F.coalesce(p["text"], F.lit(""))), "")
+    turns = turns.select("conv_id", "turn", role.alias("role"), plain.alias("plain"), F.transform(given, visit).alias("parts"))
     body = F.array_join(F.transform("parts", lambda p: p["body"]), "")
-    turns = turns.select("conv_id", "turn", "role", "parts", body.alias("body"), F.concat(F.lit(OPEN), escape(F.col("role")), F.lit(HEAD_END)).alias("head"))
-    order = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", "body")
+    turns = turns.select("conv_id", "turn", "role", "plain", "parts", body.alias("body"), F.concat(F.lit(OPEN), escape(F.col("role")), F.lit(HEAD_END)).alias("head"))
+    order = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", "plain", "body")
     whole = F.length("head") + F.length("body") + len(CLOSE)
     placed = turns.withColumn("at", F.row_number().over(order)).withColumn("before", F.coalesce(F.sum(whole).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     gathered = placed.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("at", "before", "turn", "role", "head", "body", "parts"))).alias("t"))
