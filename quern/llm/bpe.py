@@ -7,9 +7,9 @@ again (and each token encodes to itself).  Pairs are tested together, as sorted
 arrays of pair codes against the codes known so far; only words with an
 incompatible pair go through the exact merges.
 
-Words are the unit: a bounded table of words keeps their tokens in each Python
-worker, and texts are gathered from it by index.  No shuffle; memory follows a
-slice of whole rows.
+Words are the unit: a table of words, bounded in number and letters, keeps their
+tokens in each Python worker, and texts are gathered from it by index.  No
+shuffle; memory follows a slice of whole rows.
 
 The vocabulary file is read on the driver from a path parameter and its JSON
 text, of fixed size, goes to the tasks.
@@ -27,6 +27,7 @@ import json
 import re
 import unicodedata
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 from itertools import chain
 
 import numpy as np
@@ -46,7 +47,9 @@ _LETTERS = "a-zA-Zß-öø-ÿÀ-ÖØ-Þœ"
 _LATIN = re.compile(_PARTS + "|[" + _LETTERS + "]+|[0-9]|[^\\t-\\r 0-9" + _LETTERS + "]+")
 _PLAIN = re.compile("[\\x00-\\x7f" + _LETTERS + "]*")
 
-WORDS_KEPT = 300_000
+WORDS_KEPT, LETTERS_KEPT = 300_000, 16_000_000
+#: Words from so many symbols are merged over a heap, in time n log n.
+LONG_WORD = 64
 
 
 def byte_letters() -> list[str]:
@@ -106,12 +109,13 @@ class WordBpe:
         if old:
             often = np.argsort(-self.used, kind="stable")[: self.kept // 2]
             names = list(old)
-            keep = [(names[i], self.flat[self.starts[i] : self.starts[i] + self.counts[i]].tolist()) for i in np.sort(often[self.used[often] > 1]) if names[i] not in self.special]
+            keep = [(names[i], self.flat[self.starts[i] : self.starts[i] + self.counts[i]].tolist()) for i in np.sort(often[self.used[often] > 1]) if names[i] not in self.special and len(names[i]) < LONG_WORD]
         self.index = _Words()
         self.counts = np.zeros(0, np.int64)
         self.starts = np.zeros(0, np.int64)
         self.used = np.zeros(0, np.int64)
         self.flat = np.zeros(0, np.uint32)
+        self.letters_kept = 0
         self.decoded: list[bytes] = []
         kept = [*((t, [i]) for t, i in self.special.items()), *keep]
         for w, _ in kept:
@@ -127,6 +131,8 @@ class WordBpe:
     def merged(self, ids: list[int]) -> list[int]:
         """The exact encoding: the pair of lowest rank merges first, the leftmost of equals."""
         get, none = self.rank.get, len(self.made)
+        if len(ids) >= LONG_WORD:
+            return self._merged_long(ids)
         ranks = [get(p, none) for p in zip(ids, ids[1:], strict=False)]
         while ranks:
             low = min(ranks)
@@ -141,6 +147,28 @@ class WordBpe:
                 ranks[k] = get((ids[k], ids[k + 1]), none)
         return ids
 
+    def _merged_long(self, ids: list[int]) -> list[int]:
+        """`merged` over a heap of pairs and a linked list of symbols."""
+        get, n = self.rank.get, len(ids)
+        before, after = list(range(-1, n - 1)), [*range(1, n), -1]
+        heap = [(rank, k) for k, p in enumerate(zip(ids, ids[1:], strict=False)) if (rank := get(p)) is not None]
+        heapify(heap)
+        while heap:
+            rank, k = heappop(heap)
+            mate = after[k]
+            # What an earlier merge has changed was pushed again.
+            if ids[k] < 0 or mate < 0 or get((ids[k], ids[mate])) != rank:
+                continue
+            ids[k], ids[mate] = self.made[rank], -1
+            after[k] = after[mate]
+            if after[k] >= 0:
+                before[after[k]] = k
+                if (rank := get((ids[k], ids[after[k]]))) is not None:
+                    heappush(heap, (rank, k))
+            if before[k] >= 0 and (rank := get((ids[before[k]], ids[k]))) is not None:
+                heappush(heap, (rank, before[k]))
+        return [x for x in ids if x >= 0]
+
     def exact(self, word: str) -> list[int]:
         return self.merged(self._symbols("".join(self.letters[b] for b in word.encode()), True))
 
@@ -211,10 +239,11 @@ class WordBpe:
         self.counts = np.concatenate((self.counts, counts))
         self.used = np.concatenate((self.used, np.zeros(len(ids), np.int64)))
         self.flat = np.concatenate((self.flat, np.array([t for x in ids for t in x], np.uint32)))
+        self.letters_kept += sum(map(len, words))
         self.decoded += [" ".join([self.token[t] for t in x]).encode() for x in ids]
 
     def words(self, text: str) -> list[str]:
-        if self.split_special and "<|" in text:
+        if self.split_special and any(s in text for s in self.special):
             parts = self.split_special.split(text)
             if len(parts) > 1:
                 return [w for p in parts for w in ([p] if p in self.special else self._plain_words(p))]
@@ -230,7 +259,7 @@ class WordBpe:
 
     def encode(self, texts: list[str]) -> Iterator[tuple[np.ndarray, bytes]]:
         """Token ids and decoded UTF-8 of each text."""
-        if len(self.index) > self.kept:
+        if len(self.index) > self.kept or self.letters_kept > LETTERS_KEPT:
             self._clear()
         split = [self.words(t) for t in texts]
         sizes = np.array([len(x) for x in split], np.int64)
@@ -286,7 +315,7 @@ def _run(docs: DataFrame, spec: str, id_col: str, text_col: str, what, shape: st
                 rows = [what(ids, text) for ids, text in bpe.encode(b.column(1).slice(lo, hi - lo).to_pylist())]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True))], names=[id_col, *names])
 
-    return picked.mapInArrow(run, f"{id_col} {picked.schema[0].dataType.simpleString()}, {shape}")
+    return tb.in_batches(picked, run, f"{id_col} {picked.schema[0].dataType.simpleString()}, {shape}")
 
 
 def digests(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
