@@ -6,14 +6,16 @@ document's probability is the noisy-or of its sentences' (1 - product of
 noisy-or.  The same sentence scores then locate the offending sentences.
 
 The fit uses a bounded, documented sample of labelled rows (`TrainingSample`),
-drawn by a hash of doc_id from rows outside the held-out fold; scoring covers
-every whole text in one pass without a shuffle, with a weight table of fixed
-size in the tasks' closure.
+drawn by a hash of doc_id from rows outside the held-out fold.  `spare` times as
+many ids are drawn, so that others stand in for documents of more than
+`max_words` words, which the fit leaves out.  Scoring covers every whole text in
+one pass without a shuffle, with a weight table of fixed size in the tasks'
+closure.
 
 Edge cases: null and empty texts have no sentence and score 0; null labels are
-not learnt from; without any usable label every score is 0; ties for the worst
-sentence go to the first; equal texts get equal scores; empty tables give empty
-results.
+not learnt from; a doc_id that repeats is learnt from once, by its smallest text;
+without any usable label every score is 0; ties for the worst sentence go to the
+first; equal texts get equal scores; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,10 +44,15 @@ _STOP[list(b".!?\n")] = True
 
 @dataclass(frozen=True)
 class TrainingSample:
-    """Bounds of the fit: rows of each label, and words of a training document."""
+    """Bounds of the fit: rows of each label, and words of a training document.
+
+    Features of fewer than min_docs documents are left out, or of fewer than a
+    tenth of the positive ones where these are few (two at least).
+    """
 
     positives: int = 2000
     negatives: int = 4000
+    spare: int = 2
     max_words: int = 5000
     stem: int = 4
     min_docs: int = 12
@@ -105,12 +113,12 @@ def logits(model: Model, first: np.ndarray, whole: np.ndarray, stems: np.ndarray
 
 
 def bags(docs: DataFrame, sample: TrainingSample) -> DataFrame:
-    """(label, sizes, features): the sentences of each row of (label, text) as int32 arrays."""
+    """(label, at, sizes, features): the sentences of each row of (label, at, text) as int32 arrays."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            labels = b.column(0).to_pylist()
-            for lo, hi, buf, offs in tb.slices(b.column(1)):
+            labels, places = b.column(0).to_pylist(), b.column(1).to_pylist()
+            for lo, hi, buf, offs in tb.slices(b.column(2)):
                 row, first, _, _, whole, stems = sentences(buf, offs, sample.stem)
                 size = np.diff(np.append(first, len(whole)))
                 cut = np.searchsorted(row, np.arange(hi - lo + 1))
@@ -120,20 +128,22 @@ def bags(docs: DataFrame, sample: TrainingSample) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([labels[lo + i] for i in keep], pa.int32()),
+                        pa.array([places[lo + i] for i in keep], pa.int64()),
                         pa.array([size[cut[i] : cut[i + 1]].astype(np.int32).tobytes() for i in keep], pa.binary()),
                         pa.array([pairs[word[i] : word[i + 1]].tobytes() for i in keep], pa.binary()),
                     ],
-                    names=["label", "sizes", "features"],
+                    names=["label", "at", "sizes", "features"],
                 )
 
-    return docs.mapInArrow(run, "label int, sizes binary, features binary")
+    return tb.in_batches(docs, run, "label int, at long, sizes binary, features binary")
 
 
 def draw(docs: DataFrame, labels: DataFrame, label: str, usable: Column, positives: int, negatives: int) -> DataFrame:
-    """(label, text) of a bounded sample of labelled rows, the same on every run.
+    """(label, at, text) of a bounded sample of labelled rows, the same on every run.
 
-    Takes the rows with the smallest hash of doc_id of each label, so only as
-    many ids as the bound meet in one place and are broadcast.
+    Takes the rows with the smallest hash `at` of doc_id of each label, so only as
+    many ids as the bound meet in one place and are broadcast.  Each id gives one
+    row, whatever the number of its documents.
     """
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & usable).select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("_label"))
     known = known.groupBy("_id").agg(F.max("_label").alias("_label")).withColumn("_at", F.xxhash64("_id"))
@@ -141,12 +151,14 @@ def draw(docs: DataFrame, labels: DataFrame, label: str, usable: Column, positiv
     for value, most in ((1, positives), (0, negatives)):
         some = known.where(F.col("_label") == value).orderBy("_at", "_id").limit(most)
         picked = some if picked is None else picked.unionByName(some)
-    return docs.select(F.col("doc_id").alias("_doc"), F.col("text").alias("_text")).join(F.broadcast(picked), F.col("_doc") == F.col("_id")).select(F.col("_label").alias("label"), F.col("_text").alias("text"))
+    rows = docs.select(F.col("doc_id").alias("_doc"), F.col("text").alias("_text")).join(F.broadcast(picked), F.col("_doc") == F.col("_id"))
+    return rows.groupBy("_id", "_label", "_at").agg(F.min("_text").alias("_text")).select(F.col("_label").alias("label"), F.col("_at").alias("at"), F.col("_text").alias("text"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, usable: Column, sample: TrainingSample = TrainingSample()) -> Model:
     """Fits on the sample; `usable` says which rows of labels may be learnt from."""
-    rows = bags(draw(docs, labels, "toxic", usable, sample.positives, sample.negatives), sample).toArrow()
+    rows = bags(draw(docs, labels, "toxic", usable, sample.spare * sample.positives, sample.spare * sample.negatives), sample).toArrow()
+    rows = pa.concat_tables([rows.filter(pc.equal(rows.column("label"), label)).sort_by("at").slice(0, most) for label, most in ((1, sample.positives), (0, sample.negatives))]).combine_chunks()
     none = Model(np.zeros(1, np.float32), -30.0, sample.stem)
     if rows.num_rows == 0:
         return none
@@ -168,7 +180,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, sample: TrainingSamp
         seen = np.unique(pairs[:, c].astype(np.int64) * len(sizes) + of_doc)
         spread += np.bincount(seen // len(sizes), minlength=WEIGHTS)
         del seen
-    common = np.flatnonzero(spread >= sample.min_docs)
+    common = np.flatnonzero(spread >= min(sample.min_docs, max(2, int(y.sum()) // 10)))
     renamed = np.full(WEIGHTS, -1, np.int32)
     renamed[common] = np.arange(len(common), dtype=np.int32)
     cells, features = [], []
@@ -236,7 +248,7 @@ def scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
                 )
 
     picked = docs.select(F.col(id_col), F.col(text_col))
-    return picked.mapInArrow(run, f"{id_col} {picked.schema[0].dataType.simpleString()}, {FIGURES}")
+    return tb.in_batches(picked, run, f"{id_col} {picked.schema[0].dataType.simpleString()}, {FIGURES}")
 
 
 def offending(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
@@ -265,4 +277,4 @@ def offending(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: s
                 )
 
     picked = docs.select(F.col(id_col), F.col(text_col))
-    return picked.mapInArrow(run, f"{id_col} {picked.schema[0].dataType.simpleString()}, start long, chars long, score double, sentence string")
+    return tb.in_batches(picked, run, f"{id_col} {picked.schema[0].dataType.simpleString()}, start long, chars long, score double, sentence string")
