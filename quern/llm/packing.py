@@ -4,11 +4,13 @@ The lengths of all documents become one global histogram; dynamic programming
 over it chooses the bucket borders with the least padding; documents padded to
 their bucket's border then form batches of a token budget inside each bucket.
 
-The histogram keeps lengths up to 512 apart and rounds longer ones up by at most
-one part in 256, so it has some 256 bins an octave whatever the input, and only
-its bins reach the driver.  Batches form within chunks of a bucket, dealt by a
-hash of the id and of bounded expected size, so a length that a third of all
-documents share is spread like any other; each chunk may end in one unfilled batch.
+The histogram keeps lengths up to 512 apart and puts longer ones into bins of one
+part in 256, some 256 bins an octave whatever the input, so only a bounded number
+of bins reaches the driver.  A bin counts with its longest real length, and
+borders are such lengths; they are optimal among the bins' ends.  Batches form
+within chunks of a bucket, dealt by a hash of the id, as many as the bucket's own
+rows need at `chunk` rows each, so a length that a third of all documents share is
+spread like any other; each chunk may end in one unfilled batch.
 
 Edge cases: null text has no tokens; documents without tokens go to the smallest
 bucket; a document over the budget is a batch by itself; equal rows stand side by
@@ -24,6 +26,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.llm.scratch import stored
+
 
 @dataclass(frozen=True)
 class PackRule:
@@ -80,15 +84,17 @@ def pack(docs: DataFrame, rule: PackRule = PackRule(), tokens: Column | None = N
     bucket is the border that the document is padded to; (bucket, chunk, batch)
     names a batch, slot its row there.
     """
-    sized = docs.select(F.col(id_col), (word_count(F.col(text_col)) if tokens is None else tokens.cast("long")).alias("n_tokens"))
-    found = sized.groupBy(rounded(F.coalesce("n_tokens", F.lit(0))).alias("bin")).agg(F.count("*").alias("n")).orderBy("bin").collect()
-    borders = best_borders(np.array([r["bin"] for r in found], np.int64), np.array([r["n"] for r in found], np.int64), rule.buckets)
-    chunks = max(1, -(-sum(r["n"] for r in found) // rule.chunk))
-    n = F.coalesce("n_tokens", F.lit(0))
-    bucket = F.lit(None).cast("long")
-    for b in reversed(borders):
-        bucket = F.when(n <= b, F.lit(b).cast("long")).otherwise(bucket)
-    placed = sized.withColumn("n_tokens", n).withColumn("bucket", bucket).withColumn("chunk", F.pmod(F.xxhash64(F.col(id_col), "n_tokens"), F.lit(chunks)))
+    n = word_count(F.col(text_col)) if tokens is None else tokens.cast("long")
+    sized = stored(docs.select(F.col(id_col), F.coalesce(n, F.lit(0)).cast("long").alias("n_tokens")), "sizes")
+    found = sized.groupBy(rounded(F.col("n_tokens")).alias("bin")).agg(F.greatest(F.max("n_tokens"), F.lit(1).cast("long")).alias("longest"), F.count("*").alias("n")).orderBy("bin").collect()
+    lengths, counts = np.array([r["longest"] for r in found], np.int64), np.array([r["n"] for r in found], np.int64)
+    borders = best_borders(lengths, counts, rule.buckets)
+    rows = np.bincount(np.searchsorted(borders, lengths), counts) if borders else []
+    bucket, chunks = F.lit(None).cast("long"), F.lit(1).cast("long")
+    for b, held in reversed(list(zip(borders, rows, strict=True))):
+        fits = F.col("n_tokens") <= b
+        bucket, chunks = F.when(fits, F.lit(b).cast("long")).otherwise(bucket), F.when(fits, F.lit(max(1, -(-int(held) // rule.chunk))).cast("long")).otherwise(chunks)
+    placed = sized.withColumn("bucket", bucket).withColumn("chunk", F.pmod(F.xxhash64(F.col(id_col), "n_tokens"), chunks))
     room = F.greatest(F.lit(1), F.floor(F.lit(rule.budget) / F.col("bucket")))
     nth = F.row_number().over(Window.partitionBy("bucket", "chunk").orderBy(F.col(id_col).asc_nulls_first(), "n_tokens")) - 1
     return placed.withColumn("_nth", nth).select(id_col, "n_tokens", "bucket", "chunk", F.floor(F.col("_nth") / room).alias("batch"), (F.col("_nth") % room).cast("long").alias("slot"), (F.col("bucket") - F.col("n_tokens")).alias("padding"))
