@@ -20,6 +20,7 @@ empty table gives no archive and an empty result; extra columns are not read.
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import re
 import struct
@@ -30,6 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.llm import textbatch as tb
 from quern.llm.scratch import new_path, stored
 
 # The WARC and Zstandard formats.
@@ -37,7 +39,8 @@ DICTIONARY_MAGIC = 0x184D2A5D
 SKIPPABLE = range(0x184D2A50, 0x184D2A60)
 FRAME_MAGIC = 0xFD2FB528
 EMPTY_SKIPPABLE = "\x50\x2a\x4d\x18\x00\x00\x00\x00"
-VERSION = b"WARC/1.1"
+VERSION, VERSIONS = b"WARC/1.1", (b"WARC/1.0", b"WARC/1.1")
+DIGESTS = ("md5", "sha1", "sha256", "sha384", "sha512")
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 REQUIRED = ("warc-type", "warc-record-id", "warc-date", "content-length")
 DATE = "1970-01-01T00:00:00Z"
@@ -58,13 +61,15 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
 
 
 def dictionary(samples: list[bytes], size: int) -> zstandard.ZstdCompressionDict | None:
-    """Trained on the archive's first records; None where they are too few to train on."""
-    if len(samples) < 16:
+    """Trained on the archive's first records; the records as such where they are too few to train on."""
+    if len(samples) < 2:
         return None
     try:
-        return zstandard.train_dictionary(size, samples, k=256, d=8)
+        if len(samples) >= 16:
+            return zstandard.train_dictionary(size, samples, k=256, d=8)
     except zstandard.ZstdError:
-        return None
+        pass
+    return zstandard.ZstdCompressionDict(b"".join(samples)[:size], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
 
 
 def archive(records: list[bytes], samples: int = 128, size: int = 16384, level: int = 3) -> bytes:
@@ -113,7 +118,7 @@ def frames(content: bytes) -> Iterator[tuple[bytes, str | None]]:
                 raw = bytes(data[8 : 8 + size])
                 if struct.unpack_from("<I", raw)[0] == FRAME_MAGIC:
                     raw = zstandard.ZstdDecompressor().decompress(raw)
-                known = zstandard.ZstdCompressionDict(raw)
+                known = zstandard.ZstdCompressionDict(raw)  # trained or plain content, by its first bytes
             at += 8 + size
             continue
         if magic != FRAME_MAGIC:
@@ -132,44 +137,67 @@ def frames(content: bytes) -> Iterator[tuple[bytes, str | None]]:
 
 
 def _page(urn: str | None) -> int | None:
-    m = re.fullmatch(r"<urn:page:(null|-?\d+)>", urn or "")
-    if not m:
-        raise ValueError(f"record id {urn!r}")
-    return None if m[1] == "null" else int(m[1])
+    """The number in a record id of `record`; None for ids of other writers."""
+    m = re.fullmatch(r"<urn:page:(-?\d+)>", urn or "")
+    return int(m[1]) if m else None
+
+
+def _is_digest(stated: str, payload: bytes) -> bool:
+    """Whether name:value, in hexadecimal or base32, is the payload's digest; names not known here pass."""
+    name, _, value = stated.partition(":")
+    name = name.lower().replace("-", "")
+    if name not in DIGESTS:
+        return True
+    made = hashlib.new(name, payload).digest()
+    return value.lower() == made.hex() or value.upper().rstrip("=") == base64.b32encode(made).decode().rstrip("=")
 
 
 def parse(data: bytes) -> dict:
-    """The fields of one record; raises ValueError where headers, lengths or digests are wrong."""
+    """The fields of one record; raises ValueError where headers, lengths or digests are wrong.
+
+    Records of other writers pass too: any record id, both versions of the
+    format, digests by other functions, bodies without an HTTP head, and record
+    types other than response and revisit, whose payload is the whole block.
+    """
     head, gap, rest = data.partition(b"\r\n\r\n")
-    lines = head.split(b"\r\n")
-    if not gap or lines[0] != VERSION:
-        raise ValueError("no WARC/1.1 header")
+    lines = re.sub(rb"\r\n[ \t]+", b" ", head).split(b"\r\n")
+    if not gap or lines[0] not in VERSIONS:
+        raise ValueError("no WARC header")
     fields = {}
     for line in lines[1:]:
         name, colon, value = line.partition(b":")
         if not colon:
             raise ValueError("header line without a colon")
-        fields[name.decode().lower()] = value.strip().decode()
+        fields[name.decode("utf-8", "replace").lower()] = value.strip().decode("utf-8", "replace")
     if missing := [f for f in REQUIRED if f not in fields]:
         raise ValueError(f"missing {', '.join(missing)}")
     if not fields["content-length"].isdigit() or len(rest) != int(fields["content-length"]) + 4 or rest[-4:] != b"\r\n\r\n":
         raise ValueError("block length differs from Content-Length")
-    http, gap, payload = rest[:-4].partition(b"\r\n\r\n")
+    kind, block, stated = fields["warc-type"], rest[:-4], fields.get("warc-payload-digest")
+    if "warc-block-digest" in fields and not _is_digest(fields["warc-block-digest"], block):
+        raise ValueError("block digest differs")
+    http, gap, payload = block.partition(b"\r\n\r\n")
+    if kind not in ("response", "revisit") or not http.startswith(b"HTTP/"):
+        http, payload = b"", block
+    elif not gap:
+        raise ValueError("HTTP head without an end")
     length = re.search(rb"(?i)\r\ncontent-length: *(\d+)", http)
-    if not gap or not length:
-        raise ValueError("no HTTP head")
-    kind, size, digest = fields["warc-type"], int(length[1]), fields.get("warc-payload-digest", "").removeprefix("sha256:")
-    if kind == "response":
-        if len(payload) != size:
+    size = int(length[1]) if length else None
+    if kind == "revisit":
+        if payload:
+            raise ValueError("a revisit with a payload")
+        digest = stated.removeprefix("sha256:") if stated else None
+    else:
+        if size is not None and len(payload) != size:
             raise ValueError("payload length differs from the HTTP head")
-        if hashlib.sha256(payload).hexdigest() != digest:
+        if stated is not None and not _is_digest(stated, payload):
             raise ValueError("payload digest differs")
-    elif kind != "revisit" or payload or fields.get("warc-profile") != REVISIT_PROFILE:
-        raise ValueError("neither a response nor an identical-payload revisit")
+        size, digest = len(payload), hashlib.sha256(payload).hexdigest()
     return {
         "page_id": _page(fields["warc-record-id"]),
+        "record_id": fields["warc-record-id"],
         "url": fields.get("warc-target-uri"),
-        "payload": payload if kind == "response" else None,
+        "payload": None if kind == "revisit" else payload,
         "payload_bytes": size,
         "payload_digest": digest,
         "record_type": kind,
@@ -178,7 +206,7 @@ def parse(data: bytes) -> dict:
     }
 
 
-_SCHEMA = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload", pa.binary()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("error", pa.string())])
+_SCHEMA = pa.schema([("page_id", pa.int64()), ("record_id", pa.string()), ("url", pa.string()), ("payload", pa.binary()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("error", pa.string())])
 _BLANK = dict.fromkeys(_SCHEMA.names)
 
 
@@ -204,12 +232,12 @@ def write(pages: DataFrame, path: str, archive_bytes: int = 16 << 20, least_byte
         if held:
             yield pa.RecordBatch.from_arrays([pa.array([archive(held)], pa.binary())], names=["value"])
 
-    made = rows.mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value"))
+    made = tb.in_batches(rows, run, "value binary").select(F.col("value").cast("string").alias("value"))
     made.write.option("lineSep", EMPTY_SKIPPABLE).option("maxRecordsPerFile", 1).text(path)
 
 
-def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
-    """A row per record of the archives under the path: page_id, url, payload (null for revisits), payload_bytes,
+def read(spark: SparkSession, path: str, payloads: bool = True, glob: str = "*.{txt,zst}") -> DataFrame:
+    """A row per record of the archives under the path: page_id (of ids that `write` gave), record_id, url, payload (null for revisits), payload_bytes,
     payload_digest, record_type, refers_to, and error for what fails validation."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,8 +259,8 @@ def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, _SCHEMA)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
-    return files.mapInArrow(run, "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long, error string")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).select("content")
+    return tb.in_batches(files, run, "page_id long, record_id string, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long, error string")
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
