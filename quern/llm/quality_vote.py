@@ -7,20 +7,22 @@ labelled latent vectors, a bounded number of fixed width, go to the tasks; each
 document's cosines with all of them are computed exactly in matrix blocks, and
 its nearest neighbours vote with their similarity as weight.
 
-The fit uses a bounded, documented sample of labelled rows (`VoteModel`
-parameters `per_label`), drawn by a hash of doc_id outside the held-out fold.
+The fit uses a bounded, documented sample of labelled rows
+(`VoteSettings.per_label`), drawn by a hash of doc_id outside the held-out fold.
 Scoring covers every whole text in one pass without a shuffle.
 
 Edge cases: null and empty texts have a zero vector, so no neighbour, and get
-the sample's prior; null labels are not learnt from; without labels every score
-is 0.5; ties among neighbours go to the earlier sample row; equal texts get
-equal scores; empty tables give empty results.
+the mean label of such texts in the sample, or 0 if it has none; null labels are
+not learnt from; without labels every score is 0.5; cosines are rounded to
+five decimals, and all that tie with the last neighbour vote too; a doc_id that
+repeats is learnt from once, by its smallest text; empty tables give empty
+results.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +40,8 @@ _CLASS[65:91] = 65
 _CLASS[97:123] = 97
 _CLASS[48:58] = 48
 _CLASS[128:] = 97
-_ROWS = 512
+#: A slice has at most so many rows and bytes, as each row has a dense vector.
+_ROWS, _BYTES = 256, 1 << 19
 
 
 @dataclass(frozen=True)
@@ -85,11 +88,11 @@ def term_matrix(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
 def _vectors(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lo, hi, buf, offs in tb.slices(b.column(1)):
+            for lo, hi, buf, offs in tb.slices(b.column(2), _BYTES, _ROWS):
                 rows = term_matrix(buf, offs).astype(np.float16)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array([r.tobytes() for r in rows], pa.binary())], names=["label", "terms"])
 
-    return docs.mapInArrow(run, "label int, terms binary")
+    return tb.in_batches(docs, run, "label int, terms binary")
 
 
 @dataclass(frozen=True)
@@ -99,7 +102,7 @@ class VoteModel:
     vectors: np.ndarray
     labels: np.ndarray
     weights: np.ndarray
-    prior: float
+    blank: float
     settings: VoteSettings
 
     def latent(self, terms: np.ndarray) -> np.ndarray:
@@ -107,17 +110,17 @@ class VoteModel:
         return low / np.maximum(np.linalg.norm(low, axis=1, keepdims=True), 1e-12)
 
     def score(self, terms: np.ndarray) -> np.ndarray:
-        out = np.full(len(terms), self.prior)
-        some = np.flatnonzero(terms.any(1))
-        if not len(self.labels) or not len(some):
-            return out
-        k = min(self.settings.neighbours, len(self.labels))
-        for at in range(0, len(some), _ROWS):
-            block = some[at : at + _ROWS]
-            near = self.latent(terms[block]) @ self.vectors.T
-            top = np.argpartition(-near, k - 1, axis=1)[:, :k] if k < len(self.labels) else np.broadcast_to(np.arange(k), near.shape)
-            pull = np.exp(self.settings.sharpness * 8 * (np.take_along_axis(near, top, 1) - 1)) * self.weights[top]
-            out[block] = (pull * self.labels[top]).sum(1) / np.maximum(pull.sum(1), 1e-300)
+        spoken = terms.any(1)
+        out = np.where(spoken, 0.5, self.blank)
+        n = len(self.labels)
+        k = min(self.settings.neighbours, n)
+        for at in range(0, len(terms) if n else 0, _ROWS):
+            block = at + np.flatnonzero(spoken[at : at + _ROWS])
+            near = np.round(self.latent(terms[block]) @ self.vectors.T, 5)
+            last = np.partition(near, n - k, axis=1)[:, n - k]
+            row, col = np.nonzero(near >= last[:, None])
+            pull = np.exp(self.settings.sharpness * 8 * (near[row, col].astype(np.float64) - 1)) * self.weights[col]
+            out[block] = np.bincount(row, pull * self.labels[col], len(block)) / np.maximum(np.bincount(row, pull, len(block)), 1e-300)
         return np.clip(out, 0, 1)
 
 
@@ -129,8 +132,13 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, settings: VoteSettin
     if not len(y):
         return empty
     x = np.frombuffer(b"".join(rows.column("terms").to_pylist()), np.float16).reshape(len(y), WIDTH).astype(np.float32)
-    order = np.lexsort((*(x[:, :: WIDTH // 8].T), y))
+    order = np.array(sorted(range(len(y)), key=lambda i: (y[i], x[i].tobytes())))
     x, y = x[order], y[order]
+    spoken = x.any(1)
+    blank = float(y[~spoken].mean()) if not spoken.all() else 0.0
+    x, y = x[spoken], y[spoken]
+    if not len(y):
+        return replace(empty, blank=blank)
     idf = np.log1p(len(y) / (1 + (x > 0).sum(0))).astype(np.float32)
     # Randomised range finder with power steps, then an exact small SVD.
     a = x * idf
@@ -142,7 +150,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, settings: VoteSettin
     axes = (basis @ vt.T)[:, :rank].astype(np.float32)
     low = a @ axes
     vectors = (low / np.maximum(np.linalg.norm(low, axis=1, keepdims=True), 1e-12)).astype(np.float32)
-    return VoteModel(idf, axes, vectors, y, np.ones(len(y)), 0.5, settings)
+    return VoteModel(idf, axes, vectors, y, np.ones(len(y)), blank, settings)
 
 
 def scores(docs: DataFrame, model: VoteModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -150,11 +158,11 @@ def scores(docs: DataFrame, model: VoteModel, id_col: str = "doc_id", text_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lo, hi, buf, offs in tb.slices(b.column(1)):
+            for lo, hi, buf, offs in tb.slices(b.column(1), _BYTES, _ROWS):
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(model.score(term_matrix(buf, offs)))], names=[b.schema.names[0], "score"])
 
     picked = docs.select(F.col(id_col), F.col(text_col))
-    return picked.mapInArrow(run, f"{id_col} {picked.schema[0].dataType.simpleString()}, score double")
+    return tb.in_batches(picked, run, f"{id_col} {picked.schema[0].dataType.simpleString()}, score double")
 
 
 def keep_good(docs: DataFrame, model: VoteModel, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
@@ -163,8 +171,8 @@ def keep_good(docs: DataFrame, model: VoteModel, threshold: float = 0.5, text_co
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lo, hi, buf, offs in tb.slices(b.column(at)):
+            for lo, hi, buf, offs in tb.slices(b.column(at), _BYTES, _ROWS):
                 good = np.flatnonzero(model.score(term_matrix(buf, offs)) >= threshold)
                 yield b.slice(lo, hi - lo).take(pa.array(good))
 
-    return docs.mapInArrow(run, docs.schema)
+    return tb.in_batches(docs, run, docs.schema)

@@ -18,6 +18,7 @@ import pyarrow.compute as pc
 
 SLICE_BYTES = 1 << 20
 SLICE_ROWS = 2048
+BATCH_ROWS = 4000
 SPAN_BYTES = 1 << 20
 
 SPACE = np.zeros(256, bool)
@@ -43,7 +44,14 @@ def release() -> None:
 
 
 def in_batches(df, run: Callable, shape):
-    """df.mapInArrow(run, shape), after which the worker keeps no freed memory."""
+    """df.mapInArrow(run, shape), after which the worker keeps no freed memory.
+
+    Rows hold whole texts, so Spark's default number of rows a batch becomes
+    BATCH_ROWS in the session; another number set there is left alone.
+    """
+    conf, rows = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if conf.get(rows) == "10000":
+        conf.set(rows, str(BATCH_ROWS))
 
     def freed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
