@@ -31,6 +31,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -39,10 +40,11 @@ from pyspark.sql import functions as F
 
 from quern.llm import textbatch as tb
 from quern.llm.components import components
-from quern.llm.scratch import stored
+from quern.llm.scratch import parts_for, stored
 
 SKETCH_BYTES = 1 << 20
 BLOCK_ROWS = 1024
+BATCH_ROWS = 256
 BLOCK_BYTES = 8 << 20
 COMMON_KEPT = 1 << 18
 
@@ -132,8 +134,8 @@ def piece_keys(grams: np.ndarray, rows: np.ndarray, size: np.ndarray, rule: Jacc
     band = np.searchsorted(border, size, "right") - 1
     out: list[tuple[np.ndarray, np.ndarray]] = []
     has = size > 0
-    # One hash bit of 2**16 in a piece, as a random word: their XOR is the piece's parity sketch.
-    bit = tb.mix((grams & np.uint64(0xFFFF)) + np.uint64(0x51ED27))
+    # One hash bit of 2**32 in a piece, as a random word: their XOR is the piece's parity sketch.
+    bit = tb.mix((grams & np.uint64(0xFFFFFFFF)) + np.uint64(0x51ED27))
     high = grams >> np.uint64(32)
     # A piece's worth is its number of n-grams that are not common ones.
     worth = np.ones(len(grams))
@@ -219,7 +221,7 @@ def _sets(docs: DataFrame, rule: JaccardRule) -> DataFrame:
                 size, sid = set_ids(grams, rows, hi - lo)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(size), pa.array(sid), pa.array(_sketches(grams, rows, hi - lo), pa.binary()), b.column(2).slice(lo, hi - lo)], names=["id", "n", "sid", "sketch", "tag"])
 
-    return docs.mapInArrow(run, f"id {docs.schema[0].dataType.simpleString()}, n long, sid long, sketch binary, tag long")
+    return tb.in_batches(docs, run, f"id {docs.schema[0].dataType.simpleString()}, n long, sid long, sketch binary, tag long")
 
 
 def _common(docs: DataFrame, rule: JaccardRule, n_docs: int) -> np.ndarray:
@@ -241,13 +243,13 @@ def _common(docs: DataFrame, rule: JaccardRule, n_docs: int) -> np.ndarray:
             for _, _, buf, offs in tb.slices(b.column(1)):
                 held.append(ngrams(buf, offs, rule.ngram)[0])
                 size += len(held[-1])
-                if size > 4_000_000:
+                if size > 2_000_000:
                     yield found()
                     held, size = [], 0
         if size:
             yield found()
 
-    counted = docs.mapInArrow(run, "g long, n long").groupBy("g").agg(F.sum("n").alias("n")).where(F.col("n") >= max(8, n_docs // 4000))
+    counted = tb.in_batches(docs, run, "g long, n long").groupBy("g").agg(F.sum("n").alias("n")).where(F.col("n") >= max(8, n_docs // 4000))
     rows = counted.orderBy(F.col("n").desc(), "g").limit(COMMON_KEPT).select("g").toArrow()
     return np.sort(rows.column("g").to_numpy().view(np.uint64)) if rows.num_rows else np.zeros(0, np.uint64)
 
@@ -268,7 +270,7 @@ def _keys(docs: DataFrame, rule: JaccardRule, common: np.ndarray | None = None)
                 key, row = piece_keys(grams[pick], rows[pick], np.where(lone, size, 0), rule, common)
                 yield pa.RecordBatch.from_arrays([pa.array(tb.signed(key)), pa.array(sid[row])], names=["key", "sid"])
 
-    return docs.mapInArrow(run, "key long, sid long")
+    return tb.in_batches(docs, run, "key long, sid long")
 
 
 def _chains(keys: DataFrame, parts: int) -> DataFrame:
@@ -293,7 +295,7 @@ def _chains(keys: DataFrame, parts: int) -> DataFrame:
             pairs = np.unique(np.stack((u, v), 1), axis=0) if len(u) else np.zeros((0, 2), np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["u", "v"])
 
-    return keys.repartition(parts, "key").sortWithinPartitions("key", "sid").mapInArrow(run, "u long, v long").distinct()
+    return tb.in_batches(keys.repartition(parts, "key").sortWithinPartitions("key", "sid"), run, "u long, v long").distinct()
 
 
 def _members(docs: DataFrame, rule: JaccardRule) -> DataFrame:
@@ -319,7 +321,7 @@ def _members(docs: DataFrame, rule: JaccardRule) -> DataFrame:
                     names=["comp", "blocks", "sid", "n", "sketch", "grams"],
                 )
 
-    return docs.mapInArrow(run, "comp long, blocks int, sid long, n long, sketch binary, grams binary")
+    return tb.in_batches(docs, run, "comp long, blocks int, sid long, n long, sketch binary, grams binary")
 
 
 def _forest(left: list[tuple], right: list[tuple] | None, rule: JaccardRule) -> list[tuple[int, int]]:
@@ -387,8 +389,8 @@ def links(members: DataFrame, rule: JaccardRule, parts: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array([u for u, _ in found], pa.int64()), pa.array([v for _, v in found], pa.int64())], names=["u", "v"]) if found else None
 
         for b in batches:
-            cols = [b.column(k).to_pylist() for k in range(b.num_columns)]
-            for comp, i, j, second, *rest in zip(*cols, strict=True):
+            parts = (b.slice(at, BATCH_ROWS) for at in range(0, b.num_rows, BATCH_ROWS))
+            for comp, i, j, second, *rest in chain.from_iterable(zip(*(c.to_pylist() for c in p.columns), strict=True) for p in parts):
                 if (comp, i, j) != now:
                     if now is not None and (got := done()) is not None:
                         yield got
@@ -399,7 +401,7 @@ def links(members: DataFrame, rule: JaccardRule, parts: int) -> DataFrame:
         if now is not None and (got := done()) is not None:
             yield got
 
-    return dealt.mapInArrow(run, "u long, v long")
+    return tb.in_batches(dealt, run, "u long, v long")
 
 
 def _in_blocks(members: DataFrame, blocks: Column) -> DataFrame:
@@ -409,8 +411,7 @@ def _in_blocks(members: DataFrame, blocks: Column) -> DataFrame:
 
 def _labelled(docs: DataFrame, rule: JaccardRule, id_col: str, text_col: str) -> DataFrame:
     """(id, n, tag, component_id) of every row."""
-    spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = parts_for(docs)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     # A row is found again by its id and text, as ids may repeat or be null.
     tagged = texts.withColumn("tag", F.xxhash64("id", "text"))
@@ -427,11 +428,12 @@ def _labelled(docs: DataFrame, rule: JaccardRule, id_col: str, text_col: str) ->
     members = _members(tagged.select("tag", "text").join(wanted.hint("merge"), "tag").select("tag", "text", "want", "comp", "blocks"), rule)
     found = components(links(members, rule, parts))
     # Nodes of the final graph are sets; each set's smallest document stands for it.
-    label = sets.where("n > 0").join(found.select(F.col("id").alias("sid"), "component"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
+    label = sets.where("n > 0").groupBy("sid").agg(F.min("id").alias("id"), F.count("*").alias("rows")).join(found.select(F.col("id").alias("sid"), "component"), "sid", "left").where("rows > 1 or component is not null").withColumn("component", F.coalesce("component", "sid"))
     least = label.groupBy("component").agg(F.min("id").alias("component_id"))
-    by_set = label.select("sid", "component").distinct().join(least, "component").select("sid", "component_id")
-    component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
-    return sets.join(by_set, "sid", "left").select("id", "n", "tag", component.alias("component_id"))
+    by_set = label.select("sid", "component").join(least, "component").select("sid", "component_id", F.lit(True).alias("found"))
+    # A set that very many rows share: a merge join's large partitions are split.
+    component = F.when((F.col("n") > 0) & F.col("found"), F.col("component_id")).otherwise(F.col("id"))
+    return sets.join(by_set.hint("merge"), "sid", "left").select("id", "n", "tag", component.alias("component_id"))
 
 
 def linked_components(docs: DataFrame, rule: JaccardRule = JaccardRule(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
