@@ -15,8 +15,8 @@ distinct texts of a band are compared, in blocks of about BLOCK_ROWS.
 
 Edge cases: null text reads as empty and has the all-zero fingerprint; equal
 texts have equal fingerprints, and two empty texts are alike (1.0); equal ids
-stand in the order of their texts; equal rows are each other's neighbours; an
-empty table gives an empty result.  Only id and text are read, so extra columns
+stand in the order of their texts' first HEAD bytes, then of a hash; equal rows
+are each other's neighbours; an empty table gives an empty result.  Only id and text are read, so extra columns
 cannot clash.
 """
 
@@ -27,17 +27,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm import textbatch as tb
 from quern.llm.components import components
-from quern.llm.scratch import stored
+from quern.llm.scratch import parts_for, stored
 
 SLOTS = 128
 BANDS, BAND_SLOTS = 16, 8
 WALKS = 3
 BLOCK_ROWS = 1024
+HEAD = 32
 PERIOD = 4096
 BLOCK_CHARS = 6 << 20
 _STEPS = 128
@@ -119,36 +121,25 @@ def walks_likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.max([likeness(a[:, k : k + SLOTS], b[:, k : k + SLOTS]) for k in range(0, b.shape[1], SLOTS)], 0)
 
 
-def text_key(text: str) -> int:
+def text_key(text: bytes) -> int:
     """64 bits by which equal texts meet."""
-    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+    return int.from_bytes(hashlib.blake2b(text, digest_size=8).digest(), "little", signed=True)
 
 
 def _code_points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-def _blocks(texts: list[str]) -> Iterator[tuple[int, int]]:
-    lo, chars = 0, 0
-    for i, t in enumerate(texts):
-        if i > lo and chars + len(t) > BLOCK_CHARS:
-            yield lo, i
-            lo, chars = i, 0
-        chars += len(t)
-    if lo < len(texts):
-        yield lo, len(texts)
-
-
 def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Rows of (bucket, tail, id, text): a bucket holds a range of ids and, as its tail, the first of the next.
+    """Rows of (bucket, tail, id, head, text_key, packed): a bucket holds a range of ids and, as its tail, the first of the next.
 
-    Borders are found from the ids alone, as the smallest id of each part of a
+    head is the text's first bytes, packed the whole text, compressed for the
+    shuffle.  Borders are found from the ids alone, as the smallest id of each part of a
     range partitioning, so the driver sees one id per part.  Each row goes to
     its range's bucket, and the rows at a border also to the bucket before, so
     that neighbours meet and each text moves once.
     """
-    spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = parts_for(docs)
     ids = docs.select(F.col(id_col).cast("long").alias("_id"))
     low = ids.repartitionByRange(4 * parts, F.col("_id").asc_nulls_first()).groupBy(F.spark_partition_id()).agg(F.min("_id").alias("low"), F.count_if(F.col("_id").isNull()).alias("nulls")).collect()
     borders = np.array(sorted({r["low"] for r in low if r["low"] is not None}), np.int64)
@@ -160,19 +151,26 @@ def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     total = len(borders) + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            null = b.column(0).is_null().to_numpy(zero_copy_only=False)
-            key = b.column(0).fill_null(0).to_numpy()
-            bucket = np.where(null, 0, np.searchsorted(borders, key, "right"))
-            lead = null if lowest is None else (key == lowest) & ~null
-            lead = np.flatnonzero(lead | (np.isin(key, borders) & ~null))
-            order = np.concatenate((np.arange(len(key)), lead))
-            where = np.concatenate((bucket, (bucket[lead] - 1) % total))
-            tail = np.arange(len(order)) >= len(key)
-            yield pa.RecordBatch.from_arrays([pa.array(where, pa.int64()), pa.array(tail), b.column(0).take(pa.array(order)), b.column(1).take(pa.array(order))], names=["bucket", "tail", "id", "text"])
+        press = zstandard.ZstdCompressor(level=1)
+        for whole in batches:
+            for lo, hi, buf, offs in tb.slices(whole.column(1)):
+                data = memoryview(np.ascontiguousarray(buf))
+                texts = [data[s:e] for s, e in zip(offs[:-1], offs[1:], strict=True)]
+                yield from dealt(whole.column(0).slice(lo, hi - lo), pa.array([bytes(t[:HEAD]) for t in texts], pa.binary()), pa.array([text_key(t) for t in texts], pa.int64()), pa.array([press.compress(t) for t in texts], pa.binary()))
+
+    def dealt(ids: pa.Array, *others: pa.Array) -> Iterator[pa.RecordBatch]:
+        null = ids.is_null().to_numpy(zero_copy_only=False)
+        key = ids.fill_null(0).to_numpy()
+        bucket = np.where(null, 0, np.searchsorted(borders, key, "right"))
+        lead = null if lowest is None else (key == lowest) & ~null
+        lead = np.flatnonzero(lead | (np.isin(key, borders) & ~null))
+        order = np.concatenate((np.arange(len(key)), lead))
+        where = np.concatenate((bucket, (bucket[lead] - 1) % total))
+        tail = np.arange(len(order)) >= len(key)
+        yield pa.RecordBatch.from_arrays([pa.array(where, pa.int32()), pa.array(tail), *(c.take(pa.array(order)) for c in (ids, *others))], names=["bucket", "tail", "id", "head", "text_key", "packed"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return rows.mapInArrow(run, "bucket long, tail boolean, id long, text string").repartition(parts, "bucket")
+    return tb.in_batches(rows, run, "bucket int, tail boolean, id long, head binary, text_key long, packed binary").repartitionById(total, "bucket")
 
 
 FIGURES = "text_key long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
@@ -189,10 +187,11 @@ def edited_and_near(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id",
 
 
 def _edited(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    rows = with_next(docs, id_col, text_col).sortWithinPartitions("bucket", "tail", F.col("id").asc_nulls_first(), "text")
+    rows = with_next(docs, id_col, text_col).sortWithinPartitions("bucket", "tail", F.col("id").asc_nulls_first(), "head", "text_key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple | None = None  # the last row so far: bucket, id, text
+        press = zstandard.ZstdDecompressor()
+        held: tuple | None = None  # the last row so far: bucket, (id, text_key), text
         pairs: list[tuple] = []
         chars = 0
 
@@ -214,8 +213,8 @@ def _edited(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 after[other] = fingerprints([_code_points(nexts[i]) for i in other])
             out = pa.RecordBatch.from_arrays(
                 [
-                    pa.array([i for i, _, _ in pairs], pa.int64()),
-                    pa.array([text_key(t) for t in texts], pa.int64()),
+                    pa.array([i[0] for i, _, _ in pairs], pa.int64()),
+                    pa.array([i[1] for i, _, _ in pairs], pa.int64()),
                     pa.array([len(t) for t in texts], pa.int64()),
                     pa.array([hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in edited]),
                     pa.array([p.tobytes().hex() for p in own]),
@@ -229,17 +228,18 @@ def _edited(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             return out
 
         for b in batches:
-            for bucket, tail, key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+            for bucket, tail, key, code, packed in zip(*(b.column(k).to_pylist() for k in (0, 1, 2, 4, 5)), strict=True):
+                text = press.decompress(packed).decode()
                 if held is not None and held[0] == bucket:
                     pairs.append((held[1], held[2], text))
                     chars += len(held[2])
                     if chars > BLOCK_CHARS:
                         yield flush()
-                held = None if tail else (bucket, key, text)
+                held = None if tail else (bucket, (key, code), text)
         if pairs:
             yield flush()
 
-    return rows.mapInArrow(run, f"{id_col} long, {FIGURES}")
+    return tb.in_batches(rows, run, f"{id_col} long, {FIGURES}")
 
 
 def plain_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -247,14 +247,29 @@ def plain_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     picked = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias(text_col))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids: list = []
+        texts: list[str] = []
+        chars = 0
+
+        def flush() -> pa.RecordBatch:
+            points = [_code_points(t) for t in texts]
+            prints = np.hstack([fingerprints(points, move) for move in _MOVES])
+            return pa.RecordBatch.from_arrays([pa.array(ids, kind), pa.array([text_key(t.encode()) for t in texts], pa.int64()), pa.array([len(t) for t in texts], pa.int64()), pa.array([p.tobytes() for p in prints], pa.binary())], names=[id_col, "text_key", "n_chars", "fingerprint"])
+
+        # A walk takes its steps for all texts of a block at once, so blocks reach over batches.
         for b in batches:
-            texts = b.column(1).to_pylist()
-            for lo, hi in _blocks(texts):
-                points = [_code_points(t) for t in texts[lo:hi]]
-                prints = np.hstack([fingerprints(points, move) for move in _MOVES])
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array([text_key(t) for t in texts[lo:hi]], pa.int64()), pa.array([len(t) for t in texts[lo:hi]], pa.int64()), pa.array([p.tobytes() for p in prints], pa.binary())], names=[id_col, "text_key", "n_chars", "fingerprint"])
+            kind = b.schema.field(0).type
+            for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if texts and chars + len(text) > BLOCK_CHARS:
+                    yield flush()
+                    ids, texts, chars = [], [], 0
+                ids.append(key)
+                texts.append(text)
+                chars += len(text)
+        if texts:
+            yield flush()
 
-    return picked.mapInArrow(run, f"{id_col} {picked.schema[0].dataType.simpleString()}, text_key long, n_chars long, fingerprint binary")
+    return tb.in_batches(picked, run, f"{id_col} {picked.schema[0].dataType.simpleString()}, text_key long, n_chars long, fingerprint binary")
 
 
 def _forest(prints: np.ndarray, left: int, least: float) -> list[tuple[int, int]]:
@@ -278,9 +293,8 @@ def _forest(prints: np.ndarray, left: int, least: float) -> list[tuple[int, int]
     return out
 
 
-def _links(members: DataFrame, least: float) -> DataFrame:
+def _links(members: DataFrame, least: float, parts: int) -> DataFrame:
     """(u, v): links among the members (band, lo, hi, own, text_key, fingerprint) of each pair of blocks."""
-    parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = members.select("band", "lo", "hi", "own", "text_key", "fingerprint").repartition(parts, "band", "lo", "hi").sortWithinPartitions("band", "lo", "hi", "own", "text_key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -311,7 +325,7 @@ def _links(members: DataFrame, least: float) -> DataFrame:
         if out:
             yield found()
 
-    return dealt.mapInArrow(run, "u long, v long").distinct()
+    return tb.in_batches(dealt, run, "u long, v long").distinct()
 
 
 def _component_of_key(prints: DataFrame, least: float, id_col: str) -> DataFrame:
@@ -325,7 +339,7 @@ def _component_of_key(prints: DataFrame, least: float, id_col: str) -> DataFrame
     own = F.pmod(F.xxhash64("text_key"), F.col("blocks")).cast("int")
     met = keyed.join(shared, "band").withColumn("own", own).withColumn("mate", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     members = met.select("band", "text_key", "own", F.least("own", "mate").alias("lo"), F.greatest("own", "mate").alias("hi")).join(texts.select("text_key", "fingerprint"), "text_key")
-    found = components(_links(members, least)).toDF("text_key", "component")
+    found = components(_links(members, least, parts_for(texts))).toDF("text_key", "component")
     label = texts.select("text_key", "low").join(found, "text_key", "left").withColumn("component", F.coalesce("component", "text_key"))
     return label.join(label.groupBy("component").agg(F.min("low").alias("component_id")), "component").select("text_key", "component_id")
 
