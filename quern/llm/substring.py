@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm import textbatch as tb
-from quern.llm.scratch import parts_for
+from quern.llm.scratch import parts_for, stored
 
 #: Null ids become the least ids, by a hash of the text.
 _NO_ID, _NULLS = -(1 << 63), 1 << 40
@@ -97,7 +97,8 @@ def _packed(docs: DataFrame) -> DataFrame:
                 part = b.slice(lo, hi - lo)
                 yield part.set_column(1, "text", pa.array([press.compress(data[s:e]) for s, e in zip(offs[:-1], offs[1:], strict=True)], pa.binary()))
 
-    fields = [f"`{f.name}` {'binary' if k == 1 else f.dataType.simpleString()}" for k, f in enumerate(docs.schema)]
+    # Where d is known not to be null, all joins on it read one and the same exchange.
+    fields = [f"`{f.name}` {('long not null', 'binary')[k] if k < 2 else f.dataType.simpleString()}" for k, f in enumerate(docs.schema)]
     return tb.in_batches(docs, run, ", ".join(fields))
 
 
@@ -183,7 +184,7 @@ def _anchor_rows(docs: DataFrame, rule: Repeats) -> DataFrame:
                     at = np.unique(place)
                     yield _occurrences(grams[at], at, of, b.column(0).slice(of.lo, of.n), ["h", "d", "at", "n"])
 
-    return tb.in_batches(docs, run, "h long, d long, at long, n long")
+    return tb.in_batches(docs, run, "h long not null, d long not null, at long not null, n long not null")
 
 
 def _led(occurrences: DataFrame) -> DataFrame:
@@ -191,8 +192,8 @@ def _led(occurrences: DataFrame) -> DataFrame:
     first = occurrences.groupBy("h").agg(F.sum("n").alias("all"), F.min(F.struct("d", "at")).alias("m")).where("all > 1")
     # A key of its own gives the join exchanges of its own, whose large partitions can be split.
     own = F.col("h").bitwiseXOR(F.lit(-1)).alias("g")
-    first = first.select("h", own, F.col("m.d").alias("d0"), F.col("m.at").alias("at0"))
-    met = occurrences.select("h", own, "d", "at", "n").join(first.hint("merge"), ["g", "h"])
+    first = first.select(own, F.col("m.d").alias("d0"), F.col("m.at").alias("at0"))
+    met = occurrences.select(own, "d", "at", "n").join(first.hint("merge"), "g")
     return met.where("n > 1 or d <> d0 or at <> at0").select("d", "at", "d0", "at0")
 
 
@@ -221,7 +222,7 @@ def _pieces(texts: DataFrame, seeds: DataFrame, name: str, rule: Repeats) -> Dat
 
     own = F.xxhash64("d0", "s").alias("g")
     # Equal rows give equal pieces, of which one goes on.
-    cut = tb.in_batches(texts.join(wanted, "d"), run, "d0 long, s long, words binary").groupBy("d0", "s").agg(F.min("words").alias("words"))
+    cut = tb.in_batches(texts.join(wanted, "d"), run, "d0 long not null, s long not null, words binary").groupBy("d0", "s").agg(F.min("words").alias("words"))
     sent = asked.select("d", "d0", "s", own).join(cut.select("d0", "s", own, "words").hint("merge"), ["g", "d0", "s"])
     return sent.groupBy("d").agg(F.collect_list(F.struct("d0", "s", "words")).alias(name))
 
@@ -304,7 +305,7 @@ def _unsettled_rows(found: DataFrame, rule: Repeats) -> DataFrame:
                 if len(open_):
                     yield _occurrences(tb.windows(of.words, rule.window)[open_], open_, of, ids, ["h", "d", "at", "n"])
 
-    return tb.in_batches(found, run, "h long, d long, at long, n long")
+    return tb.in_batches(found, run, "h long not null, d long not null, at long not null, n long not null")
 
 
 def marked(docs: DataFrame, rule: Repeats = Repeats(), id_col: str = "doc_id", text_col: str = "text", others: tuple[str, ...] = ()) -> DataFrame:
@@ -316,7 +317,7 @@ def marked(docs: DataFrame, rule: Repeats = Repeats(), id_col: str = "doc_id", t
     null = F.lit(_NO_ID) + F.xxhash64(text_col).bitwiseAND(F.lit(_NULLS - 1))
     own = F.coalesce(F.col(id_col).cast("long"), null)
     texts = _packed(docs.select(own.alias("d"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *(F.col(c).alias(f"_{i}") for i, c in enumerate(others)))).repartition(parts_for(docs), "d")
-    seeds = _dealt(_led(_anchor_rows(docs.select(own.alias("d"), F.col(text_col).alias("text")), rule)), "seeds")
+    seeds = _dealt(stored(_led(_anchor_rows(docs.select(own.alias("d"), F.col(text_col).alias("text")), rule)), "seeds"), "seeds")
     pieces = _pieces(texts, seeds, "pieces", rule)
     seeds2 = _dealt(_led(_unsettled_rows(texts.join(seeds, "d").join(pieces, "d"), rule)), "seeds2")
     pieces2 = _pieces(texts, seeds2, "pieces2", rule)
