@@ -35,7 +35,7 @@ WEAK = ("of", "de", "er")
 
 
 def _names(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", F.substring(F.element_at(F.split("text", "\n"), 1), 1, 60).alias("name"))
+    return table(spark, d, "documents").select("doc_id", F.element_at(F.split("text", "\n"), 1).alias("name"))
 
 
 def _validation(spark: SparkSession, d: str) -> DataFrame:
@@ -249,7 +249,7 @@ def _hits(c: str, terms) -> str:
 
 
 _TOTAL = " + ".join(f"{_occ('t', k)} * {w}" for k, w in QUALITY_TERMS)
-_VALID = f"""n AS (SELECT doc_id, substring(string_split(text, chr(10))[1], 1, 60) AS name FROM documents), l AS (SELECT *, lower(trim(name)) AS low FROM n),
+_VALID = f"""n AS (SELECT doc_id, string_split(text, chr(10))[1] AS name FROM documents), l AS (SELECT *, lower(trim(name)) AS low FROM n),
 g AS (SELECT *, CAST(2.0 * {_hits('low', PARISH)} + 0.5 * {_hits('low', WEAK)} + CASE WHEN regexp_matches(name, '(?i)(^| )(saint|st|san|le) +[a-z]+') THEN 1.5 ELSE 0 END AS DOUBLE) AS good,
  CAST(2.5 * {_hits('low', EXCLUDE)} + CASE WHEN length(low) < 3 THEN 1.0 ELSE 0 END + CASE WHEN upper(name) = name AND length(name) > 20 THEN 0.5 ELSE 0 END + CASE WHEN low IN ('home', 'contact', 'about') THEN 2.0 ELSE 0 END AS DOUBLE) AS bad FROM l),
 v AS (SELECT doc_id, good, bad, CASE WHEN bad >= 3 AND good < 1 THEN false WHEN good >= 1.5 AND bad < 1 THEN true WHEN bad >= 3 AND good <= 4 THEN false WHEN good >= 0.5 AND bad < 2 THEN true ELSE good >= bad END AS is_valid,
@@ -271,7 +271,7 @@ SQL = {
     "content_quality": f"WITH d AS (SELECT doc_id, lower(text) AS t FROM documents), s AS (SELECT doc_id, {_TOTAL} AS total FROM d) SELECT doc_id, total, CASE WHEN total >= 400 THEN 'good' WHEN total >= 150 THEN 'fair' WHEN total >= 40 THEN 'poor' WHEN total >= 1 THEN 'irrelevant' ELSE 'error' END AS quality FROM s",
     "entity_validation": f"WITH {_VALID} SELECT * FROM v",
     "validation_stats": f"WITH {_VALID} SELECT is_valid, count(*) AS n, count(*) FILTER (confidence > 0.7) AS n_sure, round(avg(good), 6) AS mean_good FROM v GROUP BY is_valid",
-    "keyword_histogram": "WITH n AS (SELECT lower(substring(string_split(text, chr(10))[1], 1, 60)) AS name FROM documents), k AS (SELECT unnest([" + ", ".join(f"'{k}'" for k in (*PARISH, *EXCLUDE)) + "]) AS keyword) SELECT keyword, count(*) AS n FROM n JOIN k ON contains(name, keyword) GROUP BY keyword",
+    "keyword_histogram": "WITH n AS (SELECT lower(string_split(text, chr(10))[1]) AS name FROM documents), k AS (SELECT unnest([" + ", ".join(f"'{k}'" for k in (*PARISH, *EXCLUDE)) + "]) AS keyword) SELECT keyword, count(*) AS n FROM n JOIN k ON contains(name, keyword) GROUP BY keyword",
     "completeness_profile": """WITH g AS (SELECT count(*) AS n, count(*) FILTER (length(c_name) > 2) AS names, count(*) FILTER (c_custkey % 3 <> 0 AND c_mktsegment <> '') AS cities, count(*) FILTER (c_custkey % 4 <> 0) AS addresses, count(*) FILTER (c_custkey % 5 <> 0) AS phones,
 count(*) FILTER (c_custkey % 10 >= 8) AS high, count(*) FILTER (c_custkey % 10 BETWEEN 5 AND 7) AS medium, count(*) FILTER (c_custkey % 10 < 5) AS low FROM customer)
 SELECT *, round(((names + cities) / (n * 2) * 100 + (addresses + phones) / (n * 2) * 100) / 2, 4) AS quality FROM g""",
