@@ -457,3 +457,40 @@ def test_bpe_words_of_odd_letters():
         want = t.encode(x, add_special_tokens=False).ids
         assert ids.tolist() == want
         assert text.decode() == t.decode(want, skip_special_tokens=False) == b.decode(ids)
+
+
+def test_bpe_long_words():
+    model = bpe.WordBpe(bpe.read_spec(public_tokenizers.path("word_bpe_49k.json")))
+    r = np.random.default_rng(5)
+    word = "".join(chr(97 + x) for x in r.integers(0, 26, 3000))
+    symbols = model._symbols(word, True)
+    assert model._merged_long(list(symbols)) == Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")).encode(word, add_special_tokens=False).ids
+    assert len(model.exact(word * 100)) > 3000
+
+
+def test_chat_equal_turns_stand_by_plain_text(spark):
+    rows = [(1, 1, "user", "<z"), (1, 1, "user", "A")]
+    got = chat.digests(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).first()
+    assert got["turns_sha256"] == sha("user\n<z\nuser\nA\n")
+
+
+def test_draw_of_repeated_rows(spark):
+    docs = spark.range(20000).select(F.lit(1).cast("long").alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"))
+    labels = spark.createDataFrame([(1, 1), (1, 1)], "doc_id long, toxic int")
+    assert [r["text"] for r in toxicity.draw(docs, labels, "toxic", F.lit(True), 5, 5).collect()] == ["text 0"]
+
+
+def test_votes_of_ties_are_whole():
+    terms = np.ones((4, quality_vote.WIDTH), np.float32)
+    model = quality_vote.VoteModel(np.ones(quality_vote.WIDTH, np.float32), np.ones((quality_vote.WIDTH, 1), np.float32), np.ones((4, 1), np.float32), np.array([1.0, 0, 0, 0]), np.ones(4), 0.0, quality_vote.VoteSettings(neighbours=1))
+    assert np.allclose(model.score(terms), 0.25)
+    assert model.score(np.zeros((1, quality_vote.WIDTH), np.float32))[0] == 0.0
+
+
+def test_warc_of_another_writer():
+    body = b"HTTP/1.1 200 OK\r\nX: y\r\n\r\nhello"
+    head = b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:uuid:1>\r\nWARC-Date: 2020-01-01T00:00:00Z\r\nWARC-Payload-Digest: sha1:VL2MMHO4YXUKFWV63YHTWSBM3GXKSQ2N\r\nContent-Length: "
+    got = warc.parse(head + str(len(body)).encode() + b"\r\n\r\n" + body + b"\r\n\r\n")
+    assert (got["page_id"], got["record_id"], got["payload"]) == (None, "<urn:uuid:1>", b"hello")
+    with pytest.raises(ValueError, match="digest"):
+        warc.parse(head + str(len(body)).encode() + b"\r\n\r\n" + body[:-1] + b"p\r\n\r\n")
