@@ -68,16 +68,22 @@ _RECORDS = _records()
 _MOVES = [_MOVE, *(np.random.Generator(np.random.PCG64(99 + k)).integers(0, 2, (PERIOD, 256), dtype=np.uint8) for k in range(1, WALKS))]
 
 
-def fingerprints(texts: list[np.ndarray], move: np.ndarray = _MOVE) -> np.ndarray:
-    """uint8 slots of each text, given as code points; 0 only where a text has no character."""
-    out = np.zeros((len(texts), SLOTS), np.uint8)
+def fingerprints(texts: list[np.ndarray], moves: list[np.ndarray] | None = None) -> np.ndarray:
+    """uint8 slots of each text, given as code points, a walk's beside the next's; 0 only where a text has no character.
+
+    All walks of all texts take each step together: a step costs little more for
+    several walks than for one where few long texts are left.
+    """
+    moves = moves or [_MOVE]
+    walks = len(moves)
+    out = np.zeros((len(texts), walks * SLOTS), np.uint8)
     lens = np.array([len(t) for t in texts], np.int64)
     order = np.argsort(-lens, kind="stable")
     order = order[lens[order] > 0]
     if not len(order):
         return out
     flat = np.concatenate([texts[i] for i in order])
-    code = (((flat.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(56)).astype(np.uint8)
+    code = (((flat.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(56)).astype(np.uint16)
     size = lens[order]
     base = np.concatenate(([0], np.cumsum(size)[:-1]))
     # The steps to sample, by row and slot, in order of the step.
@@ -87,28 +93,36 @@ def fingerprints(texts: list[np.ndarray], move: np.ndarray = _MOVE) -> np.ndarra
         pick[:, s] = _RECORDS[s][np.searchsorted(_RECORDS[s], length, "right") - 1]
     by_step = np.argsort(pick, axis=None, kind="stable")
     steps = pick.ravel()[by_step]
-    got = np.zeros(len(order) * SLOTS, np.uint8)
-
-    at = base.copy()
-    end = base + size - 1
-    active, first = len(order), 0
-    log = np.empty((_STEPS, len(order)), np.int64)
+    got = np.zeros((walks, len(order) * SLOTS), np.uint8)
+
+    # A text's walks stand side by side, so those still under way are the first ones.
+    at = np.repeat(base, walks)
+    end = np.repeat(base + size - 1, walks)
+    row_of_walk = np.tile(np.arange(walks, dtype=np.uint16) * np.uint16(256), len(order))
+    table = np.ascontiguousarray(np.stack(moves, 1).reshape(PERIOD, walks * 256).astype(np.int64))
+    log = np.empty((_STEPS, walks * len(order)), np.int64)
+    here, by = np.empty(len(at), np.uint16), np.empty(len(at), np.int64)
+    first = 0
     reach = -length  # ascending, as the rows' lengths descend
     for block in range(0, int(length[0]) + 1, _STEPS):
-        active = int(np.searchsorted(reach, -block, "right"))
+        active = walks * int(np.searchsorted(reach, -block, "right"))
         if not active:
             break
-        pos, stop = at[:active], end[:active]
+        pos, stop, shift, c, m = at[:active], end[:active], row_of_walk[:active], here[:active], by[:active]
         for j in range(_STEPS):
             log[j, :active] = pos
-            pos = pos + move[(block + j) % PERIOD][code[pos]]
+            code.take(pos, out=c, mode="clip")
+            if walks > 1:
+                np.add(c, shift, out=c)
+            table[(block + j) % PERIOD].take(c, out=m, mode="clip")
+            np.add(pos, m, out=pos)
             np.minimum(pos, stop, out=pos)
-        at[:active] = pos
         upto = int(np.searchsorted(steps, block + _STEPS))
         cell = by_step[first:upto]
-        got[cell] = (flat[log[steps[first:upto] - block, cell // SLOTS]] % 251 + 1).astype(np.uint8)
+        for w in range(walks):
+            got[w, cell] = (flat[log[steps[first:upto] - block, cell // SLOTS * walks + w]] % 251 + 1).astype(np.uint8)
         first = upto
-    out[order] = got.reshape(-1, SLOTS)
+    out[order] = got.reshape(walks, -1, SLOTS).transpose(1, 0, 2).reshape(len(order), -1)
     return out
 
 
@@ -255,7 +269,7 @@ def plain_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
         def flush() -> pa.RecordBatch:
             points = [_code_points(t) for t in texts]
-            prints = np.hstack([fingerprints(points, move) for move in _MOVES])
+            prints = fingerprints(points, _MOVES)
             return pa.RecordBatch.from_arrays([pa.array(ids, kind), pa.array([text_key(t.encode()) for t in texts], pa.int64()), pa.array([len(t) for t in texts], pa.int64()), pa.array([p.tobytes() for p in prints], pa.binary())], names=[id_col, "text_key", "n_chars", "fingerprint"])
 
         # A walk takes its steps for all texts of a block at once, so blocks reach over batches.
