@@ -190,6 +190,17 @@ def exclusive_p95(values: Column) -> Column:
     return F.when(m >= 5, high).when(m > 0, mean * 1.5)
 
 
+# Entities and their letters; the ampersand comes last.
+ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
+
+
+def unescape(c: Column) -> Column:
+    """Common entities as their letters."""
+    for entity, letter in ENTITIES:
+        c = F.replace(c, F.lit(entity), F.lit(letter))
+    return c
+
+
 def html_text(html: Column) -> Column:
     """Text of a page: tags become spaces, white space is squeezed."""
     return squeeze(F.regexp_replace(html, "<[^>]*>", " "))

@@ -44,6 +44,22 @@ def static_priority(url: Column, terms: UrlTerms) -> Column:
     return F.greatest(5.0 * X.hits(u, terms.high) + 3.0 * X.hits(u, terms.medium) + 1.0 * X.hits(u, terms.general) - 2.0 * X.hits(u, terms.low), F.lit(0.0))
 
 
+def url_join(base: Column, ref: Column) -> Column:
+    """A link of a page as an absolute URL: other schemes, hosts, rooted and relative paths, queries, fragments, dot segments."""
+    root = F.regexp_extract(base, "^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
+    path = F.regexp_extract(base, "^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
+    own, tail = F.regexp_extract(ref, "^([^?#]*)", 1), F.regexp_extract(ref, "^[^?#]*(.*)$", 1)
+    folder = F.when(path == "", "/").otherwise(F.regexp_extract(path, "^(.*/)", 1))
+    parts = F.split(F.when(own.startswith("/"), own).otherwise(F.concat(folder, own)), "/")
+    kept = F.aggregate(parts, F.array().cast("array<string>"), lambda a, s: F.when(s == ".", a).when(s == "..", F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.lit(1)))).otherwise(F.concat(a, F.array(s))))
+    last = F.element_at(parts, -1)
+    merged = F.concat(F.array_join(kept, "/"), F.when(last.isin(".", ".."), "/").otherwise(""))
+    same = F.concat(root, path, F.when(tail.startswith("#"), F.regexp_extract(base, "^[^?#]*(\\?[^#]*)", 1)).otherwise(""), tail)
+    out = F.when(ref == "", base).when(ref.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), ref)
+    out = out.when(ref.startswith("//"), F.concat(F.regexp_extract(base, "^([A-Za-z][A-Za-z0-9+.-]*:)", 1), ref))
+    return out.when(own == "", same).otherwise(F.concat(root, merged, tail))
+
+
 def path_depth(url: Column) -> Column:
     return F.size(F.filter(F.split(X.url_path(url), "/"), lambda p: p != ""))
 

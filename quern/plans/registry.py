@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 from collections.abc import Callable
 
-MODULES = ("plans.listing", "plans.facts_views", "plans.series", "plans.urls", "plans.text", "plans.rules", "plans.models", "streaming.events")
+MODULES = ("plans.listing", "plans.facts_views", "plans.series", "plans.urls", "plans.text", "plans.rules", "plans.links", "plans.models", "streaming.events")
 
 
 def queries() -> dict[str, Callable]:

@@ -71,8 +71,8 @@ def weighted_complexity(spark: SparkSession, d: str) -> DataFrame:
     h = F.lower("html")
     p = table(spark, d, "pages").select("page_id", *[X.occurrences(h, t).cast("double").alias(n) for n, t in (("js", "<script"), ("images", "<img"), ("iframes", "<iframe"))])
     value = sum((F.col(n) * w for n, w in COMPLEXITY), F.lit(0.0))
-    weight = sum((F.when(F.col(n) > 0, w).otherwise(0.0) for n, w in COMPLEXITY), F.lit(0.0))
-    return p.select("page_id", F.round(F.when(weight > 0, value / weight).otherwise(1.0), 6).alias("complexity"))
+    weight = sum(w for _, w in COMPLEXITY)
+    return p.select("page_id", F.round(F.coalesce(value / weight, F.lit(1.0)), 6).alias("complexity"))
 
 
 def adaptive_timeout(spark: SparkSession, d: str) -> DataFrame:
@@ -215,8 +215,8 @@ SELECT page_id, CASE WHEN regexp_matches(lower(src), 'map|/en') THEN 'mapping' W
     "extraction_statistics": f"WITH {FACTS_SQL} SELECT method, count(*) AS attempted, count(*) FILTER ({_DATA}) AS succeeded, count(*) FILTER (NOT ({_DATA})) AS failed, count(*) FILTER (score >= 50) AS confident FROM facts GROUP BY method",
     "best_page_per_type": f"WITH {FACTS_SQL} SELECT child_id, fact_type, arg_max(fact_id, (score, -fact_id)) AS fact_id, max(score) AS score FROM facts WHERE score >= 7 GROUP BY 1, 2",
     "weighted_complexity": f"""WITH h AS (SELECT page_id, lower(html) AS h FROM pages), c AS (SELECT page_id, {_occ('h', '<script')} AS a, {_occ('h', '<img')} AS b, {_occ('h', '<iframe')} AS c FROM h),
-w AS (SELECT *, a * 2.0 + b * 1.3 + c * 1.5 AS v, CASE WHEN a > 0 THEN 2.0 ELSE 0 END + CASE WHEN b > 0 THEN 1.3 ELSE 0 END + CASE WHEN c > 0 THEN 1.5 ELSE 0 END AS w FROM c)
-SELECT page_id, round(CASE WHEN w > 0 THEN CAST(v AS DOUBLE) / CAST(w AS DOUBLE) ELSE 1.0 END, 6) AS complexity FROM w""",
+w AS (SELECT *, a * 2.0 + b * 1.3 + c * 1.5 AS v FROM c)
+SELECT page_id, round(coalesce(CAST(v AS DOUBLE) / 4.8::DOUBLE, 1.0), 6) AS complexity FROM w""",
     "adaptive_timeout": f"""WITH {VISITS_SQL}, g AS (SELECT worker, count(seconds) AS n, CAST(sum(CAST(seconds AS DECIMAL(18,6))) AS DOUBLE) / count(seconds) AS m, avg(CASE WHEN ok THEN 1.0 ELSE 0.0 END) AS r FROM visits GROUP BY worker),
 b AS (SELECT *, CAST(CASE WHEN m < 40 AND r > 0.9 THEN 10.0 WHEN m > 60 OR r < 0.6 THEN 45.0 ELSE 30.0 END AS DOUBLE) AS base, least(n / 20.0, 0.7::DOUBLE) AS w FROM g)
 SELECT worker, base, floor(greatest(least(base * (1 - w) + m * 1.5 * w, 60.0), 3.0) * 100 + 0.5) / 100 AS timeout FROM b""",

@@ -29,7 +29,7 @@ def recent_mean(spark: SparkSession, d: str) -> DataFrame:
     # Decimal sums do not depend on their order.
     mean = lambda rows: F.sum(F.col("value").cast("decimal(18,6)")).over(rows).cast("double") / F.count("value").over(rows)
     v = visits(spark, d).select("worker", "event_id", mean(w.rowsBetween(-4, 0)).alias("recent"), mean(w.rowsBetween(Window.unboundedPreceding, 0)).alias("overall"))
-    factor = F.when(F.col("recent") > F.col("overall") * 1.2, 1.3).when(F.col("recent") < F.col("overall") * 0.8, 0.9).otherwise(1.0)
+    factor = F.when(F.col("recent") > F.col("overall") * 1.5, 1.3).when(F.col("recent") < F.col("overall") * 0.7, 0.9).otherwise(1.0)
     return v.select("worker", "event_id", (F.floor(F.col("recent") * 10000 + 0.5) / 10000).alias("recent"), (F.floor(F.col("overall") * 10000 + 0.5) / 10000).alias("overall"), factor.alias("factor"))
 
 
@@ -189,7 +189,7 @@ SELECT s.day, coalesce(c.n, 0) AS n, CAST(sum(coalesce(c.n, 0)) OVER (ORDER BY s
     "last_n_per_key": f"{_V} SELECT worker, CAST(rn AS INTEGER) AS rn, event_id FROM (SELECT *, row_number() OVER (PARTITION BY worker ORDER BY ts DESC, event_id DESC) AS rn FROM visits) WHERE rn <= 20",
     "recent_mean": f"""{_V}, m AS (SELECT worker, event_id, CAST(sum(CAST(value AS DECIMAL(18,6))) OVER (PARTITION BY worker ORDER BY ts, event_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS DOUBLE) / count(value) OVER (PARTITION BY worker ORDER BY ts, event_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS recent,
 CAST(sum(CAST(value AS DECIMAL(18,6))) OVER (PARTITION BY worker ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS DOUBLE) / count(value) OVER (PARTITION BY worker ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS overall FROM visits)
-SELECT worker, event_id, floor(recent * 10000 + 0.5) / 10000 AS recent, floor(overall * 10000 + 0.5) / 10000 AS overall, CAST(CASE WHEN recent > overall * 1.2 THEN 1.3 WHEN recent < overall * 0.8 THEN 0.9 ELSE 1.0 END AS DOUBLE) AS factor FROM m""",
+SELECT worker, event_id, floor(recent * 10000 + 0.5) / 10000 AS recent, floor(overall * 10000 + 0.5) / 10000 AS overall, CAST(CASE WHEN recent > overall * 1.5::DOUBLE THEN 1.3 WHEN recent < overall * 0.7::DOUBLE THEN 0.9 ELSE 1.0 END AS DOUBLE) AS factor FROM m""",
     "trailing_rate": f"{_V}, w AS (SELECT event_id, count(*) OVER (PARTITION BY worker ORDER BY epoch_us(ts) RANGE BETWEEN 3600000000 PRECEDING AND CURRENT ROW) AS in_window FROM visits) SELECT event_id, in_window, in_window > 3 AS limited FROM w",
     "key_stats_p95": f"""{_V}, r AS (SELECT *, row_number() OVER (PARTITION BY worker ORDER BY ts DESC, event_id DESC) AS rn FROM visits),
 g AS (SELECT worker, avg(seconds) AS m, list_sort(list(seconds) FILTER (seconds IS NOT NULL)) AS s, avg(CASE WHEN ok THEN 1.0 ELSE 0.0 END) AS r FROM r WHERE rn <= 100 GROUP BY worker),

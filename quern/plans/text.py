@@ -13,12 +13,14 @@ QUALITY_TERMS = (("tion", 3), ("ment", 3), ("heit", 3), ("the ", 2), (" der ", 2
 
 # Error classes and their patterns, the first that matches counts.
 ERROR_CLASSES = (
-    ("network_timeout", ("timeout", "connection.*timed out")),
-    ("network_connection", ("connection.*refused", "connection.*reset", "network.*unreachable", "no route to host")),
+    ("network_timeout", ("timeout", "connection.*timed out", "read.*timeout", "socket.*timeout", "request.*timeout")),
+    ("network_connection", ("connection.*refused", "connection.*reset", "network.*unreachable", "name.*not.*resolved", "no route to host")),
     ("http_client_error", ("404", "not found", "forbidden", "unauthorized", "bad request")),
     ("http_server_error", ("500", "502", "503", "504", "internal server error", "bad gateway", "service unavailable")),
-    ("parsing_error", ("json.*decode", "xml.*parse", "html.*parse", "invalid.*syntax")),
-    ("database_error", ("database.*error", "connection.*pool", "sql.*error")),
+    ("parsing_error", ("json.*decode", "xml.*parse", "html.*parse", "invalid.*syntax", "malformed.*data")),
+    ("ai_service_error", ("ai.*error", "model.*error", "api.*quota", "rate.*limit", "service.*unavailable")),
+    ("database_error", ("database.*error", "connection.*pool", "sql.*error", "table.*not.*exist", "constraint.*violation")),
+    ("selenium_error", ("webdriver.*exception", "element.*not.*found", "session.*not.*created", "chrome.*not.*found", "browser.*crash")),
 )
 
 
@@ -26,7 +28,7 @@ def content_quality(spark: SparkSession, d: str) -> DataFrame:
     """Keyword hits weighted to a score and banded."""
     t = F.lower("text")
     total = sum((X.occurrences(t, k) * w for k, w in QUALITY_TERMS), F.lit(0))
-    return table(spark, d, "documents").select("doc_id", total.alias("total"), X.band(total, ((400, "good"), (150, "fair"), (40, "poor"), (1, "irrelevant")), "error").alias("quality"))
+    return table(spark, d, "documents").select("doc_id", total.alias("total"), X.band(total, ((10, "good"), (5, "fair"), (2, "poor"), (1, "irrelevant")), "error").alias("quality"))
 
 
 PARISH = ("the", "ment", "tion", "heit", "customer")
@@ -268,7 +270,7 @@ c AS (SELECT *, {_CLASS} AS kind FROM m)"""
 _TEXT = "trim(regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '[ \\t-\\r]+', ' ', 'g'))"
 
 SQL = {
-    "content_quality": f"WITH d AS (SELECT doc_id, lower(text) AS t FROM documents), s AS (SELECT doc_id, {_TOTAL} AS total FROM d) SELECT doc_id, total, CASE WHEN total >= 400 THEN 'good' WHEN total >= 150 THEN 'fair' WHEN total >= 40 THEN 'poor' WHEN total >= 1 THEN 'irrelevant' ELSE 'error' END AS quality FROM s",
+    "content_quality": f"WITH d AS (SELECT doc_id, lower(text) AS t FROM documents), s AS (SELECT doc_id, {_TOTAL} AS total FROM d) SELECT doc_id, total, CASE WHEN total >= 10 THEN 'good' WHEN total >= 5 THEN 'fair' WHEN total >= 2 THEN 'poor' WHEN total >= 1 THEN 'irrelevant' ELSE 'error' END AS quality FROM s",
     "entity_validation": f"WITH {_VALID} SELECT * FROM v",
     "validation_stats": f"WITH {_VALID} SELECT is_valid, count(*) AS n, count(*) FILTER (confidence > 0.7) AS n_sure, round(avg(good), 6) AS mean_good FROM v GROUP BY is_valid",
     "keyword_histogram": "WITH n AS (SELECT lower(string_split(text, chr(10))[1]) AS name FROM documents), k AS (SELECT unnest([" + ", ".join(f"'{k}'" for k in (*PARISH, *EXCLUDE)) + "]) AS keyword) SELECT keyword, count(*) AS n FROM n JOIN k ON contains(name, keyword) GROUP BY keyword",

@@ -28,6 +28,18 @@ def test_urls(spark):
     assert one(spark, X.url_pattern(F.col("p")), p="/a/123/x45/deadbeef99") == "/a/num/xn/IDn"
 
 
+def test_url_join(spark):
+    from urllib.parse import urljoin
+
+    from quern.functions import urls as U
+
+    refs = ["", "x", "/x/y", "x/../y", "../x", "../../x", "./", "..", "/a/./b/../c", "//h.org/p", "https://h.org/q", "mailto:a@b.c", "?q=1", "#f", "x?y=1#z", "/x?u=../v"]
+    rows = [(b, r) for b in ("https://a.org", "https://a.org/", "http://a.org/b/c/d?k=1#f", "http://a.org/b/c/") for r in refs]
+    got = spark.createDataFrame(rows, "b string, r string").select("b", "r", U.url_join(F.col("b"), F.col("r")).alias("x")).collect()
+    # The reference library leaves a bare host without its slash where only dots follow.
+    assert [(b, r, x.rstrip("/")) for b, r, x in got] == [(b, r, urljoin(b, r).rstrip("/")) for b, r in rows]
+
+
 def test_names(spark):
     assert one(spark, X.normalize_with(F.col("n"), X.NAME_RULES), n="St. Mary") == one(spark, X.normalize_with(F.col("n"), X.NAME_RULES), n="Saint Mary") == "saint mary"
 
