@@ -65,16 +65,17 @@ def _records() -> np.ndarray:
 
 _RECORDS = _records()
 #: The bits of each walk; the first walk's are those of the fingerprint column.
-_MOVES = [_MOVE, *(np.random.Generator(np.random.PCG64(99 + k)).integers(0, 2, (PERIOD, 256), dtype=np.uint8) for k in range(1, WALKS))]
+_MOVES = np.stack([_MOVE, *(np.random.Generator(np.random.PCG64(99 + k)).integers(0, 2, (PERIOD, 256), dtype=np.uint8) for k in range(1, WALKS))])
 
 
-def fingerprints(texts: list[np.ndarray], moves: list[np.ndarray] | None = None) -> np.ndarray:
+def fingerprints(texts: list[np.ndarray], move: np.ndarray = _MOVE) -> np.ndarray:
     """uint8 slots of each text, given as code points, a walk's beside the next's; 0 only where a text has no character.
 
-    All walks of all texts take each step together: a step costs little more for
+    `move` holds the bits of one walk, or of several in its first dimension.  All
+    walks of all texts take each step together: a step costs little more for
     several walks than for one where few long texts are left.
     """
-    moves = moves or [_MOVE]
+    moves = move.reshape(-1, PERIOD, 256)
     walks = len(moves)
     out = np.zeros((len(texts), walks * SLOTS), np.uint8)
     lens = np.array([len(t) for t in texts], np.int64)
@@ -99,7 +100,7 @@ def fingerprints(texts: list[np.ndarray], moves: list[np.ndarray] | None = None)
     at = np.repeat(base, walks)
     end = np.repeat(base + size - 1, walks)
     row_of_walk = np.tile(np.arange(walks, dtype=np.uint16) * np.uint16(256), len(order))
-    table = np.ascontiguousarray(np.stack(moves, 1).reshape(PERIOD, walks * 256).astype(np.int64))
+    table = np.ascontiguousarray(moves.transpose(1, 0, 2).reshape(PERIOD, walks * 256).astype(np.int64))
     log = np.empty((_STEPS, walks * len(order)), np.int64)
     here, by = np.empty(len(at), np.uint16), np.empty(len(at), np.int64)
     first = 0
