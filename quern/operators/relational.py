@@ -32,11 +32,6 @@ def without_rows(df: DataFrame, other: DataFrame, left: str, right: str) -> Data
     return df.join(other, df[left] == other[right], "left_anti")
 
 
-def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int = 1) -> DataFrame:
-    """The first n rows of each key in an order that must end in a unique column."""
-    return df.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_rn") <= n).drop("_rn")
-
-
 def latest_by(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """The row with the largest order columns of each key, by an aggregation that combines before the shuffle."""
     rest = [c for c in df.columns if c not in keys]
@@ -75,10 +70,6 @@ def compare(left: DataFrame, right: DataFrame, key: str, value: str) -> DataFram
     return both.select(F.coalesce(key, "_k").alias(key), "left_value", "right_value", kind.alias("outcome"))
 
 
-def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, name: str) -> DataFrame:
-    return df.withColumn(name, F.sum(value).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
-
-
 def daily_cumulative(df: DataFrame, stamp: Column) -> DataFrame:
     """(day, n, total): counts of each day from first to last, days without rows included.
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from quern.operators.components import components
-from quern.sources.shared import stored
+from quern.sources.shared import parts_for, stored
 
 
 @F.pandas_udf(DoubleType())
@@ -67,7 +67,7 @@ def linked_duplicates(df: DataFrame, key: str, keys: Column, name: str, address:
     shared = keyed.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key", F.ceil(F.col("m") / BLOCK_ROWS).cast("int").alias("blocks"))
     met = keyed.join(shared, "key").withColumn("own", F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int")).withColumn("mate", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     members = met.select("k", "key", F.least("own", "mate").alias("lo"), F.greatest("own", "mate").alias("hi"), "own").join(lines.select("k", "n", "a", "c"), "k")
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = parts_for(members)
     dealt = members.select("key", "lo", "hi", "own", "k", "n", "a", "c").repartition(parts, "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "k")
 
     def links(group: list[tuple], apart: bool) -> list[tuple]:
@@ -112,7 +112,7 @@ def breaker_fold(calls: DataFrame, failures: int = 3, successes: int = 2, timeou
     and folded as a stream, a batch at a time.
     """
     calls = calls.select("name", "at", "call_id", "ok")
-    parts = int(calls.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = parts_for(calls)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, state, bad, good, opened = None, "CLOSED", 0, 0, 0

@@ -13,6 +13,11 @@ NAME_TERMS = ("ment", "tion", "heit", "the")
 UI_TERMS = ("|", "###", "%%%")
 # Weights of page complexity indicators.
 COMPLEXITY = (("js", 2.0), ("images", 1.3), ("iframes", 1.5))
+# strategies' first and longest seconds and their factor a retry.
+STRATEGIES = {"lightning": (5.0, 15.0, 1.2), "fast": (10.0, 25.0, 1.3), "moderate": (20.0, 45.0, 1.4), "complex": (35.0, 75.0, 1.6), "patient": (60.0, 120.0, 1.8)}
+# What makes pages worth keeping for longer or shorter.
+KEPT_TERMS, MOVING_TERMS = ("schedule", "times", "mass", "confession", "adoration"), ("javascript", "ajax", "dynamic")
+RELIABLE_HOSTS, MOVING_HOSTS = ("archatl.com", "wordpress.com", "squarespace.com"), ("wix.com", "weebly.com")
 
 
 def _first_lines(spark: SparkSession, d: str) -> DataFrame:
@@ -62,8 +67,8 @@ def extraction_statistics(spark: SparkSession, d: str) -> DataFrame:
 
 def best_page_per_type(spark: SparkSession, d: str) -> DataFrame:
     """The best fact of each child and type, the first of equals, from a score of 7."""
-    w = Window.partitionBy("child_id", "fact_type").orderBy(F.col("score").desc(), "fact_id")
-    return facts(spark, d).where("score >= 7").withColumn("rn", F.row_number().over(w)).where("rn = 1").select("child_id", "fact_type", "fact_id", "score")
+    best = facts(spark, d).where("score >= 7").groupBy("child_id", "fact_type").agg(F.max(F.struct("score", (-F.col("fact_id")).alias("before"))).alias("b"))
+    return best.select("child_id", "fact_type", (-F.col("b.before")).alias("fact_id"), "b.score")
 
 
 def weighted_complexity(spark: SparkSession, d: str) -> DataFrame:
@@ -76,18 +81,28 @@ def weighted_complexity(spark: SparkSession, d: str) -> DataFrame:
 
 
 def adaptive_timeout(spark: SparkSession, d: str) -> DataFrame:
-    """A base by strategy, blended with history by how much there is, 3 to 60."""
-    g = visits(spark, d).groupBy("worker").agg(F.count("seconds").alias("n"), F.avg(F.col("seconds").cast("decimal(18,6)")).cast("double").alias("m"), F.avg(F.col("ok").cast("double")).alias("r"))
-    base = F.when((F.col("m") < 40) & (F.col("r") > 0.9), 10.0).when((F.col("m") > 60) | (F.col("r") < 0.6), 45.0).otherwise(30.0)
-    weight = F.least(F.col("n") / 20.0, F.lit(0.7))
-    return g.select("worker", base.alias("base"), (F.floor(X.clamp(base * (1 - weight) + F.col("m") * 1.5 * weight, 3.0, 60.0) * 100 + 0.5) / 100).alias("timeout"))
+    """A base by strategy, blended with the 95th percentile of the last 100 visits, then moved by retries, trend and success."""
+    rn = F.row_number().over(Window.partitionBy("worker").orderBy(F.col("ts").desc(), F.col("event_id").desc()))
+    v = visits(spark, d).withColumn("rn", rn).where("rn <= 100")
+    g = v.groupBy("worker").agg(F.sort_array(F.collect_list("seconds")).alias("s"), F.sort_array(F.collect_list(F.when(F.col("seconds").isNotNull(), F.struct("rn", "seconds")))).alias("l"), F.avg(F.col("seconds").cast("decimal(18,6)")).cast("double").alias("m"), F.avg(F.col("ok").cast("double")).alias("r"))
+    latest = F.slice("l.seconds", 1, 5)
+    g = g.select("worker", F.size("s").alias("n"), X.exclusive_p95(F.col("s")).alias("p95"), (F.aggregate(latest, F.lit(0.0), lambda a, x: a + x) / 5).alias("recent"), "m", "r")
+    m, r, n = F.col("m"), F.col("r"), F.col("n")
+    strategy = F.when(n == 0, "moderate").when((m < 3) & (r > 0.9), "lightning").when(m < 8, "fast").when((m > 25) | (r < 0.6), "patient").when(m > 15, "complex").otherwise("moderate")
+    g = g.withColumn("strategy", strategy)
+    at = lambda i: F.coalesce(*[F.when(F.col("strategy") == name, row[i]) for name, row in STRATEGIES.items()])
+    weight = F.least(n / 20.0, F.lit(0.7))
+    t = F.when(n == 0, at(0)).otherwise(at(0) * (1 - weight) + F.col("p95") * 1.5 * weight) * F.pow(at(2), F.col("worker") % 3)
+    t = t * F.when((n >= 5) & (F.col("recent") > m * 1.5), 1.3).when((n >= 5) & (F.col("recent") < m * 0.7), 0.9).otherwise(1.0) * F.when(r < 0.5, 1.4).when(r > 0.95, 0.9).otherwise(1.0)
+    return g.select("worker", "strategy", F.round(F.greatest(F.lit(3.0), F.least(t, at(1))), 2).alias("timeout"))
 
 
 def cache_ttl(spark: SparkSession, d: str) -> DataFrame:
-    """A base by kind of content times multipliers."""
-    base = F.when(F.col("url").contains("blog"), 3600.0).when(F.col("url").contains("/en/"), 7200.0).otherwise(1800.0)
-    ttl = base * F.when(F.length("html") > 5000, 1.5).otherwise(1.0) * F.when(F.col("page_id") % 4 == 0, 2.0).otherwise(1.0)
-    return table(spark, d, "pages").select("page_id", ttl.alias("ttl"))
+    """Seconds to keep a page: half an hour by what it says and whose it is."""
+    h, u, host = F.lower("html"), F.col("url"), X.url_host(F.col("url"))
+    content = F.when(h.contains("last-modified") | u.contains("static"), 3.0).when(X.any_of(h, MOVING_TERMS), 0.5).when(X.any_of(h, KEPT_TERMS), 2.0).otherwise(1.0)
+    site = F.when(X.any_of(host, RELIABLE_HOSTS), 1.3).when(X.any_of(host, MOVING_HOSTS), 0.7).otherwise(1.0)
+    return table(spark, d, "pages").select("page_id", F.round(1800.0 * content * site, 4).alias("ttl"))
 
 
 def cache_statistics(spark: SparkSession, d: str) -> DataFrame:
@@ -217,10 +232,15 @@ SELECT page_id, CASE WHEN regexp_matches(lower(src), 'map|/en') THEN 'mapping' W
     "weighted_complexity": f"""WITH h AS (SELECT page_id, lower(html) AS h FROM pages), c AS (SELECT page_id, {_occ('h', '<script')} AS a, {_occ('h', '<img')} AS b, {_occ('h', '<iframe')} AS c FROM h),
 w AS (SELECT *, a * 2.0 + b * 1.3 + c * 1.5 AS v FROM c)
 SELECT page_id, round(coalesce(CAST(v AS DOUBLE) / 4.8::DOUBLE, 1.0), 6) AS complexity FROM w""",
-    "adaptive_timeout": f"""WITH {VISITS_SQL}, g AS (SELECT worker, count(seconds) AS n, CAST(sum(CAST(seconds AS DECIMAL(18,6))) AS DOUBLE) / count(seconds) AS m, avg(CASE WHEN ok THEN 1.0 ELSE 0.0 END) AS r FROM visits GROUP BY worker),
-b AS (SELECT *, CAST(CASE WHEN m < 40 AND r > 0.9 THEN 10.0 WHEN m > 60 OR r < 0.6 THEN 45.0 ELSE 30.0 END AS DOUBLE) AS base, least(n / 20.0, 0.7::DOUBLE) AS w FROM g)
-SELECT worker, base, floor(greatest(least(base * (1 - w) + m * 1.5 * w, 60.0), 3.0) * 100 + 0.5) / 100 AS timeout FROM b""",
-    "cache_ttl": "SELECT page_id, CAST(CASE WHEN contains(url, 'blog') THEN 3600.0 WHEN contains(url, '/en/') THEN 7200.0 ELSE 1800.0 END * CASE WHEN length(html) > 5000 THEN 1.5 ELSE 1.0 END * CASE WHEN page_id % 4 = 0 THEN 2.0 ELSE 1.0 END AS DOUBLE) AS ttl FROM pages",
+    "adaptive_timeout": f"""WITH {VISITS_SQL}, k AS (SELECT *, row_number() OVER (PARTITION BY worker ORDER BY ts DESC, event_id DESC) AS rn FROM visits),
+g AS (SELECT worker, count(seconds) AS n, coalesce(list_sort(list(seconds) FILTER (seconds IS NOT NULL)), []) AS s, CAST(sum(CAST(seconds AS DECIMAL(18,6))) AS DOUBLE) / count(seconds) AS m, avg(CASE WHEN ok THEN 1.0 ELSE 0.0 END) AS r FROM k WHERE rn <= 100 GROUP BY worker),
+l AS (SELECT worker, sum(seconds) FILTER (i <= 5) / 5 AS recent FROM (SELECT worker, seconds, row_number() OVER (PARTITION BY worker ORDER BY rn) AS i FROM k WHERE rn <= 100 AND seconds IS NOT NULL) GROUP BY worker),
+j AS (SELECT g.*, recent, greatest(1, least(CAST(floor(19 * (n + 1) / 20) AS INTEGER), n - 1)) AS j, CASE WHEN n = 0 THEN 'moderate' WHEN m < 3 AND r > 0.9 THEN 'lightning' WHEN m < 8 THEN 'fast' WHEN m > 25 OR r < 0.6 THEN 'patient' WHEN m > 15 THEN 'complex' ELSE 'moderate' END AS strategy FROM g LEFT JOIN l USING (worker)),
+p AS (SELECT j.*, CASE WHEN n >= 5 THEN (s[j] * (20 - (19 * (n + 1) - j * 20)) + s[j + 1] * (19 * (n + 1) - j * 20)) / 20 WHEN n > 0 THEN list_sum(s) / n * 1.5::DOUBLE END AS p95, least(n / 20.0, 0.7::DOUBLE) AS w, {", ".join(f"CAST(CASE strategy " + " ".join(f"WHEN '{k}' THEN {v[i]}" for k, v in STRATEGIES.items()) + f" END AS DOUBLE) AS x{i}" for i in range(3))} FROM j)
+SELECT worker, strategy, round(greatest(3.0, least(CASE WHEN n = 0 THEN x0 ELSE x0 * (1 - w) + p95 * 1.5::DOUBLE * w END * pow(x2, worker % 3) * CASE WHEN n >= 5 AND recent > m * 1.5::DOUBLE THEN 1.3 WHEN n >= 5 AND recent < m * 0.7::DOUBLE THEN 0.9 ELSE 1.0 END * CASE WHEN r < 0.5 THEN 1.4 WHEN r > 0.95 THEN 0.9 ELSE 1.0 END, x1)), 2) AS timeout FROM p""",
+    "cache_ttl": f"""WITH p AS (SELECT page_id, url, lower(html) AS h, {_HOST} AS host FROM pages)
+SELECT page_id, round(CAST(1800.0 * CASE WHEN contains(h, 'last-modified') OR contains(url, 'static') THEN 3.0 WHEN {_any('h', MOVING_TERMS)} THEN 0.5 WHEN {_any('h', KEPT_TERMS)} THEN 2.0 ELSE 1.0 END
+* CASE WHEN {_any('host', RELIABLE_HOSTS)} THEN 1.3 WHEN {_any('host', MOVING_HOSTS)} THEN 0.7 ELSE 1.0 END AS DOUBLE), 4) AS ttl FROM p""",
     "cache_statistics": f"WITH {VISITS_SQL} SELECT event_type, count(*) FILTER (event_id % 3 <> 0) AS hits, count(*) FILTER (event_id % 3 = 0) AS misses, round(100.0 * count(*) FILTER (event_id % 3 <> 0) / greatest(count(*), 1), 4) AS hit_rate FROM visits GROUP BY 1",
     "detail_priority": "SELECT c_custkey, greatest(1, 5 - (" + " + ".join(f"CAST(c_custkey % {m} = 0 AS INTEGER)" for m in (2, 3, 5, 7)) + ")) AS priority FROM customer",
     "link_score": f"""WITH a AS (SELECT page_id, regexp_extract_all(html, '<a href="([^"]*)"', 1) AS f FROM pages), p AS (SELECT page_id, unnest(f) AS href, generate_subscripts(f, 1) AS pos FROM a),

@@ -22,6 +22,15 @@ ERROR_CLASSES = (
     ("database_error", ("database.*error", "connection.*pool", "sql.*error", "table.*not.*exist", "constraint.*violation")),
     ("selenium_error", ("webdriver.*exception", "element.*not.*found", "session.*not.*created", "chrome.*not.*found", "browser.*crash")),
 )
+# Terms of severities, sought letter by letter, and classes that are not tried again.
+SEVERITIES = (("critical", ("critical", "fatal", "database.*down")), ("high", ("500", "server.*error", "timeout")), ("medium", ("404", "not.*found", "parsing")))
+NOT_AGAIN = ("http_client_error", "parsing_error")
+# Phrases of pages that block, and what blocks.
+BLOCK_PHRASES = (("attention required", "cloudflare"), ("checking your browser", "cloudflare"), ("access denied", "bot_detection"), ("prove you are human", "captcha"), ("blocked by security policy", "firewall"), ("ddos protection by", "ddos_protection"))
+#: Phrases of the invented pages, after the fixed ones.
+OWN_PHRASES = (("cookie", "consent"), ("track(", "tracking"))
+# Evidence of a status.
+STATUS_EVIDENCE = ((403, "HTTP 403 Forbidden status"), (429, "HTTP 429 Too Many Requests"), (503, "HTTP 503 Service Unavailable"))
 
 
 def content_quality(spark: SparkSession, d: str) -> DataFrame:
@@ -139,10 +148,11 @@ def embedded_links(spark: SparkSession, d: str) -> DataFrame:
 
 
 def robots_rules(spark: SparkSession, d: str) -> DataFrame:
-    """Directive lines of a text per host."""
-    lines = F.split(F.concat(F.lit("User-agent: *\nDisallow: /"), F.col("n_name"), F.lit("\n# note\nSitemap: https://x.org/"), F.col("n_nationkey").cast("string"), F.lit(".xml")), "\n")
-    n = table(spark, d, "nation").select("n_nationkey", F.explode(lines).alias("line")).where(F.lower("line").rlike("^(sitemap|disallow):"))
-    return n.select("n_nationkey", F.lower(F.substring_index("line", ":", 1)).alias("directive"), F.trim(F.expr("substring(line, instr(line, ':') + 1)")).alias("value"))
+    """Directives of each host, once each, from a file of lines for each of its pages."""
+    root = F.regexp_extract("url", "^([a-z]+://[^/?#]*)", 1)
+    lines = F.split(F.concat(F.lit("User-agent: *\nDisallow: "), X.url_path(F.col("url")), F.lit("\n# note\nSitemap: "), root, F.lit("/sitemap.xml")), "\n")
+    p = table(spark, d, "pages").select(X.url_host(F.col("url")).alias("host"), F.explode(lines).alias("line")).where(F.lower("line").rlike("^(sitemap|disallow):"))
+    return p.select("host", F.lower(F.substring_index("line", ":", 1)).alias("directive"), F.trim(F.expr("substring(line, instr(line, ':') + 1)")).alias("value")).distinct()
 
 
 def sitemap_urls(spark: SparkSession, d: str) -> DataFrame:
@@ -156,9 +166,10 @@ def blocking_detect(spark: SparkSession, d: str) -> DataFrame:
     h, k = F.lower("html"), F.col("page_id")
     status = F.when(k % 11 == 0, 403).when(k % 13 == 0, 429).when(k % 17 == 0, 503).otherwise(200)
     by_status = F.when(F.col("status") == 403, "403_forbidden").when(F.col("status") == 429, "rate_limited").when(F.col("status") == 503, "service_unavailable")
-    phrases = (("cookie", "consent"), ("track(", "tracking"), ("access denied", "bot_detection"))
+    phrases = (*BLOCK_PHRASES, *OWN_PHRASES)
     by_body = F.coalesce(*[F.when(h.contains(p), kind) for p, kind in phrases])
-    evidence = F.array_join(F.filter(F.array(F.when(F.col("status") != 200, F.concat(F.lit("HTTP "), F.col("status").cast("string"))), *[F.when(h.contains(p), F.concat(F.lit("phrase "), F.lit(p))) for p, _ in phrases]), lambda e: e.isNotNull()), "; ")
+    said = [F.when(F.col("status") == code, text) for code, text in STATUS_EVIDENCE] + [F.when(h.contains(p), f"Content pattern: {p}") for p, _ in phrases]
+    evidence = F.array_join(F.array_compact(F.array(*said)), "; ")
     p = table(spark, d, "pages").withColumn("status", status)
     kind = F.coalesce(by_status, by_body)
     return p.select("page_id", "status", kind.isNotNull().alias("is_blocked"), kind.alias("kind"), evidence.alias("evidence"))
@@ -173,8 +184,8 @@ def _messages(spark: SparkSession, d: str) -> DataFrame:
 def error_classify(spark: SparkSession, d: str) -> DataFrame:
     m = F.lower("message")
     kind = X.first_class(m, ERROR_CLASSES, "unknown")
-    retry = F.col("kind").isin("network_timeout", "network_connection", "http_server_error")
-    return _messages(spark, d).withColumn("kind", kind).select("event_id", "kind", F.when(F.col("kind") == "database_error", "critical").when(retry, "medium").otherwise("low").alias("severity"), retry.alias("retryable"))
+    severity = F.coalesce(*[F.when(X.any_of(m, terms), label) for label, terms in SEVERITIES], F.lit("low"))
+    return _messages(spark, d).withColumn("kind", kind).select("event_id", "kind", severity.alias("severity"), (~F.col("kind").isin(*NOT_AGAIN)).alias("retryable"))
 
 
 def error_statistics(spark: SparkSession, d: str) -> DataFrame:
@@ -206,12 +217,13 @@ def line_lookahead(spark: SparkSession, d: str) -> DataFrame:
 
 
 def statement_lint(spark: SparkSession, d: str) -> DataFrame:
-    """Statements of SQL scripts and what they do."""
-    k = F.col("n_nationkey").cast("string")
-    script = F.concat(F.lit("-- setup\nCREATE TABLE t"), k, F.lit(" (id int);\nDROP TABLE t"), k, F.lit("; SELECT 1;"))
+    """Statements of SQL scripts, one script an order, and whether they destroy data."""
+    k = F.col("o_orderkey").cast("string")
+    second = F.when(F.col("o_orderstatus") == "F", F.concat(F.lit("DROP TABLE t"), k)).otherwise(F.concat(F.lit("SELECT *\n  FROM t"), k))
+    script = F.concat(F.lit("-- setup; of\nCREATE TABLE t"), k, F.lit(" (id int);\n"), second, F.lit("; UPDATE t SET p = '"), F.col("o_orderpriority"), F.lit("';"))
     bare = F.regexp_replace(script, "--[^\\n]*\\n", "")
-    n = table(spark, d, "nation").select("n_nationkey", F.posexplode(F.split(bare, ";")).alias("pos", "statement")).select("n_nationkey", "pos", X.squeeze(F.col("statement")).alias("statement")).where("statement <> ''")
-    return n.select("*", F.lower("statement").rlike("^(drop|truncate)").alias("destructive"))
+    o = table(spark, d, "orders").select("o_orderkey", F.posexplode(F.split(bare, ";")).alias("pos", "statement")).select("o_orderkey", "pos", X.squeeze(F.col("statement")).alias("statement")).where("statement <> ''")
+    return o.select("*", F.lower("statement").rlike("^(drop|truncate)").alias("destructive"))
 
 
 def training_set(spark: SparkSession, d: str) -> DataFrame:
@@ -267,6 +279,7 @@ def _rewrites(c: str, rules) -> str:
 _CLASS = "CASE " + " ".join(f"WHEN regexp_matches(lower(message), '{'|'.join(p)}') THEN '{k}'" for k, p in ERROR_CLASSES) + " ELSE 'unknown' END"
 _MSG = f"""WITH {VISITS_SQL}, m AS (SELECT event_id, event_type, CASE event_id % 6 WHEN 0 THEN 'Connection to host timed out' WHEN 1 THEN 'Connection refused by peer' WHEN 2 THEN 'HTTP 404: page not found' WHEN 3 THEN 'HTTP 503: Service Unavailable' WHEN 4 THEN 'Json could not decode' ELSE 'Unknown: oops' END AS message FROM visits),
 c AS (SELECT *, {_CLASS} AS kind FROM m)"""
+_SEVERITY = " ".join(f"WHEN {_hits('lower(message)', t)} > 0 THEN '{k}'" for k, t in SEVERITIES)
 _TEXT = "trim(regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '[ \\t-\\r]+', ' ', 'g'))"
 
 SQL = {
@@ -289,19 +302,20 @@ SELECT page_id, round((a * 2.0 + b * 1.3 + c * 1.5 + e * 2.2) / 7.0, 6) AS compl
     "html_text": f"SELECT page_id, length({_TEXT}) AS n_chars, md5({_TEXT}) AS digest FROM pages",
     "embedded_links": """WITH a AS (SELECT page_id, regexp_extract_all(html, '<a href="([^"]*)"', 1) AS f FROM pages), p AS (SELECT page_id, unnest(f) AS href, generate_subscripts(f, 1) - 1 AS pos FROM a)
 SELECT page_id, href, CAST(min(pos) AS INTEGER) AS pos FROM p WHERE NOT starts_with(href, '#') AND NOT regexp_matches(lower(href), '^(javascript|mailto):') AND href <> '' GROUP BY 1, 2""",
-    "robots_rules": "SELECT n_nationkey, 'disallow' AS directive, '/' || n_name AS value FROM nation UNION ALL SELECT n_nationkey, 'sitemap', 'https://x.org/' || n_nationkey || '.xml' FROM nation",
+    "robots_rules": """WITH p AS (SELECT regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) AS root, regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS path FROM pages), h AS (SELECT *, lower(regexp_extract(root, '^[a-z]+://(.*)$', 1)) AS host FROM p)
+SELECT DISTINCT host, 'disallow' AS directive, path AS value FROM h UNION ALL SELECT DISTINCT host, 'sitemap', root || '/sitemap.xml' FROM h""",
     "sitemap_urls": "WITH x AS (SELECT page_id, unnest(regexp_extract_all('<urlset><url><loc>' || url || '</loc></url><url><loc>' || url || '.jpg</loc></url></urlset>', '<loc>([^<]*)</loc>', 1)) AS loc FROM pages) SELECT * FROM x WHERE NOT regexp_matches(loc, '\\.(jpg|png|pdf)$')",
-    "blocking_detect": """WITH p AS (SELECT page_id, CASE WHEN page_id % 11 = 0 THEN 403 WHEN page_id % 13 = 0 THEN 429 WHEN page_id % 17 = 0 THEN 503 ELSE 200 END AS status, lower(html) AS h FROM pages),
-k AS (SELECT *, coalesce(CASE status WHEN 403 THEN '403_forbidden' WHEN 429 THEN 'rate_limited' WHEN 503 THEN 'service_unavailable' END, CASE WHEN contains(h, 'cookie') THEN 'consent' WHEN contains(h, 'track(') THEN 'tracking' WHEN contains(h, 'access denied') THEN 'bot_detection' END) AS kind FROM p)
-SELECT page_id, status, kind IS NOT NULL AS is_blocked, kind, concat_ws('; ', CASE WHEN status <> 200 THEN 'HTTP ' || status END, CASE WHEN contains(h, 'cookie') THEN 'phrase cookie' END, CASE WHEN contains(h, 'track(') THEN 'phrase track(' END, CASE WHEN contains(h, 'access denied') THEN 'phrase access denied' END) AS evidence FROM k""",
-    "error_classify": f"{_MSG} SELECT event_id, kind, CASE WHEN kind = 'database_error' THEN 'critical' WHEN kind IN ('network_timeout', 'network_connection', 'http_server_error') THEN 'medium' ELSE 'low' END AS severity, kind IN ('network_timeout', 'network_connection', 'http_server_error') AS retryable FROM c",
+    "blocking_detect": f"""WITH p AS (SELECT page_id, CASE WHEN page_id % 11 = 0 THEN 403 WHEN page_id % 13 = 0 THEN 429 WHEN page_id % 17 = 0 THEN 503 ELSE 200 END AS status, lower(html) AS h FROM pages),
+k AS (SELECT *, coalesce(CASE status WHEN 403 THEN '403_forbidden' WHEN 429 THEN 'rate_limited' WHEN 503 THEN 'service_unavailable' END, CASE {" ".join(f"WHEN contains(h, '{p}') THEN '{k}'" for p, k in (*BLOCK_PHRASES, *OWN_PHRASES))} END) AS kind FROM p)
+SELECT page_id, status, kind IS NOT NULL AS is_blocked, kind, concat_ws('; ', CASE status {" ".join(f"WHEN {c} THEN '{t}'" for c, t in STATUS_EVIDENCE)} END, {", ".join(f"CASE WHEN contains(h, '{p}') THEN 'Content pattern: {p}' END" for p, _ in (*BLOCK_PHRASES, *OWN_PHRASES))}) AS evidence FROM k""",
+    "error_classify": f"{_MSG} SELECT event_id, kind, CASE {_SEVERITY} ELSE 'low' END AS severity, kind NOT IN ('{NOT_AGAIN[0]}', '{NOT_AGAIN[1]}') AS retryable FROM c",
     "error_statistics": f"{_MSG} SELECT event_type, kind, count(*) AS n, count(*) FILTER (event_id % 3 = 0) AS recovered FROM c GROUP BY 1, 2",
     "error_prefixes": f"{_MSG} SELECT split_part(message, ':', 1) AS prefix, count(*) AS n FROM c GROUP BY 1 ORDER BY n DESC, prefix LIMIT 5",
     "time_mentions": "WITH t AS (SELECT doc_id, regexp_extract_all(text, '[0-9]{1,2}[:.][0-9]{2}') AS f FROM documents) SELECT doc_id, array_to_string(f[1:20], ',') AS times, CAST(len(f) AS INTEGER) AS n FROM t",
     "context_snippet": "WITH t AS (SELECT doc_id, text, instr(lower(text), 'tion') AS at_ FROM documents) SELECT doc_id, substring(text, greatest(at_ - 100, 1), 104 + least(at_ - 1, 100)) AS snippet FROM t WHERE at_ > 0",
     "line_lookahead": "WITH t AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents) SELECT doc_id, CAST(length(array_to_string(l[2:4], ' ')) AS INTEGER) AS n_chars, CAST(len(l) AS INTEGER) AS n_lines FROM t WHERE len(l) > 1",
-    "statement_lint": """SELECT n_nationkey, pos, statement, destructive FROM (SELECT n_nationkey, 0 AS pos, 'CREATE TABLE t' || n_nationkey || ' (id int)' AS statement, false AS destructive FROM nation
-UNION ALL SELECT n_nationkey, 1, 'DROP TABLE t' || n_nationkey, true FROM nation UNION ALL SELECT n_nationkey, 2, 'SELECT 1', false FROM nation)""",
+    "statement_lint": """SELECT o_orderkey, 0 AS pos, 'CREATE TABLE t' || o_orderkey || ' (id int)' AS statement, false AS destructive FROM orders
+UNION ALL SELECT o_orderkey, 1, CASE WHEN o_orderstatus = 'F' THEN 'DROP TABLE t' ELSE 'SELECT * FROM t' END || o_orderkey, o_orderstatus = 'F' FROM orders UNION ALL SELECT o_orderkey, 2, 'UPDATE t SET p = ' || chr(39) || o_orderpriority || chr(39), false FROM orders""",
     "training_set": """SELECT doc_id, label, weight FROM (SELECT doc_id, CASE WHEN quality = 1 THEN 1 WHEN quality = 0 THEN 0 WHEN n_chars < 300 THEN 0 END AS label,
 CAST(CASE WHEN toxic = 1 THEN 0.8 WHEN quality IS NOT NULL THEN 1.0 ELSE 0.5 END AS DOUBLE) AS weight FROM documents LEFT JOIN labels USING (doc_id)) WHERE label IS NOT NULL""",
     "precision_recall": """WITH j AS (SELECT n_chars > 500 AS p, quality = 1 AS y FROM documents JOIN labels USING (doc_id)),

@@ -130,3 +130,64 @@ def test_duplicates_of_other_rows_than_the_first(spark):
             assert got == {(2, 1), (4, 3)}
     finally:
         models.table = real
+
+
+def test_relevant_prefix(spark):
+    from quern.plans.contents import relevant_prefix
+
+    def cut(text, most=20):
+        return one(spark, relevant_prefix(F.col("t"), most), t=text)
+
+    assert cut(" short one ") == "short one"
+    assert cut("aa bb cc dd ee mass ff gg hh") == "aa bb cc dd ee mass"
+    # Words go on past 70 % only while each has a term.
+    assert cut("aa bb cc dd ee ff mass mass mass") == "aa bb cc dd ee"
+    assert cut("mass " * 9) == "mass mass mass mass"
+    assert cut("x" * 30 + " mass") == "x" * 20 + "..."
+    null = spark.createDataFrame([(None,)], "t string").select(relevant_prefix(F.col("t"), 5).alias("x"))
+    assert null.first()["x"] is None
+
+
+def _over(spark, query, rows, schema):
+    from quern.plans import contents
+
+    df = spark.createDataFrame(rows, schema)
+    real, contents.table = contents.table, lambda *_: df
+    try:
+        return query(spark, "").collect()
+    finally:
+        contents.table = real
+
+
+def test_name_split(spark):
+    from quern.plans.contents import name_split
+
+    line = "St. Mary Parish 12 Elm Road Springfield St. John the Baptist 4 Oak Lane Rivertown St. Anne Chapel, Hill Road, Lakeview"
+    got = _over(spark, name_split, [(1, f"short\n{line}"), (2, ""), (3, None), (4, "x" * 200)], "doc_id long, text string")
+    assert [(r["doc_id"], r["row"], r["pos"], r["name"][:8]) for r in sorted(got, key=lambda r: r["pos"])] == [(1, 1, 0, "St. Mary"), (1, 1, 1, "St. John"), (1, 1, 2, "St. Anne")]
+
+
+def test_element_rows(spark):
+    from quern.plans.contents import element_rows
+
+    html = '<ul><li>Saint Mary\nopen daily\n12 Elm Street</li><li data-name="Holy Ghost" data-address="4 Oak Ave">x</li><li>Zoom in</li><li>short</li><li><h3>A long enough heading</h3>b</li></ul>'
+    got = _over(spark, element_rows, [(1, html), (2, ""), (3, None)], "page_id long, html string")
+    assert sorted((r["pos"], r["name"], r["address"]) for r in got) == [(0, "Saint Mary", "12 Elm Street"), (1, "Holy Ghost", "4 Oak Ave"), (4, "A long enough heading", None)]
+
+
+def test_page_analysis(spark):
+    from quern.plans.contents import page_analysis
+
+    got = {r["page_id"]: r for r in _over(spark, page_analysis, [(1, '<iframe src="a"></iframe> parish-finder ajax leaflet'), (2, ""), (3, '<a href="list.pdf">x</a>')], "page_id long, html string")}
+    assert got[1]["complexity"] == "high" and got[1]["skipped"] == "PDFDirectoryExtractor"
+    assert got[1]["sequence"].startswith("IframeExtractor:12,ParishFinderExtractor:18,ImprovedInteractiveMapExtractor:22")
+    assert got[2]["skipped"] == "ImprovedInteractiveMapExtractor,PDFDirectoryExtractor,IframeExtractor"
+    assert got[3]["suitable"].startswith("PDFDirectoryExtractor,") and "PDFDirectoryExtractor:3" in got[3]["sequence"]
+
+
+def test_time_snippet(spark):
+    from quern.plans.contents import time_snippet
+
+    page = "<p>Adoration here</p><p>Twelve, 12 Hours per Week</p>"
+    got = {r["page_id"]: r["snippet"] for r in _over(spark, lambda s, d: time_snippet(s, d, "adoration"), [(1, page), (2, "<p>none</p>"), (3, None)], "page_id long, html string")}
+    assert got == {1: "12 hours per week", 2: X.NOT_FOUND, 3: X.NOT_FOUND}
