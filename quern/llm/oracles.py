@@ -117,10 +117,62 @@ SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles,
 FROM documents d LEFT JOIN n USING (doc_id)
 """
 
+OP12 = OP7.replace("w[i : i + 2]", "w[i : i + 1]").replace("greatest(len(w) - 1, 2)", "greatest(len(w), 2)").replace(">= 90 *", ">= 80 *")
+OP12 = f"SELECT *, doc_id = component_id AS kept FROM ({OP12})"
+
+#: crc32 bit by bit, as there is no such function.
+OP13 = r"""
+WITH RECURSIVE f AS (
+  SELECT doc_id, source,
+         coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') AS head,
+         text, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low,
+         xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), [CAST(ord(c) AS BIGINT) FOR c IN string_split(CAST(doc_id AS VARCHAR), '')]),
+           lambda x, y: list_reduce(list_prepend(xor(x, y), CAST(range(8) AS BIGINT[])), lambda p, q: CASE WHEN p & 1 = 1 THEN xor(p >> 1, CAST(3988292384 AS BIGINT)) ELSE p >> 1 END)), CAST(4294967295 AS BIGINT)) % 5 = 0 AS bad
+  FROM documents
+), d AS (
+  SELECT doc_id, source, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+         sha256(head || coalesce(strlen(CASE WHEN bad THEN low ELSE text END) || ':' || CASE WHEN bad THEN low ELSE text END, '-')) AS tried,
+         row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS i, count(*) OVER (PARTITION BY source) AS n
+  FROM f
+), t AS (
+  SELECT source, 0 AS l, i, n, leaf AS h FROM d
+  UNION ALL
+  SELECT source, l + 1, i // 16, max(n + 15) // 16, sha256(string_agg(h, '' ORDER BY i)) FROM t WHERE n > 1 GROUP BY source, l, i // 16
+), s AS (
+  SELECT source, h, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS i, count(*) OVER () AS n FROM t WHERE n = 1
+), u AS (
+  SELECT 0 AS l, i, n, h FROM s
+  UNION ALL
+  SELECT l + 1, i // 16, max(n + 15) // 16, sha256(string_agg(h, '' ORDER BY i)) FROM u WHERE n > 1 GROUP BY l, i // 16
+), runs AS (
+  SELECT coalesce('of ' || source, '') AS tree, l, i // 16 AS r, list(h ORDER BY i) AS hs FROM t WHERE n > 1 GROUP BY source, l, i // 16
+  UNION ALL
+  SELECT 'all', l, i // 16, list(h ORDER BY i) FROM u WHERE n > 1 GROUP BY l, i // 16
+), height AS (
+  SELECT source, max(l) AS top FROM t GROUP BY source
+), path AS (
+  SELECT d.doc_id, 0 AS k, coalesce('of ' || d.source, '') AS tree, CASE WHEN h.top = 0 THEN s.i ELSE d.i END AS i, '' AS proof, d.tried AS acc, h.top, s.i AS si
+  FROM d JOIN height h ON d.source IS NOT DISTINCT FROM h.source JOIN s ON d.source IS NOT DISTINCT FROM s.source
+  UNION ALL
+  SELECT p.doc_id, p.k + 1, p.tree, CASE WHEN p.k + 1 = p.top THEN p.si ELSE p.i // 16 END,
+         p.proof || array_to_string(x.hs[: p.i % 16], '') || array_to_string(x.hs[p.i % 16 + 2 :], ''),
+         sha256(array_to_string(x.hs[: p.i % 16], '') || p.acc || array_to_string(x.hs[p.i % 16 + 2 :], '')), p.top, p.si
+  FROM path p JOIN runs x ON x.tree = CASE WHEN p.k < p.top THEN p.tree ELSE 'all' END AND x.l = CASE WHEN p.k < p.top THEN p.k ELSE p.k - p.top END AND x.r = p.i // 16
+), last AS (
+  SELECT doc_id, arg_max(proof, k) AS proof, arg_max(acc, k) AS acc FROM path GROUP BY doc_id
+), root AS (
+  SELECT h AS root FROM u WHERE n = 1
+)
+SELECT d.doc_id, d.leaf, s.h AS subroot, root.root, sha256(last.proof) AS proof_sha256, last.acc AS folded_root, last.acc = root.root AS verified
+FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source JOIN last USING (doc_id), root
+"""
+
 ORACLES = {
     "op1_warc": OP1,
     "op4_line_rules": OP4,
     "op5_chat": OP5,
     "op7_parity_join": OP7,
     "op9_substring": OP9,
+    "op12_minhash": OP12,
+    "op13_merkle": OP13,
 }

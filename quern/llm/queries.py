@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import bpe, chat, edit_embedding, line_rules, packing, parity_join, quality_vote, substring, toxicity, warc
+from quern.llm import alignment, bpe, chat, edit_embedding, line_rules, merkle, minhash, packing, parity_join, quality_vote, substring, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,4 +65,18 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_edit_embedding, op3_quality_vote, op4_line_rules, op5_chat, op6_toxicity, op7_parity_join, op8_packing, op9_substring, op10_bpe)}
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers as p
+
+    return alignment.figures(_table(spark, sf_dir, "documents"), p.path("byte_bpe_50k.json"), p.path("piece_bpe_32k.model"))
+
+
+def op12_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_components(_table(spark, sf_dir, "documents"), minhash.NearRule(ngram=2, percent=80))
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_warc, op2_edit_embedding, op3_quality_vote, op4_line_rules, op5_chat, op6_toxicity, op7_parity_join, op8_packing, op9_substring, op10_bpe, op11_alignment, op12_minhash, op13_merkle)}
