@@ -1,106 +1,13 @@
-"""Ordered folds and fuzzy matching: what needs Python, in Arrow batches."""
+"""Ordered folds: what needs Python, in Arrow batches."""
 
 from __future__ import annotations
 
-import difflib
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql import DataFrame
 
-from quern.operators.components import components
-from quern.sources.shared import parts_for, stored
-
-
-@F.pandas_udf(DoubleType())
-def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-    """2M/T of the matching blocks of two texts; equal 1, empty 0."""
-    return pd.Series([0.0 if not x or not y else 1.0 if x == y else difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a.fillna(""), b.fillna(""), strict=True)], dtype="float64")
-
-
-def is_duplicate(name: Column, address: Column, phone_or_site: Column) -> Column:
-    """Names at 0.85; phone or site and names at 0.7; addresses at 0.9 and names at 0.6."""
-    return (name >= 0.85) | (phone_or_site & (name >= 0.70)) | ((address >= 0.90) & (name >= 0.60))
-
-
-BLOCK_ROWS = 256
-
-
-def _duplicates(seed: tuple, others: list[tuple]) -> Iterator[int]:
-    """Places in others of the rows (k, n, a, c) that duplicate the seed; later rows are the first sequence."""
-    names = difflib.SequenceMatcher(None, "", seed[1])
-    addresses = difflib.SequenceMatcher(None, "", seed[2] or "")
-    for i, (_, name, address, contact) in enumerate(others):
-        if name == seed[1]:
-            yield i
-            continue
-        names.set_seq1(name)
-        least = 0.70 if contact and contact == seed[3] else 0.85
-        most = names.real_quick_ratio()
-        if most < 0.60 or (most := names.quick_ratio()) < 0.60:
-            continue
-        if most >= least and names.ratio() >= least:
-            yield i
-        elif address and seed[2]:
-            addresses.set_seq1(address)
-            if address == seed[2] or (addresses.real_quick_ratio() >= 0.90 and addresses.quick_ratio() >= 0.90 and addresses.ratio() >= 0.90):
-                if names.ratio() >= 0.60:
-                    yield i
-
-
-def linked_duplicates(df: DataFrame, key: str, keys: Column, name: str, address: str, contact: str) -> DataFrame:
-    """(key, seed): rows and the first row of the duplicates that they are linked to.
-
-    Rows that share one of `keys` (an array) are compared, all distinct ones of
-    a key with each other, in pairs of blocks of about BLOCK_ROWS; a pair is
-    left uncompared only where both are connected already.
-    """
-    named = df.where((F.col(name) != "") & F.col(key).isNotNull()).select(F.col(key).alias("k"), F.col(name).alias("n"), F.coalesce(address, F.lit("")).alias("a"), F.coalesce(contact, F.lit("")).alias("c"), keys.alias("keys"))
-    rows = stored(named, "lines")
-    same = F.xxhash64("n", "a", "c")
-    lead = stored(rows.groupBy(same.alias("same")).agg(F.min("k").alias("k")), "leads")
-    lines = rows.join(lead.select("k"), "k", "left_semi")
-    keyed = lines.select("k", F.explode(F.array_distinct("keys")).alias("key"))
-    shared = keyed.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key", F.ceil(F.col("m") / BLOCK_ROWS).cast("int").alias("blocks"))
-    met = keyed.join(shared, "key").withColumn("own", F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int")).withColumn("mate", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    members = met.select("k", "key", F.least("own", "mate").alias("lo"), F.greatest("own", "mate").alias("hi"), "own").join(lines.select("k", "n", "a", "c"), "k")
-    parts = parts_for(members)
-    dealt = members.select("key", "lo", "hi", "own", "k", "n", "a", "c").repartition(parts, "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "k")
-
-    def links(group: list[tuple], apart: bool) -> list[tuple]:
-        part, out = list(range(len(group))), []
-        for i, (own, *seed) in enumerate(group):
-            rest = [j for j in range(i + 1, len(group)) if part[j] != part[i] and (not apart or group[j][0] != own)]
-            for at in _duplicates(tuple(seed), [group[j][1:] for j in rest]):
-                j = rest[at]
-                if part[j] != part[i]:
-                    out.append((seed[0], group[j][1]))
-                    part = [part[i] if x == part[j] else x for x in part]
-        return out
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, group = None, []
-
-        def found() -> pa.RecordBatch:
-            got = links(group, now[1] != now[2])
-            return pa.RecordBatch.from_arrays([pa.array([u for u, _ in got], pa.int64()), pa.array([v for _, v in got], pa.int64())], names=["u", "v"])
-
-        for b in batches:
-            for key_, lo, hi, *row in zip(*(x.to_pylist() for x in b.columns), strict=True):
-                if (key_, lo, hi) != now:
-                    if len(group) > 1:
-                        yield found()
-                    now, group = (key_, lo, hi), []
-                group.append(tuple(row))
-        if len(group) > 1:
-            yield found()
-
-    copies = rows.select("k", same.alias("same")).join(lead.withColumnRenamed("k", "lead"), "same").where("k <> lead").select(F.col("k").alias("u"), F.col("lead").alias("v"))
-    found = components(dealt.mapInArrow(run, "u long, v long").unionByName(copies))
-    return found.where("id <> component").select(F.col("id").alias(key), F.col("component").alias("seed"))
+from quern.sources.shared import parts_for
 
 
 def breaker_fold(calls: DataFrame, failures: int = 3, successes: int = 2, timeout_us: int = 3_600_000_000) -> DataFrame:

@@ -23,20 +23,32 @@ def source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(f"{sf_dir}/events.parquet*").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def drained(stream: DataFrame, keys: list[str], name: str) -> DataFrame:
-    """Runs the stream over all that is there, in update mode, and returns each key's last row."""
+#: The state store that `transformWithState` needs; set while a stream starts.
+STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+def drained(stream: DataFrame, keys: list[str], name: str, within: list[str] | None = None, mode: str = "update") -> DataFrame:
+    """Runs the stream over all that is there and returns each key's last row: of its last batch, and there the largest `within`."""
     spark = stream.sparkSession
     out = new_path(spark, name)
 
     def put(batch: DataFrame, number: int) -> None:
         batch.withColumn("_batch", F.lit(number).cast("long")).write.mode("append").parquet(out)
 
-    query = stream.writeStream.outputMode("update").option("checkpointLocation", new_path(spark, f"{name}-log")).trigger(availableNow=True).foreachBatch(put).start()
-    query.awaitTermination()
+    before = spark.conf.get(STORE[0], None)
+    spark.conf.set(*STORE)
+    try:
+        query = stream.writeStream.outputMode(mode).option("checkpointLocation", new_path(spark, f"{name}-log")).trigger(availableNow=True).foreachBatch(put).start()
+        query.awaitTermination()
+    finally:
+        if before is None:
+            spark.conf.unset(STORE[0])
+        else:
+            spark.conf.set(STORE[0], before)
     schema = stream.withColumn("_batch", F.lit(0).cast("long")).schema
     rows = spark.read.schema(schema).parquet(out)
     rest = [c for c in stream.columns if c not in keys]
-    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "_batch").alias("_r"))
+    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct("_batch", *(within or []))).alias("_r"))
     return last.select(*keys, *[F.col("_r")[c].alias(c) for c in rest])
 
 
@@ -78,20 +90,11 @@ def stream_last_n(spark: SparkSession, sf_dir: str, n: int = 5) -> DataFrame:
     return drained(s, ["user_id"], "last-n")
 
 
-def stream_staleness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Users without an event in the day before the latest one are stale."""
-    s = source(spark, sf_dir).groupBy("user_id").agg(F.max("ts").alias("seen"), F.count("*").alias("n"))
-    last = drained(s, ["user_id"], "seen")
-    now = F.broadcast(last.agg(F.max("seen").alias("now")))
-    return last.crossJoin(now).select("user_id", "n", (F.unix_micros("now") - F.unix_micros("seen") > 86400 * 1_000_000).alias("is_stale"))
-
-
-QUERIES = {f.__name__: f for f in (stream_latest, stream_daily, stream_success, stream_last_n, stream_staleness)}
+QUERIES = {f.__name__: f for f in (stream_latest, stream_daily, stream_success, stream_last_n)}
 
 SQL = {
     "stream_latest": "SELECT user_id, count(*) AS n, arg_max(event_type, (ts, event_id)) AS event_type, arg_max(value, (ts, event_id)) AS value FROM events GROUP BY user_id",
     "stream_daily": "SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2",
     "stream_success": "SELECT event_type, count(*) AS attempts, count(*) FILTER (value > 50) AS successes FROM events GROUP BY 1",
     "stream_last_n": "SELECT user_id, string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY ts, event_id) AS events FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn <= 5 GROUP BY user_id",
-    "stream_staleness": "SELECT user_id, count(*) AS n, epoch_us((SELECT max(ts) FROM events)) - epoch_us(max(ts)) > 86400000000 AS is_stale FROM events GROUP BY user_id",
 }

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quern.functions import exprs as X
+from quern.operators import fuzzy
 from quern.operators import relational as R
 from quern.operators import stateful as S
 
@@ -45,9 +46,9 @@ def test_names(spark):
 
 
 def test_similarity(spark):
-    assert one(spark, S.similarity("a", "b"), a="saint mary", b="saint mary") == 1.0
-    assert one(spark, S.similarity("a", "b"), a="our lady of fatima", b="our lady of lourdes") >= 0.4
-    assert one(spark, S.similarity("a", "b"), a="", b="x") == 0.0
+    assert one(spark, fuzzy.similarity("a", "b"), a="saint mary", b="saint mary") == 1.0
+    assert one(spark, fuzzy.similarity("a", "b"), a="our lady of fatima", b="our lady of lourdes") >= 0.4
+    assert one(spark, fuzzy.similarity("a", "b"), a="", b="x") == 0.0
 
 
 def test_has_data(spark):
@@ -124,9 +125,9 @@ def test_duplicates_of_other_rows_than_the_first(spark):
     real, models.table = models.table, lambda *_: df
     try:
         for rows in (256, 1):
-            kept, S.BLOCK_ROWS = S.BLOCK_ROWS, rows
+            kept, fuzzy.BLOCK_ROWS = fuzzy.BLOCK_ROWS, rows
             got = {(r["doc_id"], r["seed"]) for r in models.fuzzy_dedup(spark, "").collect()}
-            S.BLOCK_ROWS = kept
+            fuzzy.BLOCK_ROWS = kept
             assert got == {(2, 1), (4, 3)}
     finally:
         models.table = real
