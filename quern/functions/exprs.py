@@ -202,5 +202,6 @@ def unescape(c: Column) -> Column:
 
 
 def html_text(html: Column) -> Column:
-    """Text of a page: tags become spaces, white space is squeezed."""
-    return squeeze(F.regexp_replace(html, "<[^>]*>", " "))
+    """Text of a page: scripts, styles and tags become spaces, white space is squeezed."""
+    bare = F.regexp_replace(html, "(?is)<(script|style)[^>]*>.*?</(script|style)>", " ")
+    return squeeze(F.regexp_replace(bare, "<[^>]*>", " "))

@@ -80,3 +80,24 @@ def daily_cumulative(df: DataFrame, stamp: Column) -> DataFrame:
     span = days.agg(F.explode(F.sequence(F.min("day"), F.max("day"))).alias("day"))
     full = span.join(days, "day", "left").select("day", F.coalesce("n", F.lit(0)).alias("n"))
     return full.withColumn("total", F.sum("n").over(Window.orderBy("day").rowsBetween(Window.unboundedPreceding, 0)))
+
+
+def smoothed(df: DataFrame, key: str, at: str, tie: str, value: str, alpha: float = 0.1, width: int = 86_400_000_000) -> DataFrame:
+    """(key, n, smoothed): the moving average that gives each new value the weight alpha, in the order of at and tie.
+
+    The first value that is not 0 is taken whole, as is the rule where an average of
+    0 means none yet (values are 0 or more).  A value is a map x -> (1 - alpha) x +
+    alpha v, and such maps combine: rows are folded inside slices of `width` of a
+    key's time, each slice to a factor and a sum, and slices in order to the result,
+    so no key is sorted whole.  Null keys, times and values are left out; keys
+    with zeros only give 0.
+    """
+    rows = df.where(F.col(key).isNotNull() & F.col(at).isNotNull() & F.col(value).isNotNull()).select(F.col(key).alias("k"), F.struct(F.col(at).alias("at"), F.col(tie).alias("tie")).alias("o"), F.floor(F.col(at) / width).alias("slice"), F.col(value).cast("double").alias("v"))
+    first = rows.groupBy("k").agg(F.min(F.when(F.col("v") != 0, F.col("o"))).alias("first"), F.count("*").alias("n"))
+    used = rows.join(first, "k").where(F.col("o") >= F.col("first"))
+    after = F.row_number().over(Window.partitionBy("k", "slice").orderBy(F.col("o").desc())) - 1
+    part = F.col("v") * F.pow(F.lit(1 - alpha), after) * F.when(F.col("o") == F.col("first"), 1.0).otherwise(alpha)
+    folded = used.select("k", "slice", part.alias("part")).groupBy("k", "slice").agg(F.sum("part").alias("sum"), F.count("*").alias("m"))
+    later = F.coalesce(F.sum("m").over(Window.partitionBy("k").orderBy(F.col("slice").desc()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = folded.select("k", (F.col("sum") * F.pow(F.lit(1 - alpha), later)).alias("part")).groupBy("k").agg(F.sum("part").alias("smoothed"))
+    return first.join(sums, "k", "left").select(F.col("k").alias(key), "n", F.coalesce("smoothed", F.lit(0.0)).alias("smoothed"))

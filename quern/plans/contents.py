@@ -52,17 +52,35 @@ def _either(terms: tuple[str, ...]) -> str:
     return "|".join(t.replace(".", "[.]") for t in terms)
 
 
-def page_analysis(spark: SparkSession, d: str) -> DataFrame:
-    """Extractors that suit a page, those to leave out, its complexity, and the order to try with seconds for each."""
-    h = F.col("h")
-    seen = {
+def _seen(h: Column) -> dict[str, Column]:
+    """What tells from a lower-cased page that an extractor suits it."""
+    return {
         "IframeExtractor": h.rlike("<iframe[^>]*>"), "ParishFinderExtractor": X.any_of(h, FINDER_TERMS), "EnhancedDiocesesCardExtractor": X.any_of(h, CARD_TERMS), "TableExtractor": h.rlike("(?s)<table[^>]*>.*parish.*</table>"),
         "PDFDirectoryExtractor": h.rlike("href=[\"'][^\"']*\\.pdf[\"']"), "NavigationExtractor": X.any_of(h, MENU_TERMS), "ImprovedInteractiveMapExtractor": X.any_of(h, MAP_TERMS),
     }
+
+
+def _analysed(pages: DataFrame, html: str, *keys: str) -> DataFrame:
+    """(keys, suits, skips, complexity) of lower-cased pages."""
+    h = F.col(html)
+    seen = _seen(h)
     suits = F.array_compact(F.array(*[F.when(c, n) for n, c in seen.items()], *[F.lit(n) for n in LAST_RESORTS]))
     skips = F.array_compact(F.array(*[F.when(~seen[n], n) for n in ("ImprovedInteractiveMapExtractor", "PDFDirectoryExtractor", "IframeExtractor")]))
     points = F.when(X.any_of(h, SCRIPT_TERMS), 3).otherwise(0) + F.when(X.any_of(h, LOADING_TERMS), 2).otherwise(0) + F.when(seen["ParishFinderExtractor"], 2).otherwise(0) + F.when(seen["IframeExtractor"], 2).otherwise(0) + F.when(F.length(h) > 500000, 1).otherwise(0)
-    p = table(spark, d, "pages").select("page_id", F.lower("html").alias("h")).select("page_id", suits.alias("suits"), skips.alias("skips"), X.band(points, ((5, "high"), (2, "medium")), "low").alias("complexity"))
+    return pages.select(*keys, suits.alias("suits"), skips.alias("skips"), X.band(points, ((5, "high"), (2, "medium")), "low").alias("complexity"))
+
+
+def extractor_order(h: Column) -> Column:
+    """Extractors in the order in which a lower-cased page suggests to try them: those that suit, then the rest but those to leave out."""
+    seen = _seen(h)
+    suits = F.array_compact(F.array(*[F.when(c, n) for n, c in seen.items()], *[F.lit(n) for n in LAST_RESORTS]))
+    rest = F.array_compact(F.array(*[F.lit(n) if n not in ("ImprovedInteractiveMapExtractor", "PDFDirectoryExtractor", "IframeExtractor") else F.when(seen[n], n) for n in EXTRACTORS]))
+    return F.concat(suits, F.array_except(rest, suits))
+
+
+def page_analysis(spark: SparkSession, d: str) -> DataFrame:
+    """Extractors that suit a page, those to leave out, its complexity, and the order to try with seconds for each."""
+    p = _analysed(table(spark, d, "pages").select("page_id", F.lower("html").alias("h")), "h", "page_id")
     rest = F.array_except(F.array_except(F.array(*[F.lit(n) for n in EXTRACTORS]), "suits"), "skips")
     base = F.create_map(*[F.lit(x) for pair in EXTRACTORS.items() for x in pair])
 
@@ -112,10 +130,10 @@ def response_rows(spark: SparkSession, d: str) -> DataFrame:
     return o.select("l_orderkey", F.explode(F.from_json(found, "array<struct<line: int, part: long>>")).alias("x")).select("l_orderkey", "x.line", "x.part")
 
 
-def time_snippet(spark: SparkSession, d: str, keyword: str = OWN_TERMS[0]) -> DataFrame:
+def time_snippets(pages: DataFrame, keyword: str) -> DataFrame:
     """The best of the paragraphs that name a keyword, each with the five after it: longest, words of schedules count for 100; hours a week or month where it says so."""
     texts = F.transform(_all(F.col("html"), PARAGRAPH), lambda x: X.unescape(X.html_text(x)))
-    p = table(spark, d, "pages").select("page_id", texts.alias("t"))
+    p = pages.select("page_id", texts.alias("t"))
     joined = F.transform("t", lambda x, i: F.struct(F.lower(x).contains(keyword).alias("named"), F.trim(F.array_join(F.slice("t", i + 1, 6), "\n")).alias("text"), i.alias("at")))
     rated = F.transform(F.filter(joined, lambda x: x["named"]), lambda x: F.struct((F.length(x["text"]) + F.when(X.any_of(F.lower(x["text"]), HOURS_TERMS), 100).otherwise(0)).alias("score"), (-x["at"]).alias("before"), x["text"].alias("text")))
     best = p.select("page_id", F.array_max(rated)["text"].alias("best"))
@@ -123,6 +141,10 @@ def time_snippet(spark: SparkSession, d: str, keyword: str = OWN_TERMS[0]) -> Da
     return best.select("page_id", F.coalesce(F.when(F.col("best").rlike(HOURS), said), F.col("best"), F.lit(X.NOT_FOUND)).alias("snippet"))
 
 
+def time_snippet(spark: SparkSession, d: str) -> DataFrame:
+    return time_snippets(table(spark, d, "pages"), OWN_TERMS[0])
+
+
 def relevant_prefix(text: Column, most: int, terms: tuple[str, ...] = SCHEDULE_TERMS) -> Column:
     """Texts over so many characters cut to words: all up to 70 % of it, then on while each word has a term, up to it.
 
@@ -193,7 +215,7 @@ def _plain(c: str) -> str:
     return c
 
 
-_SEEN = {
+_SEEN_SQL = {
     "IframeExtractor": "regexp_matches(h, '<iframe[^>]*>')", "ParishFinderExtractor": _any("h", FINDER_TERMS), "EnhancedDiocesesCardExtractor": _any("h", CARD_TERMS), "TableExtractor": "regexp_matches(h, '(?s)<table[^>]*>.*parish.*</table>')",
     "PDFDirectoryExtractor": "regexp_matches(h, 'href=[\"''][^\"'']*\\.pdf[\"'']')", "NavigationExtractor": _any("h", MENU_TERMS), "ImprovedInteractiveMapExtractor": _any("h", MAP_TERMS),
 }
@@ -214,9 +236,9 @@ _MARKS = " + ".join(f"(length(line) - length(replace(line, '{m}', ''))) // {len(
 
 SQL = {
     "page_analysis": f"""WITH p AS (SELECT page_id, lower(html) AS h FROM pages),
-s AS (SELECT page_id, list_filter([{", ".join(f"CASE WHEN {c} THEN '{n}' END" for n, c in _SEEN.items())}, {", ".join(f"'{n}'" for n in LAST_RESORTS)}], lambda x: x IS NOT NULL) AS suits,
-list_filter([{", ".join(f"CASE WHEN NOT {_SEEN[n]} THEN '{n}' END" for n in ("ImprovedInteractiveMapExtractor", "PDFDirectoryExtractor", "IframeExtractor"))}], lambda x: x IS NOT NULL) AS skips,
-CASE WHEN {_any("h", SCRIPT_TERMS)} THEN 3 ELSE 0 END + CASE WHEN {_any("h", LOADING_TERMS)} THEN 2 ELSE 0 END + CASE WHEN {_SEEN["ParishFinderExtractor"]} THEN 2 ELSE 0 END + CASE WHEN {_SEEN["IframeExtractor"]} THEN 2 ELSE 0 END + CASE WHEN length(h) > 500000 THEN 1 ELSE 0 END AS points FROM p),
+s AS (SELECT page_id, list_filter([{", ".join(f"CASE WHEN {c} THEN '{n}' END" for n, c in _SEEN_SQL.items())}, {", ".join(f"'{n}'" for n in LAST_RESORTS)}], lambda x: x IS NOT NULL) AS suits,
+list_filter([{", ".join(f"CASE WHEN NOT {_SEEN_SQL[n]} THEN '{n}' END" for n in ("ImprovedInteractiveMapExtractor", "PDFDirectoryExtractor", "IframeExtractor"))}], lambda x: x IS NOT NULL) AS skips,
+CASE WHEN {_any("h", SCRIPT_TERMS)} THEN 3 ELSE 0 END + CASE WHEN {_any("h", LOADING_TERMS)} THEN 2 ELSE 0 END + CASE WHEN {_SEEN_SQL["ParishFinderExtractor"]} THEN 2 ELSE 0 END + CASE WHEN {_SEEN_SQL["IframeExtractor"]} THEN 2 ELSE 0 END + CASE WHEN length(h) > 500000 THEN 1 ELSE 0 END AS points FROM p),
 c AS (SELECT *, CASE WHEN points >= 5 THEN 'high' WHEN points >= 2 THEN 'medium' ELSE 'low' END AS complexity, list_concat(suits, list_filter([{", ".join(f"'{n}'" for n in EXTRACTORS)}], lambda x: NOT list_contains(suits, x) AND NOT list_contains(skips, x))) AS o FROM s)
 SELECT page_id, array_to_string(suits, ',') AS suitable, array_to_string(skips, ',') AS skipped, complexity,
 array_to_string(list_transform(o, lambda x: x || ':' || CASE complexity WHEN 'high' THEN {_SECONDS} * 3 // 2 WHEN 'low' THEN greatest(3, {_SECONDS} * 7 // 10) ELSE {_SECONDS} END), ',') AS sequence FROM c""",

@@ -19,7 +19,7 @@ LINK_KEYWORDS = ("churches", "directory of parishes", "parishes", "parishfinder"
 LINK_PATHS = ("parishes", "directory", "locations", "churches", "parish-finder", "findachurch", "parishsearch", "parishdirectory", "find-a-church", "church-directory", "parish-listings", "parish-map", "mass-times", "sacraments", "search", "worship", "finder")
 # Terms of links in menus and footers.
 NAV_TERMS = ("schedule", "confession", "reconciliation", "adoration", "sacrament", "mass", "worship", "prayer", "spiritual", "devotion", "penance", "blessed", "eucharistic", "holy", "service", "liturgy", "ministry")
-#: Terms of the invented pages, beside the fixed ones.
+#: Terms of the invented pages, which only the registered queries add to the fixed ones.
 OWN_TERMS = ("tion", "ment", "heit")
 # Rewrites of names for accuracy checks, in their order.
 NAME_REPLACES = (("saint", "st"), ("st.", "st"), (" catholic church", ""), (" catholic parish", ""), (" church", ""), (" parish", ""), (" the ", " "), ("  ", " "), ("'", ""))
@@ -58,22 +58,29 @@ def _links(pages: DataFrame, source: Column) -> DataFrame:
     return pages.select("page_id", "url", F.filter(links, lambda x: x["href"].startswith("http")).alias("links"))
 
 
-def candidate_links(spark: SparkSession, d: str) -> DataFrame:
+def directory_links(pages: DataFrame, keywords: tuple[str, ...] = LINK_KEYWORDS, paths: tuple[str, ...] = LINK_PATHS) -> DataFrame:
     """Links whose text or path names a directory, each target once, with its first place among them."""
-    wanted = lambda x: X.any_of(F.lower(x["text"]), (*LINK_KEYWORDS, *OWN_TERMS)) | X.any_of(F.lower(X.url_path(x["href"])), LINK_PATHS)
-    p = _links(table(spark, d, "pages"), F.col("html")).select("page_id", F.posexplode(F.filter("links", wanted)).alias("pos", "x"))
+    wanted = lambda x: X.any_of(F.lower(x["text"]), keywords) | X.any_of(F.lower(X.url_path(x["href"])), paths)
+    p = _links(pages, F.col("html")).select("page_id", F.posexplode(F.filter("links", wanted)).alias("pos", "x"))
     return p.groupBy("page_id", "x.href").agg(F.min("pos").alias("pos"), F.min_by("x.text", "pos").alias("text"))
 
 
-def nav_links(spark: SparkSession, d: str) -> DataFrame:
+def candidate_links(spark: SparkSession, d: str) -> DataFrame:
+    return directory_links(table(spark, d, "pages"), (*LINK_KEYWORDS, *OWN_TERMS))
+
+
+def menu_links(pages: DataFrame, terms: tuple[str, ...] = NAV_TERMS) -> DataFrame:
     """The first twenty links of menus and footers with a term in their text or target."""
     menus = F.array_join(_found(F.col("html"), MENU), " ")
-    terms = (*NAV_TERMS, *OWN_TERMS)
     wanted = lambda x: X.any_of(F.lower(x["text"]), terms) | X.any_of(F.lower(x["href"]), terms)
-    p = _links(table(spark, d, "pages"), menus).select("page_id", F.filter("links", wanted).alias("links"))
+    p = _links(pages, menus).select("page_id", F.filter("links", wanted).alias("links"))
     return p.select("page_id", F.posexplode(F.slice(F.array_distinct("links.href"), 1, 20)).alias("pos", "href"))
 
 
+def nav_links(spark: SparkSession, d: str) -> DataFrame:
+    return menu_links(table(spark, d, "pages"), (*NAV_TERMS, *OWN_TERMS))
+
+
 def link_frontier(spark: SparkSession, d: str) -> DataFrame:
     """The best thirty targets of each host that are not pages yet, by priority: the next step of a best-first crawl."""
     pages = table(spark, d, "pages")

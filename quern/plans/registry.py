@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 from collections.abc import Callable
 
-MODULES = ("plans.listing", "plans.facts_views", "plans.series", "plans.urls", "plans.text", "plans.rules", "plans.links", "plans.contents", "plans.models", "streaming.events", "streaming.monitor")
+MODULES = ("plans.listing", "plans.facts_views", "plans.series", "plans.urls", "plans.text", "plans.rules", "plans.links", "plans.contents", "plans.models", "plans.pages", "streaming.events", "streaming.monitor")
 
 
 def queries() -> dict[str, Callable]:

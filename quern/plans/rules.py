@@ -5,12 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quern.functions import dom as D
 from quern.functions import exprs as X
+from quern.operators import relational as R
 from quern.plans.base import FACTS_SQL, VISITS_SQL, facts, table, visits
 
 SKIP_TERMS = ("menu", "login", "the and", "de la", "!!")
 NAME_TERMS = ("ment", "tion", "heit", "the")
 UI_TERMS = ("|", "###", "%%%")
+# Services in frames, maps, and words of listings.
+FRAME_SERVICES = ("stripe.com", "paypal.com", "square.com", "donate", "payment", "analytics", "google-analytics", "googletagmanager", "facebook.com", "twitter.com", "youtube.com", "vimeo.com", "recaptcha", "ads", "advertising")
+FRAME_MAPS = ("maptive.com", "google.com/maps", "mapbox.com", "arcgis.com", "leaflet", "openstreetmap")
+FRAME_WORDS = ("parish", "church", "directory", "locator", "finder")
 # Weights of page complexity indicators.
 COMPLEXITY = (("js", 2.0), ("images", 1.3), ("iframes", 1.5))
 # strategies' first and longest seconds and their factor a retry.
@@ -52,12 +58,17 @@ def api_endpoints(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").where((F.length("html") >= 50) & (n >= 3)).select("page_id", n.alias("n_terms"))
 
 
+def embedded_frames(pages: DataFrame) -> DataFrame:
+    """(page_id, pos, src, kind) of the frames that a page embeds: maps and listings; services are left out."""
+    low = F.lower("src")
+    p = D.with_nodes(pages.select("page_id", "html"))
+    sources = F.transform(F.filter("nodes", lambda n: n["tag"] == "iframe"), lambda n: F.coalesce(D.attr(n, "src"), F.lit("")))
+    kind = F.when(X.any_of(low, FRAME_MAPS), "mapping").when(X.any_of(low, FRAME_WORDS), "listing")
+    return p.select("page_id", F.posexplode(sources).alias("pos", "src")).where(~X.any_of(low, FRAME_SERVICES)).withColumn("kind", kind).where("kind is not null")
+
+
 def iframe_sources(spark: SparkSession, d: str) -> DataFrame:
-    """Embedded sources, services left out, the rest named by kind."""
-    src = F.regexp_extract_all("html", F.lit('(?:src|href)="([^"]*)"'), F.lit(1))
-    s = table(spark, d, "pages").select("page_id", F.explode(F.array_distinct(src)).alias("src")).where(~F.lower("src").rlike("analytics|ads|facebook"))
-    kind = F.when(F.lower("src").rlike("map|/en"), "mapping").when(F.lower("src").rlike("^/"), "own").otherwise("other")
-    return s.groupBy("page_id", kind.alias("kind")).agg(F.count("*").alias("n"))
+    return embedded_frames(table(spark, d, "pages"))
 
 
 def extraction_statistics(spark: SparkSession, d: str) -> DataFrame:
@@ -110,6 +121,12 @@ def cache_statistics(spark: SparkSession, d: str) -> DataFrame:
     return v.groupBy("event_type").agg(F.count_if(F.col("event_id") % 3 != 0).alias("hits"), F.count_if(F.col("event_id") % 3 == 0).alias("misses"), F.round(100.0 * F.count_if(F.col("event_id") % 3 != 0) / F.greatest(F.count("*"), F.lit(1)), 4).alias("hit_rate"))
 
 
+def lookup_times(spark: SparkSession, d: str) -> DataFrame:
+    """The moving average of lookup times of each kind, newest last."""
+    v = table(spark, d, "events").select("event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), "event_id", "value")
+    return R.smoothed(v, "event_type", "at", "event_id", "value").withColumn("smoothed", F.round("smoothed", 6))
+
+
 def detail_priority(spark: SparkSession, d: str) -> DataFrame:
     """Five less one for each missing field, one at least."""
     k = F.col("c_custkey")
@@ -200,7 +217,7 @@ def profile_lookup(spark: SparkSession, d: str) -> DataFrame:
     return p.join(known, p["host"] == F.col("_h"), "left").select("page_id", F.when(F.col("_h").isNotNull(), "exact").when(F.col("host").startswith("blog."), "blog").when(F.col("host").startswith("m."), "mobile").otherwise("generic").alias("profile"))
 
 
-QUERIES = {f.__name__: f for f in (skip_term_filter, name_validators, present_fields, api_endpoints, iframe_sources, extraction_statistics, best_page_per_type, weighted_complexity, adaptive_timeout, cache_ttl, cache_statistics, detail_priority, link_score, task_priority, progress, extractor_rules, field_aliases, directory_lines, display_labels, service_lines, relevant_section, strategy_lookup, batch_statistics, profile_lookup)}
+QUERIES = {f.__name__: f for f in (skip_term_filter, name_validators, present_fields, api_endpoints, iframe_sources, extraction_statistics, best_page_per_type, weighted_complexity, adaptive_timeout, cache_ttl, cache_statistics, lookup_times, detail_priority, link_score, task_priority, progress, extractor_rules, field_aliases, directory_lines, display_labels, service_lines, relevant_section, strategy_lookup, batch_statistics, profile_lookup)}
 
 
 def _any(c: str, terms) -> str:
@@ -225,8 +242,9 @@ SQL = {
 SELECT *, by_exclusion AND by_menu AS both FROM v""",
     "present_fields": "SELECT c_custkey, concat_ws(';', 'name=' || c_name, CASE WHEN c_custkey % 3 <> 0 THEN 'city=' || c_mktsegment END, CASE WHEN c_custkey % 2 = 0 THEN 'flag=false' END, 'zero=0') AS fields FROM customer",
     "api_endpoints": f"WITH p AS (SELECT page_id, html, {_hits('lower(html)', ('charset', 'href', 'script', 'footer', 'article', 'table'))} AS n_terms FROM pages) SELECT page_id, n_terms FROM p WHERE length(html) >= 50 AND n_terms >= 3",
-    "iframe_sources": """WITH s AS (SELECT page_id, unnest(list_distinct(regexp_extract_all(html, '(?:src|href)="([^"]*)"', 1))) AS src FROM pages)
-SELECT page_id, CASE WHEN regexp_matches(lower(src), 'map|/en') THEN 'mapping' WHEN starts_with(src, '/') THEN 'own' ELSE 'other' END AS kind, count(*) AS n FROM s WHERE NOT regexp_matches(lower(src), 'analytics|ads|facebook') GROUP BY 1, 2""",
+    "iframe_sources": f"""WITH f AS (SELECT page_id, regexp_extract_all(html, '(?i)<iframe[^>]* src="([^"]*)"', 1) AS f FROM pages), s AS (SELECT page_id, CAST(generate_subscripts(f, 1) - 1 AS INTEGER) AS pos, unnest(f) AS src FROM f),
+k AS (SELECT *, CASE WHEN {_hits('lower(src)', FRAME_MAPS)} > 0 THEN 'mapping' WHEN {_hits('lower(src)', FRAME_WORDS)} > 0 THEN 'listing' END AS kind FROM s WHERE {_hits('lower(src)', FRAME_SERVICES)} = 0)
+SELECT * FROM k WHERE kind IS NOT NULL""",
     "extraction_statistics": f"WITH {FACTS_SQL} SELECT method, count(*) AS attempted, count(*) FILTER ({_DATA}) AS succeeded, count(*) FILTER (NOT ({_DATA})) AS failed, count(*) FILTER (score >= 50) AS confident FROM facts GROUP BY method",
     "best_page_per_type": f"WITH {FACTS_SQL} SELECT child_id, fact_type, arg_max(fact_id, (score, -fact_id)) AS fact_id, max(score) AS score FROM facts WHERE score >= 7 GROUP BY 1, 2",
     "weighted_complexity": f"""WITH h AS (SELECT page_id, lower(html) AS h FROM pages), c AS (SELECT page_id, {_occ('h', '<script')} AS a, {_occ('h', '<img')} AS b, {_occ('h', '<iframe')} AS c FROM h),
@@ -241,6 +259,9 @@ SELECT worker, strategy, round(greatest(3.0, least(CASE WHEN n = 0 THEN x0 ELSE
     "cache_ttl": f"""WITH p AS (SELECT page_id, url, lower(html) AS h, {_HOST} AS host FROM pages)
 SELECT page_id, round(CAST(1800.0 * CASE WHEN contains(h, 'last-modified') OR contains(url, 'static') THEN 3.0 WHEN {_any('h', MOVING_TERMS)} THEN 0.5 WHEN {_any('h', KEPT_TERMS)} THEN 2.0 ELSE 1.0 END
 * CASE WHEN {_any('host', RELIABLE_HOSTS)} THEN 1.3 WHEN {_any('host', MOVING_HOSTS)} THEN 0.7 ELSE 1.0 END AS DOUBLE), 4) AS ttl FROM p""",
+    "lookup_times": """WITH e AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS rn, row_number() OVER (PARTITION BY event_type ORDER BY value = 0, ts, event_id) AS first, ts, event_id FROM events),
+f AS (SELECT event_type, arg_min((ts, event_id), first) AS start FROM e GROUP BY 1)
+SELECT event_type, count(*) AS n, round(sum(CASE WHEN (ts, event_id) < start THEN 0 ELSE value * pow(0.9::DOUBLE, rn - 1) * CASE WHEN (ts, event_id) = start THEN 1 ELSE 0.1::DOUBLE END END), 6) AS smoothed FROM e JOIN f USING (event_type) GROUP BY 1""",
     "cache_statistics": f"WITH {VISITS_SQL} SELECT event_type, count(*) FILTER (event_id % 3 <> 0) AS hits, count(*) FILTER (event_id % 3 = 0) AS misses, round(100.0 * count(*) FILTER (event_id % 3 <> 0) / greatest(count(*), 1), 4) AS hit_rate FROM visits GROUP BY 1",
     "detail_priority": "SELECT c_custkey, greatest(1, 5 - (" + " + ".join(f"CAST(c_custkey % {m} = 0 AS INTEGER)" for m in (2, 3, 5, 7)) + ")) AS priority FROM customer",
     "link_score": f"""WITH a AS (SELECT page_id, regexp_extract_all(html, '<a href="([^"]*)"', 1) AS f FROM pages), p AS (SELECT page_id, unnest(f) AS href, generate_subscripts(f, 1) AS pos FROM a),

@@ -27,8 +27,8 @@ SEVERITIES = (("critical", ("critical", "fatal", "database.*down")), ("high", ("
 NOT_AGAIN = ("http_client_error", "parsing_error")
 # Phrases of pages that block, and what blocks.
 BLOCK_PHRASES = (("attention required", "cloudflare"), ("checking your browser", "cloudflare"), ("access denied", "bot_detection"), ("prove you are human", "captcha"), ("blocked by security policy", "firewall"), ("ddos protection by", "ddos_protection"))
-#: Phrases of the invented pages, after the fixed ones.
-OWN_PHRASES = (("cookie", "consent"), ("track(", "tracking"))
+# How times are written.
+TIME_PATTERNS = (r"\b(?:1[0-2]|[1-9]):(?:[0-5][0-9])\s*(?:AM|PM|am|pm)\b", r"\b(?:1[0-2]|[1-9])\s*(?:AM|PM|am|pm)\b", r"\b(?:Monday|Tuesday|Wednesday|Thursday|Friday|Saturday|Sunday)\b")
 # Evidence of a status.
 STATUS_EVIDENCE = ((403, "HTTP 403 Forbidden status"), (429, "HTTP 429 Too Many Requests"), (503, "HTTP 503 Service Unavailable"))
 
@@ -166,9 +166,8 @@ def blocking_detect(spark: SparkSession, d: str) -> DataFrame:
     h, k = F.lower("html"), F.col("page_id")
     status = F.when(k % 11 == 0, 403).when(k % 13 == 0, 429).when(k % 17 == 0, 503).otherwise(200)
     by_status = F.when(F.col("status") == 403, "403_forbidden").when(F.col("status") == 429, "rate_limited").when(F.col("status") == 503, "service_unavailable")
-    phrases = (*BLOCK_PHRASES, *OWN_PHRASES)
-    by_body = F.coalesce(*[F.when(h.contains(p), kind) for p, kind in phrases])
-    said = [F.when(F.col("status") == code, text) for code, text in STATUS_EVIDENCE] + [F.when(h.contains(p), f"Content pattern: {p}") for p, _ in phrases]
+    by_body = F.coalesce(*[F.when(h.contains(p), kind) for p, kind in BLOCK_PHRASES])
+    said = [F.when(F.col("status") == code, text) for code, text in STATUS_EVIDENCE] + [F.when(h.contains(p), f"Content pattern: {p}") for p, _ in BLOCK_PHRASES]
     evidence = F.array_join(F.array_compact(F.array(*said)), "; ")
     p = table(spark, d, "pages").withColumn("status", status)
     kind = F.coalesce(by_status, by_body)
@@ -199,8 +198,8 @@ def error_prefixes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def time_mentions(spark: SparkSession, d: str) -> DataFrame:
-    """Numbers that read like times, the first twenty and how many there are."""
-    found = F.regexp_extract_all("text", F.lit("[0-9]{1,2}[:.][0-9]{2}"), F.lit(0))
+    """Times of day, hours of the day and weekdays, by each pattern in turn: the first twenty and how many there are."""
+    found = F.concat(*[F.regexp_extract_all("text", F.lit(p), F.lit(0)) for p in TIME_PATTERNS])
     return table(spark, d, "documents").select("doc_id", F.array_join(F.slice(found, 1, 20), ",").alias("times"), F.size(found).alias("n"))
 
 
@@ -280,7 +279,7 @@ _CLASS = "CASE " + " ".join(f"WHEN regexp_matches(lower(message), '{'|'.join(p)}
 _MSG = f"""WITH {VISITS_SQL}, m AS (SELECT event_id, event_type, CASE event_id % 6 WHEN 0 THEN 'Connection to host timed out' WHEN 1 THEN 'Connection refused by peer' WHEN 2 THEN 'HTTP 404: page not found' WHEN 3 THEN 'HTTP 503: Service Unavailable' WHEN 4 THEN 'Json could not decode' ELSE 'Unknown: oops' END AS message FROM visits),
 c AS (SELECT *, {_CLASS} AS kind FROM m)"""
 _SEVERITY = " ".join(f"WHEN {_hits('lower(message)', t)} > 0 THEN '{k}'" for k, t in SEVERITIES)
-_TEXT = "trim(regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '[ \\t-\\r]+', ' ', 'g'))"
+_TEXT = "trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '<[^>]*>', ' ', 'g'), '[ \\t-\\r]+', ' ', 'g'))"
 
 SQL = {
     "content_quality": f"WITH d AS (SELECT doc_id, lower(text) AS t FROM documents), s AS (SELECT doc_id, {_TOTAL} AS total FROM d) SELECT doc_id, total, CASE WHEN total >= 10 THEN 'good' WHEN total >= 5 THEN 'fair' WHEN total >= 2 THEN 'poor' WHEN total >= 1 THEN 'irrelevant' ELSE 'error' END AS quality FROM s",
@@ -306,12 +305,12 @@ SELECT page_id, href, CAST(min(pos) AS INTEGER) AS pos FROM p WHERE NOT starts_w
 SELECT DISTINCT host, 'disallow' AS directive, path AS value FROM h UNION ALL SELECT DISTINCT host, 'sitemap', root || '/sitemap.xml' FROM h""",
     "sitemap_urls": "WITH x AS (SELECT page_id, unnest(regexp_extract_all('<urlset><url><loc>' || url || '</loc></url><url><loc>' || url || '.jpg</loc></url></urlset>', '<loc>([^<]*)</loc>', 1)) AS loc FROM pages) SELECT * FROM x WHERE NOT regexp_matches(loc, '\\.(jpg|png|pdf)$')",
     "blocking_detect": f"""WITH p AS (SELECT page_id, CASE WHEN page_id % 11 = 0 THEN 403 WHEN page_id % 13 = 0 THEN 429 WHEN page_id % 17 = 0 THEN 503 ELSE 200 END AS status, lower(html) AS h FROM pages),
-k AS (SELECT *, coalesce(CASE status WHEN 403 THEN '403_forbidden' WHEN 429 THEN 'rate_limited' WHEN 503 THEN 'service_unavailable' END, CASE {" ".join(f"WHEN contains(h, '{p}') THEN '{k}'" for p, k in (*BLOCK_PHRASES, *OWN_PHRASES))} END) AS kind FROM p)
-SELECT page_id, status, kind IS NOT NULL AS is_blocked, kind, concat_ws('; ', CASE status {" ".join(f"WHEN {c} THEN '{t}'" for c, t in STATUS_EVIDENCE)} END, {", ".join(f"CASE WHEN contains(h, '{p}') THEN 'Content pattern: {p}' END" for p, _ in (*BLOCK_PHRASES, *OWN_PHRASES))}) AS evidence FROM k""",
+k AS (SELECT *, coalesce(CASE status WHEN 403 THEN '403_forbidden' WHEN 429 THEN 'rate_limited' WHEN 503 THEN 'service_unavailable' END, CASE {" ".join(f"WHEN contains(h, '{p}') THEN '{k}'" for p, k in BLOCK_PHRASES)} END) AS kind FROM p)
+SELECT page_id, status, kind IS NOT NULL AS is_blocked, kind, concat_ws('; ', CASE status {" ".join(f"WHEN {c} THEN '{t}'" for c, t in STATUS_EVIDENCE)} END, {", ".join(f"CASE WHEN contains(h, '{p}') THEN 'Content pattern: {p}' END" for p, _ in BLOCK_PHRASES)}) AS evidence FROM k""",
     "error_classify": f"{_MSG} SELECT event_id, kind, CASE {_SEVERITY} ELSE 'low' END AS severity, kind NOT IN ('{NOT_AGAIN[0]}', '{NOT_AGAIN[1]}') AS retryable FROM c",
     "error_statistics": f"{_MSG} SELECT event_type, kind, count(*) AS n, count(*) FILTER (event_id % 3 = 0) AS recovered FROM c GROUP BY 1, 2",
     "error_prefixes": f"{_MSG} SELECT split_part(message, ':', 1) AS prefix, count(*) AS n FROM c GROUP BY 1 ORDER BY n DESC, prefix LIMIT 5",
-    "time_mentions": "WITH t AS (SELECT doc_id, regexp_extract_all(text, '[0-9]{1,2}[:.][0-9]{2}') AS f FROM documents) SELECT doc_id, array_to_string(f[1:20], ',') AS times, CAST(len(f) AS INTEGER) AS n FROM t",
+    "time_mentions": f"WITH t AS (SELECT doc_id, list_concat({', '.join(f"regexp_extract_all(text, '{p}')" for p in TIME_PATTERNS)}) AS f FROM documents) SELECT doc_id, array_to_string(f[1:20], ',') AS times, CAST(len(f) AS INTEGER) AS n FROM t",
     "context_snippet": "WITH t AS (SELECT doc_id, text, instr(lower(text), 'tion') AS at_ FROM documents) SELECT doc_id, substring(text, greatest(at_ - 100, 1), 104 + least(at_ - 1, 100)) AS snippet FROM t WHERE at_ > 0",
     "line_lookahead": "WITH t AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents) SELECT doc_id, CAST(length(array_to_string(l[2:4], ' ')) AS INTEGER) AS n_chars, CAST(len(l) AS INTEGER) AS n_lines FROM t WHERE len(l) > 1",
     "statement_lint": """SELECT o_orderkey, 0 AS pos, 'CREATE TABLE t' || o_orderkey || ' (id int)' AS statement, false AS destructive FROM orders

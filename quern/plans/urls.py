@@ -190,7 +190,7 @@ FROM p ORDER BY total DESC, page_id LIMIT 25""",
 b AS (SELECT *, CAST(CASE kind WHEN 'mobile' THEN 15.0 WHEN 'blog' THEN 25.0 ELSE 30.0 END AS DOUBLE) AS base FROM k)
 SELECT page_id, kind, base, list_aggregate(list_transform([0, 1, 2, 3], lambda i: printf('%.1f', greatest(1.0, least(base, base * (0.2::DOUBLE + 0.8::DOUBLE * i / 4 + 0.1::DOUBLE * length(kind) / 50))))), 'string_agg', '/') AS timeouts FROM b""",
     "optimal_workers": f"WITH p AS (SELECT count(DISTINCT {_HOST}) AS hosts, count(*) AS urls FROM pages) SELECT hosts, urls, CASE WHEN urls = 0 THEN 1 ELSE least(CASE WHEN hosts <= 2 THEN 2 WHEN hosts <= 5 THEN 3 ELSE least(hosts, 8) END + CASE WHEN urls > 50 THEN 1 ELSE 0 END, 8) END AS workers FROM p",
-    "adaptive_threshold": f"""WITH p AS (SELECT page_id, lower(url) AS u, len(string_split(trim(regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '[ \\t-\\r]+', ' ', 'g')), ' ')) AS words FROM pages)
+    "adaptive_threshold": f"""WITH p AS (SELECT page_id, lower(url) AS u, len(string_split(trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '<[^>]*>', ' ', 'g'), '[ \\t-\\r]+', ' ', 'g')), ' ')) AS words FROM pages)
 SELECT page_id, greatest(3, 15 + CASE WHEN {_any('u', ('blog', 'index'))} THEN -10 ELSE 0 END + CASE WHEN {_any('u', ('/en/', 'schedule'))} THEN -7 ELSE 0 END + CASE WHEN contains(u, 'page') THEN -5 ELSE 0 END
 + CASE WHEN words > 500 THEN -5 WHEN words < 100 THEN 3 ELSE 0 END + CASE WHEN contains(u, 'ref') THEN 10 ELSE 0 END) AS threshold FROM p""",
 }

@@ -192,3 +192,40 @@ def test_time_snippet(spark):
     page = "<p>Adoration here</p><p>Twelve, 12 Hours per Week</p>"
     got = {r["page_id"]: r["snippet"] for r in _over(spark, lambda s, d: time_snippet(s, d, "adoration"), [(1, page), (2, "<p>none</p>"), (3, None)], "page_id long, html string")}
     assert got == {1: "12 hours per week", 2: X.NOT_FOUND, 3: X.NOT_FOUND}
+
+
+def test_smoothed_is_the_fold(spark):
+    import random
+
+    r = random.Random(2)
+    rows = [(r.choice("aaab"), r.randint(0, 50), i, r.choice([0.0, 1.5, 2.0, 7.0])) for i in range(300)] + [("z", 1, 1, 0.0), ("z", 2, 2, 0.0), (None, 1, 1, 1.0), ("a", None, 1, 1.0), ("a", 1, 1000, None)]
+    want = {}
+    for k, at, _, v in sorted((x for x in rows if None not in x), key=lambda x: (x[1], x[2])):
+        n, avg = want.get(k, (0, 0.0))
+        want[k] = (n + 1, v if avg == 0 else 0.1 * v + 0.9 * avg)
+    df = spark.createDataFrame(rows, "k string, at long, i long, v double")
+    for width in (1, 7, 1000):
+        got = {x["k"]: (x["n"], x["smoothed"]) for x in R.smoothed(df, "k", "at", "i", "v", width=width).collect()}
+        assert got.keys() == want.keys()
+        assert all(got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) < 1e-9 for k in want)
+
+
+def test_frames_leave_services_out(spark):
+    from quern.plans.rules import embedded_frames
+
+    page = "<IFRAME src='https://www.google.com/maps/x'></iframe><iframe src=https://youtube.com/parish></iframe><iframe></iframe><div><iframe title=x src='/Find-Church'></iframe></div><img src='map.leaflet'>"
+    got = embedded_frames(spark.createDataFrame([(1, page), (2, None)], "page_id long, html string")).collect()
+    assert [(r["pos"], r["src"], r["kind"]) for r in got] == [(0, "https://www.google.com/maps/x", "mapping"), (3, "/Find-Church", "listing")]
+
+
+def test_links_take_published_terms_unless_told(spark):
+    from quern.plans import links
+
+    page = '<nav><a href="/information">Information</a><a href="/mass">Mass times</a></nav><a href="/directory">x</a><a href="/department">Department</a>'
+    df = spark.createDataFrame([(1, "http://a.org/b", page)], "page_id long, url string, html string")
+    assert {r["href"] for r in links.directory_links(df).collect()} == {"http://a.org/directory"}
+    assert [r["href"] for r in links.menu_links(df).collect()] == ["http://a.org/mass"]
+
+
+def test_page_text_leaves_scripts_out(spark):
+    assert one(spark, X.html_text(F.col("h")), h="<p>a</p><SCRIPT>var t='</p>'</script><style>p{}</style> b") == "a b"
