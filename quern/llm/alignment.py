@@ -8,7 +8,8 @@ A text falls into units at single spaces between other characters, where both
 tokenizers always cut: the first one's pattern gives such a space to the word
 that follows, and no piece of the second has a space after another character
 (checked when the vocabulary is loaded; otherwise a text is one unit).  A unit
-is aligned once and looked up afterwards, in tables bounded by `MOST_UNITS`.
+is encoded once and looked up afterwards, in tables bounded by `MOST_UNITS`;
+texts are aligned a slice at a time, their bytes one after another.
 
 The number of documents of an id pair is counted over the whole corpus.  The most
 frequent pairs, at most `HOT_PAIRS`, are broadcast; all others meet their counts
@@ -26,7 +27,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +37,7 @@ from pyspark.sql import functions as F
 from quern.llm import textbatch as tb
 from quern.llm.scratch import stored
 
-MOST_UNITS = 150_000
+MOST_UNITS = 300_000
 MOST_KEPT_CHARS = 200
 HOT_PAIRS = 1 << 18
 COUNTED = 2_000_000
@@ -51,49 +52,50 @@ def _byte_of() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-def common_ends(a: list[int], b: list[int]) -> tuple[list[int], list[int]]:
-    """Indices into both ascending lists of the values that they share."""
-    in_a, in_b = {end: i for i, end in enumerate(a)}, {end: i for i, end in enumerate(b)}
+def common_ends(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Indices into both ascending arrays of the values that they share."""
+    in_a, in_b = {end: i for i, end in enumerate(a.tolist())}, {end: i for i, end in enumerate(b.tolist())}
     both = sorted(in_a.keys() & in_b.keys())
-    return [in_a[end] for end in both], [in_b[end] for end in both]
-
-
-def slice_links(a: list[int], b: list[int], ends_a: list[int], ends_b: list[int]) -> list[tuple[int, int]]:
-    """Overlapping pairs of one group, whose tokens share no end but the last."""
-    if len(a) == 1:
-        return [(a[0], y) for y in b]
-    if len(b) == 1:
-        return [(x, b[0]) for x in a]
-    out, i, j = [(a[0], b[0])], 0, 0
-    while i + 1 < len(a) or j + 1 < len(b):
-        if ends_a[i] < ends_b[j]:
-            i += 1
-        else:
-            j += 1
-        out.append((a[i], b[j]))
-    return out
-
-
-@dataclass(frozen=True)
-class Aligned:
-    """Ids of both tokenizers, groups as index ends, and links as id pairs."""
-
-    a: list[int]
-    b: list[int]
-    cuts_a: list[int]
-    cuts_b: list[int]
-    links: list[tuple[int, int]]
-
-    def text(self) -> str:
-        out, p, q = [], 0, 0
-        for i, j in zip(self.cuts_a, self.cuts_b, strict=True):
-            out.append(",".join(map(str, self.a[p : i + 1])) + "|" + ",".join(map(str, self.b[q : j + 1])))
-            p, q = i + 1, j + 1
-        return ";".join(out)
+    return np.array([in_a[end] for end in both], np.int64), np.array([in_b[end] for end in both], np.int64)
+
+
+def slice_links(ends_a: np.ndarray, ends_b: np.ndarray, cuts_a: np.ndarray, cuts_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Indices of the overlapping tokens of each group, group by group.
+
+    Inside a group no end but the last is shared, so every end of either side
+    begins a new overlap: a group of p and q tokens has p + q - 1 links.
+    """
+    inner_a, inner_b = np.ones(len(ends_a), bool), np.ones(len(ends_b), bool)
+    inner_b[cuts_b] = False  # A shared end counts once.
+    ends = np.sort(np.concatenate((ends_a[inner_a], ends_b[inner_b])))
+    return np.searchsorted(ends_a, ends), np.searchsorted(ends_b, ends)
+
+
+class Ids:
+    """Token ids of units, one after another, as they are learnt."""
+
+    def __init__(self) -> None:
+        self.counts, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def add(self, ids: list[list[int]]) -> None:
+        counts = np.array([len(x) for x in ids], np.int64)
+        self.counts = np.concatenate((self.counts, counts))
+        self.flat = np.concatenate((self.flat, np.fromiter(chain.from_iterable(ids), np.int64, int(counts.sum()))))
+
+    def cut(self, units: int) -> None:
+        self.counts = self.counts[:units]
+        self.flat = self.flat[: int(self.counts.sum())]
+
+    def of(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the units at these places, in order, and how many each has."""
+        starts = np.cumsum(self.counts) - self.counts
+        counts = self.counts[at]
+        ends = np.cumsum(counts)
+        return self.flat[np.arange(int(counts.sum())) + np.repeat(starts[at] - (ends - counts), counts)], counts
 
 
 class Pair:
-    """The two tokenizers and the byte lengths of their tokens."""
+    """The two tokenizers, the bytes of their tokens, and the units met so far."""
 
     def __init__(self, first: str, second: bytes) -> None:
         import sentencepiece
@@ -102,91 +104,88 @@ class Pair:
         self.first = Tokenizer.from_str(first)
         self.first.encode_special_tokens = True
         byte = _byte_of()
-        self.bytes_a: dict[int, bytes] = {i: bytes(byte[c] for c in t) if all(c in byte for c in t) else t.encode() for t, i in self.first.get_vocab().items()}
+        vocab = self.first.get_vocab()
+        self.bytes_a = [b""] * (max(vocab.values()) + 1)
+        for t, i in vocab.items():
+            self.bytes_a[i] = bytes(byte[c] for c in t) if all(c in byte for c in t) else t.encode()
         self.second = sentencepiece.SentencePieceProcessor(model_proto=second)
-        n = self.second.get_piece_size()
-        pieces = [self.second.id_to_piece(i) for i in range(n)]
+        pieces = [self.second.id_to_piece(i) for i in range(self.second.get_piece_size())]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.second.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
+        self.sizes = [np.array([len(t) for t in table], np.int64) for table in (self.bytes_a, self.bytes_b)]
         self.cuttable = not any(re.search("[^▁]▁", p) for p in pieces)
-        # Links of the units met so far lie one after another in flat, those of unit i at starts[i].
+        # Ids as they stand in the groups' text: inside a side, and at its end.
+        self.said = [[f"{i}{end}" for i in range(len(table)) for end in (",", last)] for table, last in ((self.bytes_a, "|"), (self.bytes_b, ";"))]
         self._clear()
 
     def _clear(self) -> None:
         self.at: dict[str, int] = {}
-        self.texts: list[str] = []
-        self.numbers = np.zeros((0, 4), np.int64)  # tokens of both, groups (-1: not given back), links
-        self.starts = np.zeros(0, np.int64)
-        self.flat = np.zeros(0, np.uint32)
-
-    def align(self, units: list[str]) -> list[Aligned | None]:
-        """None where a tokenizer does not give the unit back."""
-        first = self.first.encode_batch(units, add_special_tokens=False)
-        second = self.second.encode([u[1:] for u in units], num_threads=1)
-        out: list[Aligned | None] = []
-        for u, x, b in zip(units, first, second, strict=True):
-            a, raw = x.ids, u.encode("utf-8", "surrogatepass")
-            by_a, by_b = [self.bytes_a[i] for i in a], [self.bytes_b[i] for i in b]
-            if b"".join(by_a) != raw or b"".join(by_b) != raw:
-                out.append(None)
-                continue
-            ends_a, ends_b = np.cumsum([len(t) for t in by_a]).tolist(), np.cumsum([len(t) for t in by_b]).tolist()
-            cuts_a, cuts_b = common_ends(ends_a, ends_b)
-            links, p, q = [], 0, 0
-            for i, j in zip(cuts_a, cuts_b, strict=True):
-                links += slice_links(a[p : i + 1], b[q : j + 1], ends_a[p : i + 1], ends_b[q : j + 1])
-                p, q = i + 1, j + 1
-            out.append(Aligned(a, b, cuts_a, cuts_b, links))
-        return out
+        self.a, self.b = Ids(), Ids()
+        self.given_back = np.zeros(0, bool)
 
     def units(self, text: str) -> list[str]:
         return (CUT.split(" " + text) if self.cuttable else [" " + text]) if text else []
 
     def _learn(self, new: list[str]) -> None:
-        numbers, flat = [], []
-        for k in range(0, len(new), 4096):
-            for u, x in zip(new[k : k + 4096], self.align(new[k : k + 4096]), strict=True):
-                self.at[u] = len(self.texts)
-                self.texts.append(x.text() if x else "")
-                numbers.append((len(x.a), len(x.b), len(x.cuts_a), len(x.links)) if x else (0, 0, -1, 0))
-                flat += [i << 16 | j for i, j in x.links] if x else []
-        self.numbers = np.concatenate((self.numbers, np.array(numbers, np.int64).reshape(-1, 4)))
-        self.starts = np.cumsum(self.numbers[:, 3]) - self.numbers[:, 3]
-        self.flat = np.concatenate((self.flat, np.array(flat, np.uint32)))
+        for k in range(0, len(new), 8192):
+            some = new[k : k + 8192]
+            a = [x.ids for x in self.first.encode_batch_fast(some, add_special_tokens=False)]
+            b = self.second.encode([u[1:] for u in some], num_threads=1)
+            # Whether both give back the unit's bytes.
+            table_a, table_b = self.bytes_a, self.bytes_b
+            back = [b"".join([table_a[i] for i in x]) == raw and b"".join([table_b[i] for i in y]) == raw for x, y, raw in zip(a, b, (u.encode("utf-8", "surrogatepass") for u in some), strict=True)]
+            self.at.update(zip(some, range(len(self.given_back), len(self.given_back) + len(some))))
+            self.a.add(a)
+            self.b.add(b)
+            self.given_back = np.concatenate((self.given_back, np.array(back, bool)))
 
     def documents(self, texts: list[str | None]) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray]:
-        """Numbers and groups of each text; the links of all as (row, pair), row by row."""
+        """(tokens of both, groups, links) and the groups' text of each text; the links of all as (row, pair), row by row."""
+        n = len(texts)
         cut = [self.units(t or "") for t in texts]
-        if len(self.texts) > MOST_UNITS:
+        if len(self.given_back) > MOST_UNITS:
             self._clear()
         seen = self.at
         new = {u: None for row in cut for u in row if u not in seen}
-        kept = [u for u in new if len(u) <= MOST_KEPT_CHARS]
         # Long units come last and go again, so they are never kept.
-        n, links = len(self.texts) + len(kept), len(self.flat)
-        self._learn(kept)
-        links = len(self.flat)
-        long = [u for u in new if len(u) > MOST_KEPT_CHARS]
-        if long:
-            self._learn(long)
+        self._learn([u for u in new if len(u) <= MOST_KEPT_CHARS])
+        kept, long = len(self.given_back), [u for u in new if len(u) > MOST_KEPT_CHARS]
+        self._learn(long)
         sizes = np.array([len(row) for row in cut], np.int64)
         at = np.fromiter((seen[u] for row in cut for u in row), np.int64, int(sizes.sum()))
-        of = np.repeat(np.arange(len(cut)), sizes)
-        lost = np.zeros(len(cut), bool)
-        lost[of[self.numbers[at, 2] < 0]] = True
+        of = np.repeat(np.arange(n), sizes)
+        lost = np.zeros(n, bool)
+        lost[of[~self.given_back[at]]] = True
         keep = ~lost[of]
         at, of = at[keep], of[keep]
-        numbers = np.stack([np.bincount(of, self.numbers[at, k], len(cut)).astype(np.int64) for k in range(4)], 1)
-        count = self.numbers[at, 3]
-        ends = np.cumsum(count)
-        pairs = self.flat[np.arange(int(count.sum())) + np.repeat(self.starts[at] - (ends - count), count)]
-        texts_of = self.texts
-        groups = ["" if lost[k] or not row else ";".join([texts_of[seen[u]] for u in row]) for k, row in enumerate(cut)]
-        if long:
-            for u in long:
-                del self.at[u]
-            del self.texts[n:]
-            self.numbers, self.starts, self.flat = self.numbers[:n], self.starts[:n], self.flat[:links]
-        return numbers, groups, np.repeat(of, count), pairs
+        (ids_a, count_a), (ids_b, count_b) = self.a.of(at), self.b.of(at)
+        for u in long:
+            del seen[u]
+        self.a.cut(kept)
+        self.b.cut(kept)
+        self.given_back = self.given_back[:kept]
+
+        row_a, row_b = np.repeat(of, count_a), np.repeat(of, count_b)
+        ends_a, ends_b = np.cumsum(self.sizes[0][ids_a]), np.cumsum(self.sizes[1][ids_b])
+        cuts_a, cuts_b = common_ends(ends_a, ends_b)
+        i, j = slice_links(ends_a, ends_b, cuts_a, cuts_b)
+        pairs = (ids_a[i] << 16 | ids_b[j]).astype(np.uint32)
+        numbers = np.stack([np.bincount(r, minlength=n) for r in (row_a, row_b, row_a[cuts_a], row_a[i])], 1)
+        return numbers, self._said(ids_a, ids_b, cuts_a, cuts_b, numbers), row_a[i], pairs
+
+    def _said(self, ids_a: np.ndarray, ids_b: np.ndarray, cuts_a: np.ndarray, cuts_b: np.ndarray, numbers: np.ndarray) -> list[str]:
+        """Each text's groups: a group's first ids, then its second ones."""
+        said: list[str] = [""] * (len(ids_a) + len(ids_b))
+        for side, ids, cuts, others, shift in ((0, ids_a, cuts_a, cuts_b, 1), (1, ids_b, cuts_b, cuts_a, 0)):
+            last = np.zeros(len(ids), np.int64)
+            last[cuts] = 1
+            group = np.cumsum(last) - last
+            # Of the other side all earlier groups stand before; before second ids also their own group's first ones.
+            before = np.concatenate(([0], others + 1))[group + 1 - shift]
+            table = self.said[side]
+            for place, code in zip((np.arange(len(ids)) + before).tolist(), (2 * ids + last).tolist(), strict=True):
+                said[place] = table[code]
+        ends = np.cumsum(numbers[:, 0] + numbers[:, 1]).tolist()
+        return ["".join(said[lo:hi])[:-1] for lo, hi in zip([0, *ends[:-1]], ends, strict=True)]
 
 
 _LOADED: dict[str, Pair] = {}

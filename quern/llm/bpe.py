@@ -50,6 +50,8 @@ _PLAIN = re.compile("[\\x00-\\x7f" + _LETTERS + "]*")
 WORDS_KEPT, LETTERS_KEPT = 300_000, 16_000_000
 #: Words from so many symbols are merged over a heap, in time n log n.
 LONG_WORD = 64
+#: Pair codes kept: nine bytes each.
+PAIRS_KEPT = 1 << 19
 
 
 def byte_letters() -> list[str]:
@@ -96,8 +98,9 @@ class WordBpe:
             bare = t.removesuffix(self.end) if t != self.end else t
             self.longest[bare[:2]] = max(self.longest.get(bare[:2], 1), len(bare))
         self.size = max(self.token) + 1
-        self.good = np.zeros(0, np.int64)
-        self.bad = np.zeros(0, np.int64)
+        # Pair codes met, ascending, and whether each is compatible.
+        self.pairs = np.zeros(0, np.int64)
+        self.fit = np.zeros(0, bool)
         self.own: dict[int, bool] = {}
         self.kept = kept
         self._clear()
@@ -203,14 +206,16 @@ class WordBpe:
         return self.merged(self._spelt(a) + self._spelt(b)) == [a, b]
 
     def _compatible(self, codes: np.ndarray) -> np.ndarray:
-        """Which pair codes are compatible; pairs not met before are decided once."""
-        known = np.union1d(self.good, self.bad)
-        new = np.setdiff1d(codes, known)
+        """Which ascending pair codes are compatible; each is decided once while the table of pairs lasts."""
+        at = np.minimum(np.searchsorted(self.pairs, codes), max(0, len(self.pairs) - 1))
+        new = codes[self.pairs[at] != codes] if len(self.pairs) else codes
         if len(new):
+            if len(self.pairs) + len(new) > PAIRS_KEPT:
+                self.pairs, self.fit, new = self.pairs[:0], self.fit[:0], codes
             fits = np.array([self._fits(int(c)) for c in new], bool)
-            self.good = np.union1d(self.good, new[fits])
-            self.bad = np.union1d(self.bad, new[~fits])
-        return np.isin(codes, self.good, assume_unique=False)
+            place = np.searchsorted(self.pairs, new)
+            self.pairs, self.fit = np.insert(self.pairs, place, new), np.insert(self.fit, place, fits)
+        return self.fit[np.searchsorted(self.pairs, codes)]
 
     def encode_words(self, words: list[str]) -> list[list[int]]:
         """Proposals for all, one test of all adjacent pairs, exact merges for those that fail."""

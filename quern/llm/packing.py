@@ -4,10 +4,11 @@ The lengths of all documents become one global histogram; dynamic programming
 over it chooses the bucket borders with the least padding; documents padded to
 their bucket's border then form batches of a token budget inside each bucket.
 
-The histogram keeps lengths up to 512 apart and puts longer ones into bins of one
-part in 256, some 256 bins an octave whatever the input, so only a bounded number
-of bins reaches the driver.  A bin counts with its longest real length, and
-borders are such lengths; they are optimal among the bins' ends.  Batches form
+The histogram has a row for each distinct length, so borders are optimal for all
+documents.  Its size is bounded by the text: k distinct lengths need at least
+k (k - 1) / 2 words, so 10^13 words give at most 4.5 million, and the programme takes
+a few vectorised passes over them for each bucket (its costs are such that best
+cuts move only upwards, so each half of the lengths searches its own range).  Batches form
 within chunks of a bucket, dealt by a hash of the id, as many as the bucket's own
 rows need at `chunk` rows each, so a length that a third of all documents share is
 spread like any other; each chunk may end in one unfilled batch.
@@ -43,11 +44,31 @@ def word_count(text: Column) -> Column:
     return F.when(text.isNull() | (text == ""), 0).otherwise(parts - ends).cast("long")
 
 
-def rounded(n: Column) -> Column:
-    """The histogram's bin of a length, as the bin's upper end."""
-    bits = F.length(F.bin(n)) - 9
-    step = F.pow(F.lit(2), F.greatest(bits, F.lit(0))).cast("long")
-    return F.when(n <= 512, F.greatest(n, F.lit(1).cast("long"))).otherwise(F.ceil(n / step) * step).cast("long")
+def _cuts(before: np.ndarray, lengths: np.ndarray, total: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each j the least of before[i] + lengths[j] * (total[j + 1] - total[i]) over i <= j, and its smallest i.
+
+    The smallest best i never falls as j grows, so the middle of a range of js
+    splits the is for both halves; all ranges of one depth are taken together.
+    """
+    m = len(lengths)
+    cost, choice = np.empty(m, np.int64), np.empty(m, np.int64)
+    ranges = np.array([[0, m - 1, 0, m - 1]], np.int64)
+    while len(ranges):
+        lo, hi, first, last = ranges.T
+        mid = (lo + hi) // 2
+        size = np.minimum(last, mid) - first + 1
+        start = np.cumsum(size) - size
+        i = np.arange(int(size.sum())) + np.repeat(first - start, size)
+        j = np.repeat(mid, size)
+        value = before[i] + lengths[j] * (total[j + 1] - total[i])
+        least = np.minimum.reduceat(value, start)
+        at = np.flatnonzero(value == np.repeat(least, size))
+        of = np.repeat(np.arange(len(mid)), size)[at]
+        best = i[at[np.concatenate(([True], of[1:] != of[:-1]))]]
+        cost[mid], choice[mid] = least, best
+        halves = np.concatenate((np.stack((lo, mid - 1, first, best), 1), np.stack((mid + 1, hi, best, last), 1)))
+        ranges = halves[halves[:, 0] <= halves[:, 1]]
+    return cost, choice
 
 
 def best_borders(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> list[int]:
@@ -55,18 +76,13 @@ def best_borders(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> list[
     m = len(lengths)
     if m == 0:
         return []
-    total = np.concatenate(([0], np.cumsum(counts))).astype(np.float64)
+    total = np.concatenate(([0], np.cumsum(counts)))
     cost = lengths * total[1:]
     back = []
     for _ in range(1, min(buckets, m)):
-        now, choice = np.empty(m), np.empty(m, np.int64)
-        for j in range(m):
-            # The last bucket holds bins i + 1 to j; i = -1 leaves the earlier buckets empty.
-            before = np.concatenate(([0.0], cost[:j])) + lengths[j] * (total[j + 1] - total[: j + 1])
-            choice[j] = int(before.argmin())
-            now[j] = before[choice[j]]
+        # The last bucket holds lengths i to j; i = 0 leaves the earlier buckets empty.
+        cost, choice = _cuts(np.concatenate(([0], cost[:-1])), lengths, total)
         back.append(choice)
-        cost = now
     out, j = [], m - 1
     for choice in reversed(back):
         if j < 0:
@@ -86,8 +102,9 @@ def pack(docs: DataFrame, rule: PackRule = PackRule(), tokens: Column | None = N
     """
     n = word_count(F.col(text_col)) if tokens is None else tokens.cast("long")
     sized = stored(docs.select(F.col(id_col), F.coalesce(n, F.lit(0)).cast("long").alias("n_tokens")), "sizes")
-    found = sized.groupBy(rounded(F.col("n_tokens")).alias("bin")).agg(F.greatest(F.max("n_tokens"), F.lit(1).cast("long")).alias("longest"), F.count("*").alias("n")).orderBy("bin").collect()
-    lengths, counts = np.array([r["longest"] for r in found], np.int64), np.array([r["n"] for r in found], np.int64)
+    # Documents without tokens are counted as of one token: they get a border as well.
+    found = sized.groupBy(F.greatest("n_tokens", F.lit(1).cast("long")).alias("length")).agg(F.count("*").alias("n")).orderBy("length").toArrow()
+    lengths, counts = (found.column(c).to_numpy().astype(np.int64) for c in ("length", "n"))
     borders = best_borders(lengths, counts, rule.buckets)
     rows = np.bincount(np.searchsorted(borders, lengths), counts) if borders else []
     bucket, chunks = F.lit(None).cast("long"), F.lit(1).cast("long")

@@ -47,6 +47,7 @@ BLOCK_ROWS = 1024
 BATCH_ROWS = 256
 BLOCK_BYTES = 8 << 20
 COMMON_KEPT = 1 << 18
+SETS_MET = 1 << 19
 
 
 @dataclass(frozen=True)
@@ -212,16 +213,16 @@ def _near(left: list[tuple], right: list[tuple], rule: JaccardRule) -> Iterator[
 
 
 def _sets(docs: DataFrame, rule: JaccardRule) -> DataFrame:
-    """(id, n, sid, sketch, tag) of every row of (id, text, tag)."""
+    """(id, n, sid, sketch, t1, t2) of every row of (id, text, t1, t2)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo, hi, buf, offs in tb.slices(b.column(1)):
                 grams, rows = ngrams(buf, offs, rule.ngram)
                 size, sid = set_ids(grams, rows, hi - lo)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(size), pa.array(sid), pa.array(_sketches(grams, rows, hi - lo), pa.binary()), b.column(2).slice(lo, hi - lo)], names=["id", "n", "sid", "sketch", "tag"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(size), pa.array(sid), pa.array(_sketches(grams, rows, hi - lo), pa.binary()), b.column(2).slice(lo, hi - lo), b.column(3).slice(lo, hi - lo)], names=["id", "n", "sid", "sketch", "t1", "t2"])
 
-    return tb.in_batches(docs, run, f"id {docs.schema[0].dataType.simpleString()}, n long, sid long, sketch binary, tag long")
+    return tb.in_batches(docs, run, f"id {docs.schema[0].dataType.simpleString()}, n long, sid long, sketch binary, t1 long, t2 long")
 
 
 def _common(docs: DataFrame, rule: JaccardRule, n_docs: int) -> np.ndarray:
@@ -258,12 +259,17 @@ def _keys(docs: DataFrame, rule: JaccardRule, common: np.ndarray | None = None)
     """(key, sid) of every piece joined on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: set[int] = set()
         for b in batches:
             for lo, hi, buf, offs in tb.slices(b.column(1)):
                 grams, rows = ngrams(buf, offs, rule.ngram)
                 size, sid = set_ids(grams, rows, hi - lo)
-                # Copies inside a slice give one set of rows.
+                # Copies give one set of rows a task, as far as it remembers the sets it has met.
+                if len(met) > SETS_MET:
+                    met.clear()
                 _, one = np.unique(sid, return_index=True)
+                one = np.array([i for i in one.tolist() if int(sid[i]) not in met], np.int64)
+                met.update(sid[one].tolist())
                 lone = np.zeros(hi - lo, bool)
                 lone[one] = True
                 pick = lone[rows]
@@ -299,7 +305,7 @@ def _chains(keys: DataFrame, parts: int) -> DataFrame:
 
 
 def _members(docs: DataFrame, rule: JaccardRule) -> DataFrame:
-    """(comp, blocks, sid, n, sketch, grams) of rows of (tag, text, want, comp, blocks) whose set is the wanted one."""
+    """(comp, blocks, sid, n, sketch, grams) of rows of (t1, text, want, comp, blocks) whose set is the wanted one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -409,23 +415,29 @@ def _in_blocks(members: DataFrame, blocks: Column) -> DataFrame:
     return members.join(members.groupBy("comp").agg(blocks.cast("int").alias("blocks")), "comp")
 
 
+def _tags(id_col: str, text_col: str) -> list[Column]:
+    """t1 and t2: 128 bits of a row's id and text."""
+    i, t = F.col(id_col), F.col(text_col)
+    return [F.xxhash64(F.lit(1), i, t).alias("t1"), F.xxhash64(F.lit(2), t, i).alias("t2")]
+
+
 def _labelled(docs: DataFrame, rule: JaccardRule, id_col: str, text_col: str) -> DataFrame:
-    """(id, n, tag, component_id) of every row."""
+    """(id, n, t1, t2, component_id) of every row."""
     parts = parts_for(docs)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    # A row is found again by its id and text, as ids may repeat or be null.
-    tagged = texts.withColumn("tag", F.xxhash64("id", "text"))
+    # A row is found again by 128 bits of its id and text, as ids may repeat or be null.
+    tagged = texts.select("id", "text", *_tags("id", "text"))
     sets = stored(_sets(tagged, rule), "sets")
     common = _common(texts, rule, sets.count())
-    one = sets.where("n > 0").groupBy("sid").agg(F.min("tag").alias("tag"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    one = sets.where("n > 0").groupBy("sid").agg(F.min(F.struct("t1", "t2")).alias("t"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     near = components(_chains(_keys(texts, rule, common), parts)).toDF("sid", "comp")
     # Groups that share pieces fall apart where whole sketches rule the links out, before any set is shipped.
     asked = _in_blocks(stored(near.join(one, "sid"), "near"), F.ceil(F.sum(F.length("sketch") + 64) / SKETCH_BYTES))
     near = components(links(asked.select("comp", "blocks", "sid", "n", "sketch"), rule, parts)).toDF("sid", "comp")
     wanted = _in_blocks(stored(near.join(one.drop("sketch"), "sid"), "wanted"), F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum(F.col("n") * 8 + 160) / BLOCK_BYTES)))
-    wanted = stored(wanted.select("tag", F.col("sid").alias("want"), "comp", "blocks"), "asked")
+    wanted = stored(wanted.select("t.t1", "t.t2", F.col("sid").alias("want"), "comp", "blocks"), "asked")
     # What is wanted grows with the corpus, so the plan is a merge join at every size.
-    members = _members(tagged.select("tag", "text").join(wanted.hint("merge"), "tag").select("tag", "text", "want", "comp", "blocks"), rule)
+    members = _members(tagged.select("t1", "t2", "text").join(wanted.hint("merge"), ["t1", "t2"]).select("t1", "text", "want", "comp", "blocks"), rule)
     found = components(links(members, rule, parts))
     # Nodes of the final graph are sets; each set's smallest document stands for it.
     label = sets.where("n > 0").groupBy("sid").agg(F.min("id").alias("id"), F.count("*").alias("rows")).join(found.select(F.col("id").alias("sid"), "component"), "sid", "left").where("rows > 1 or component is not null").withColumn("component", F.coalesce("component", "sid"))
@@ -433,7 +445,7 @@ def _labelled(docs: DataFrame, rule: JaccardRule, id_col: str, text_col: str) ->
     by_set = label.select("sid", "component").join(least, "component").select("sid", "component_id", F.lit(True).alias("found"))
     # A set that very many rows share: a merge join's large partitions are split.
     component = F.when((F.col("n") > 0) & F.col("found"), F.col("component_id")).otherwise(F.col("id"))
-    return sets.join(by_set.hint("merge"), "sid", "left").select("id", "n", "tag", component.alias("component_id"))
+    return sets.join(by_set.hint("merge"), "sid", "left").select("id", "n", "t1", "t2", component.alias("component_id"))
 
 
 def linked_components(docs: DataFrame, rule: JaccardRule = JaccardRule(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -447,9 +459,11 @@ def one_of_each(docs: DataFrame, rule: JaccardRule = JaccardRule(), id_col: str
     Null ids go where they are linked to a document with an id, and stay otherwise.
     """
     found = stored(_labelled(docs, rule, id_col, text_col), "labelled")
-    gone = stored(found.where(~F.col("component_id").eqNullSafe(F.col("id"))).select(F.col("tag").alias("_gone")).distinct(), "gone")
-    again = stored(found.groupBy("tag").agg(F.count("*").alias("n")).where("n > 1").select(F.col("tag").alias("_again")), "again")
-    rows = docs.withColumn("_tag", F.xxhash64(id_col, text_col)).join(gone, F.col("_tag") == F.col("_gone"), "left_anti")
-    single = rows.join(again, F.col("_tag") == F.col("_again"), "left_anti")
-    several = rows.join(again, F.col("_tag") == F.col("_again"), "left_semi").dropDuplicates(["_tag"])
-    return single.unionByName(several).select(*docs.columns)
+    key = ["t1", "t2"]
+    gone = stored(found.where(~F.col("component_id").eqNullSafe(F.col("id"))).select(*key).distinct(), "gone")
+    again = stored(found.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").select(*key), "again")
+    # A row travels as one struct, so no column of it can clash with what is added.
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *_tags(id_col, text_col)).join(gone, key, "left_anti")
+    single = rows.join(again, key, "left_anti")
+    several = rows.join(again, key, "left_semi").dropDuplicates(key)
+    return single.unionByName(several).select("row.*")

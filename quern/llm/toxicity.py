@@ -25,11 +25,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm import textbatch as tb
+from quern.llm.scratch import stored
 
 WORD_BITS = 20
 STEM_BITS = 18
@@ -155,10 +155,28 @@ def draw(docs: DataFrame, labels: DataFrame, label: str, usable: Column, positiv
     return rows.groupBy("_id", "_label", "_at").agg(F.min("_text").alias("_text")).select(F.col("_label").alias("label"), F.col("_at").alias("at"), F.col("_text").alias("text"))
 
 
+def gradient(w: np.ndarray, bias: float, cell: np.ndarray, feature: np.ndarray, doc: np.ndarray, y: np.ndarray, decay: float) -> np.ndarray:
+    """Gradient by weights and bias of the mean loss of documents under a noisy-or of their sentences, plus the decay.
+
+    cell and feature are the sentence and the feature of each one that occurs, doc
+    the document of each sentence, y which documents are positive.  A document is
+    positive unless none of its sentences is: -log of that is the sum of
+    log(1 + exp(z)).
+    """
+    z = bias + np.bincount(cell, w[feature], len(doc))
+    p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    heat = np.bincount(doc, np.logaddexp(0, z), len(y))
+    pull = np.where(y, -1 / np.expm1(np.clip(heat, 1e-6, 50)), 1.0)
+    g = pull[doc] * p
+    return np.append(np.bincount(feature, g[cell], len(w)) / len(y) + decay * w, g.sum() / len(y))
+
+
 def fit(docs: DataFrame, labels: DataFrame, usable: Column, sample: TrainingSample = TrainingSample()) -> Model:
     """Fits on the sample; `usable` says which rows of labels may be learnt from."""
-    rows = bags(draw(docs, labels, "toxic", usable, sample.spare * sample.positives, sample.spare * sample.negatives), sample).toArrow()
-    rows = pa.concat_tables([rows.filter(pc.equal(rows.column("label"), label)).sort_by("at").slice(0, most) for label, most in ((1, sample.positives), (0, sample.negatives))]).combine_chunks()
+    # Of the spare rows only as many as the bound reach the driver.
+    bag = stored(bags(draw(docs, labels, "toxic", usable, sample.spare * sample.positives, sample.spare * sample.negatives), sample), "bags")
+    first, rest = (bag.where(F.col("label") == label).orderBy("at").limit(most) for label, most in ((1, sample.positives), (0, sample.negatives)))
+    rows = first.unionByName(rest).toArrow().combine_chunks()
     none = Model(np.zeros(1, np.float32), -30.0, sample.stem)
     if rows.num_rows == 0:
         return none
@@ -196,12 +214,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, sample: TrainingSamp
     w, bias = np.zeros(len(common)), -4.0
     m, v = np.zeros(len(common) + 1), np.zeros(len(common) + 1)
     for step in range(1, sample.rounds + 1):
-        z = bias + np.bincount(cell, w[feature], len(size))
-        p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        heat = np.bincount(doc, np.logaddexp(0, z), len(sizes))
-        pull = np.where(y, -1 / np.expm1(np.clip(heat, 1e-6, 50)), 1.0)
-        g = pull[doc] * p
-        grad = np.append(np.bincount(feature, g[cell], len(common)) / len(sizes) + sample.decay * w, g.sum() / len(sizes))
+        grad = gradient(w, bias, cell, feature, doc, y, sample.decay)
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         move = sample.rate * (1 - (step - 1) / sample.rounds) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-6)
         w -= move[:-1]

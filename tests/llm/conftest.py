@@ -36,7 +36,7 @@ def hard(spark, hard_rows):
     from pyspark.sql import functions as F
 
     df = spark.createDataFrame(hard_rows, SCHEMA).repartition(3)
-    for name in ("id", "d", "at", "n", "score", "sid", "comp", "label", "bucket", "_id", "h", "kept", "u", "v"):
+    for name in ("id", "d", "at", "n", "score", "sid", "comp", "label", "bucket", "_id", "h", "kept", "u", "v", "_tag", "_gone", "_again", "_text", "_doc", "t1", "t2", "row", "key", "tree", "idx", "n_chars_"):
         df = df.withColumn(name, F.lit("clash"))
     return df
 

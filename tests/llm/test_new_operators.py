@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import sentencepiece
 from hypothesis import given, settings
@@ -16,7 +18,8 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from quern.llm import alignment, merkle, minhash
+from quern.llm import alignment, merkle, minhash, toxicity
+from quern.llm import textbatch as tb
 from tests.llm.conftest import invented
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -53,8 +56,9 @@ def plain_alignment(text, libraries):
         return [], [], "", []
     ea, eb = np.cumsum([len(x) for x in bytes_a]).tolist(), np.cumsum([len(x) for x in bytes_b]).tolist()
     groups, p, q = [], 0, 0
+    at_a, at_b = {e: i + 1 for i, e in enumerate(ea)}, {e: i + 1 for i, e in enumerate(eb)}
     for end in sorted(set(ea) & set(eb)):
-        i, j = ea.index(end) + 1, eb.index(end) + 1
+        i, j = at_a[end], at_b[end]
         groups.append(",".join(map(str, enc.ids[p:i])) + "|" + ",".join(map(str, ids_b[q:j])))
         p, q = i, j
     links, j = [], 0
@@ -69,7 +73,7 @@ def plain_alignment(text, libraries):
     return enc.ids, ids_b, ";".join(groups), links
 
 
-@settings(max_examples=150, deadline=None)
+@settings(max_examples=80, deadline=None)
 @given(st.lists(st.one_of(st.sampled_from([" ", "  ", "\n", " \n ", "\t", " ", " ", "\x1c", "\x00", "the", "don't", "<s>", "<|endoftext|>", "▁", "<0x41>", "é", "é", "日本語", "x" * 300, "123", "!?", "\r\n"]), st.text(max_size=6)), max_size=14).map("".join))
 def test_units_equal_whole_texts(text):
     try:
@@ -89,8 +93,10 @@ def test_units_equal_whole_texts(text):
 
 
 def test_slice_links_overlap_without_shared_ends():
-    assert alignment.slice_links([1, 2, 3], [7, 8], [2, 5, 9], [4, 9]) == [(1, 7), (2, 7), (2, 8), (3, 8)]
-    assert alignment.common_ends([1, 4, 9], [2, 4, 9]) == ([1, 2], [1, 2])
+    a, b = np.array([2, 5, 9, 12]), np.array([4, 9, 12])
+    cuts = alignment.common_ends(a, b)
+    assert [x.tolist() for x in cuts] == [[2, 3], [1, 2]]
+    assert list(zip(*(x.tolist() for x in alignment.slice_links(a, b, *cuts)), strict=True)) == [(0, 0), (1, 0), (1, 1), (2, 1), (3, 2)]
 
 
 @pytest.mark.parametrize("hot", [1 << 18, 40])
@@ -115,7 +121,7 @@ def test_units_are_forgotten_when_there_are_many(monkeypatch):
     texts = ["one two three", "four five six seven " + "y" * 900, "one two three"]
     first = [pair.documents([t])[1][0] for t in texts]
     assert first == pair.documents(texts)[1] and first[0] == first[2]
-    assert all(len(u) <= alignment.MOST_KEPT_CHARS for u in pair.at)
+    assert all(len(u) <= alignment.MOST_KEPT_CHARS for u in pair.at) and len(pair.at) == len(pair.given_back) == len(pair.a.counts)
 
 
 # 12 minhash
@@ -281,3 +287,55 @@ def test_manifest_needs_only_its_fields(spark):
     df = spark.createDataFrame([(1, "a", "b", "c", 1)], "doc_id int, text string, lang string, source string, n_chars long")
     row = merkle.manifest(df.withColumn("tree", F.lit(1)).withColumn("idx", F.lit(2)).withColumn("payload", F.lit(3))).first()
     assert row["verified"] and row["leaf"] == row["subroot"] == row["root"] and row["proof_sha256"] == sha("")
+
+
+# 6 toxicity: the noisy-or and its gradient by plain loops
+
+
+def test_noisy_or_by_a_plain_loop(spark):
+    r = np.random.default_rng(8)
+    weights = np.zeros(toxicity.WEIGHTS, np.float32)
+    texts = ["One calm day. You idiot! You idiot idiot moron", "", None, "no marks at all", "A\n\nb. c? d! " * 30, "... !!! ???", "é è. ü ö"]
+    for _, _, buf, offs in tb.slices(pa.array(texts, pa.string())):
+        _, _, _, _, whole, stems = toxicity.sentences(buf, offs, 5)
+        for f in np.unique(np.concatenate((whole, stems))):
+            weights[f] = r.normal()
+    model = toxicity.Model(weights, -1.5, 5)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x["doc_id"]: x for x in toxicity.scores(df, model).collect()}
+    for i, text in enumerate(texts):
+        row, first, _, _, whole, stems = toxicity.sentences(*next(tb.slices(pa.array([text], pa.string())))[2:], 5)
+        none, hot = 1.0, 0
+        for k in range(len(first)):
+            end = first[k + 1] if k + 1 < len(first) else len(whole)
+            z = -1.5 + sum(float(weights[f]) for f in set(whole[first[k] : end].tolist())) + sum(float(weights[f]) for f in set(stems[first[k] : end].tolist()))
+            p = 1 / (1 + math.exp(-z))
+            none, hot = none * (1 - p), hot + (p >= 0.5)
+        assert abs(got[i]["score"] - (1 - none)) < 1e-6 and got[i]["n_offending"] == hot and got[i]["n_sentences"] == len(first)
+
+
+def test_gradient_by_differences():
+    r = np.random.default_rng(5)
+    doc = np.sort(r.integers(0, 6, 15))
+    doc[:6] = np.arange(6)
+    doc.sort()
+    cell, feature = r.integers(0, 15, 40), r.integers(0, 7, 40)
+    y, decay = np.array([True, False, True, True, False, False]), 0.01
+
+    def loss(w, bias):
+        total = 0.0
+        for d in range(6):
+            none = 1.0
+            for s in np.flatnonzero(doc == d):
+                z = bias + sum(w[f] for c, f in zip(cell, feature, strict=True) if c == s)
+                none *= 1 - 1 / (1 + math.exp(-z))
+            total -= math.log(1 - none if y[d] else none)
+        return total / 6 + decay / 2 * float((w**2).sum())
+
+    w, bias, step = r.normal(size=7), -0.7, 1e-5
+    got = toxicity.gradient(w, bias, cell, feature, doc, y, decay)
+    for k in range(7):
+        move = np.zeros(7)
+        move[k] = step
+        assert abs(got[k] - (loss(w + move, bias) - loss(w - move, bias)) / (2 * step)) < 1e-6
+    assert abs(got[7] - (loss(w, bias + step) - loss(w, bias - step)) / (2 * step)) < 1e-6

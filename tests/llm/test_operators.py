@@ -376,6 +376,29 @@ def test_borders_are_optimal():
             assert len(got) <= k and cost(got) == best
 
 
+def test_borders_of_many_lengths_equal_the_plain_programme():
+    r = np.random.Generator(np.random.PCG64(4))
+    lengths = np.sort(r.choice(np.arange(1, 60_000), 700, replace=False))
+    counts = np.where(r.random(700) < 0.05, 5000, 1) * r.integers(1, 9, 700)
+    total = np.concatenate(([0], np.cumsum(counts)))
+    cost = lengths * total[1:]
+    for _ in range(1, 16):
+        before = np.concatenate(([0], cost[:-1]))
+        cost = np.array([min(before[i] + lengths[j] * (total[j + 1] - total[i]) for i in range(j + 1)) for j in range(700)])
+    got = packing.best_borders(lengths, counts, 16)
+    assert len(got) <= 16 and sum(int(c) * got[int(np.searchsorted(got, n))] for n, c in zip(lengths, counts, strict=True)) == cost[-1]
+
+
+def test_batches_fill_in_order_of_ids(spark):
+    rows = [(i, "w " * (1 + i % 7)) for i in range(300)]
+    rule = packing.PackRule(buckets=3, budget=40, chunk=1000)
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), rule).collect()
+    for bucket in {r["bucket"] for r in got}:
+        mine = sorted((r for r in got if r["bucket"] == bucket), key=lambda r: r["doc_id"])
+        room = max(1, 40 // bucket)
+        assert [(r["batch"], r["slot"]) for r in mine] == [(k // room, k % room) for k in range(len(mine))]
+
+
 def test_pack(hard, hard_rows, empty):
     rule = packing.PackRule(buckets=4, budget=200)
     got = packing.pack(hard, rule).collect()
