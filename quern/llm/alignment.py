@@ -9,7 +9,7 @@ tokenizers always cut: the first one's pattern gives such a space to the word
 that follows, and no piece of the second has a space after another character
 (checked when the vocabulary is loaded; otherwise a text is one unit).  A unit
 is encoded once and looked up afterwards, in tables bounded by `MOST_UNITS`;
-texts are aligned a slice at a time, their bytes one after another.
+texts are aligned a slice at a time.
 
 The number of documents of an id pair is counted over the whole corpus.  The most
 frequent pairs, at most `HOT_PAIRS`, are broadcast; all others meet their counts
@@ -24,6 +24,7 @@ results; only id and text are read.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import re
 from collections.abc import Iterator
@@ -43,6 +44,8 @@ HOT_PAIRS = 1 << 18
 COUNTED = 2_000_000
 #: Both tokenizers cut before a space between other characters (Python's white space includes Unicode's).
 CUT = re.compile(r"(?<=[^ ])(?= \S)")
+#: Texts without such a place are cut at every space.
+UNEVEN = re.compile(r" (?:\s|\Z)")
 
 
 def _byte_of() -> dict[str, int]:
@@ -52,11 +55,11 @@ def _byte_of() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-def common_ends(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Indices into both ascending arrays of the values that they share."""
-    in_a, in_b = {end: i for i, end in enumerate(a.tolist())}, {end: i for i, end in enumerate(b.tolist())}
+def common_ends(a: list[int], b: list[int], first_a: int = 0, first_b: int = 0) -> tuple[list[int], list[int]]:
+    """Indices, counted from first_a and first_b, into both ascending lists of the values that they share."""
+    in_a, in_b = dict(zip(a, range(first_a, first_a + len(a)), strict=True)), dict(zip(b, range(first_b, first_b + len(b)), strict=True))
     both = sorted(in_a.keys() & in_b.keys())
-    return np.array([in_a[end] for end in both], np.int64), np.array([in_b[end] for end in both], np.int64)
+    return list(map(in_a.__getitem__, both)), list(map(in_b.__getitem__, both))
 
 
 def slice_links(ends_a: np.ndarray, ends_b: np.ndarray, cuts_a: np.ndarray, cuts_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -82,6 +85,9 @@ class Ids:
         self.counts = np.concatenate((self.counts, counts))
         self.flat = np.concatenate((self.flat, np.fromiter(chain.from_iterable(ids), np.int64, int(counts.sum()))))
 
+    def keep(self, at: np.ndarray) -> None:
+        self.flat, self.counts = self.of(at)
+
     def cut(self, units: int) -> None:
         self.counts = self.counts[:units]
         self.flat = self.flat[: int(self.counts.sum())]
@@ -114,36 +120,66 @@ class Pair:
         self.sizes = [np.array([len(t) for t in table], np.int64) for table in (self.bytes_a, self.bytes_b)]
         self.cuttable = not any(re.search("[^▁]▁", p) for p in pieces)
         # Ids as they stand in the groups' text: inside a side, and at its end.
-        self.said = [[f"{i}{end}" for i in range(len(table)) for end in (",", last)] for table, last in ((self.bytes_a, "|"), (self.bytes_b, ";"))]
-        self._clear()
-
-    def _clear(self) -> None:
+        self.said = [f"{i}{end}" for table, last in ((self.bytes_a, "|"), (self.bytes_b, ";")) for i in range(len(table)) for end in (",", last)]
         self.at: dict[str, int] = {}
         self.a, self.b = Ids(), Ids()
-        self.given_back = np.zeros(0, bool)
+        self.given_back, self.used = np.zeros(0, bool), np.zeros(0, np.int64)
+
+    def _forget(self) -> None:
+        """Keeps the better half of the units by use, of those met more than once."""
+        often = np.argsort(-self.used, kind="stable")[: MOST_UNITS // 2]
+        keep = np.sort(often[self.used[often] > 1])
+        units = list(self.at)
+        self.at = {units[i]: k for k, i in enumerate(keep.tolist())}
+        self.a.keep(keep)
+        self.b.keep(keep)
+        self.given_back, self.used = self.given_back[keep], self.used[keep]
 
     def units(self, text: str) -> list[str]:
-        return (CUT.split(" " + text) if self.cuttable else [" " + text]) if text else []
+        """The units of space and text, each without the space that it begins with."""
+        if not text or not self.cuttable:
+            return [text] if text else []
+        return [u[1:] for u in CUT.split(" " + text)] if UNEVEN.search(" " + text) else text.split(" ")
 
     def _learn(self, new: list[str]) -> None:
         for k in range(0, len(new), 8192):
             some = new[k : k + 8192]
-            a = [x.ids for x in self.first.encode_batch_fast(some, add_special_tokens=False)]
-            b = self.second.encode([u[1:] for u in some], num_threads=1)
-            # Whether both give back the unit's bytes.
-            table_a, table_b = self.bytes_a, self.bytes_b
-            back = [b"".join([table_a[i] for i in x]) == raw and b"".join([table_b[i] for i in y]) == raw for x, y, raw in zip(a, b, (u.encode("utf-8", "surrogatepass") for u in some), strict=True)]
-            self.at.update(zip(some, range(len(self.given_back), len(self.given_back) + len(some))))
+            whole = [" " + u for u in some]
+            a = [x.ids for x in self.first.encode_batch_fast(whole, add_special_tokens=False)]
+            b = self.second.encode(some, num_threads=1)
+            raw = [u.encode("utf-8", "surrogatepass") for u in whole]
+            back = self._back(a, self.bytes_a, raw) & self._back(b, self.bytes_b, raw)
+            self.at.update(zip(some, range(len(self.given_back), len(self.given_back) + len(some)), strict=True))
             self.a.add(a)
             self.b.add(b)
-            self.given_back = np.concatenate((self.given_back, np.array(back, bool)))
+            self.given_back, self.used = np.concatenate((self.given_back, back)), np.concatenate((self.used, np.zeros(len(some), np.int64)))
+
+    @staticmethod
+    def _back(ids: list[list[int]], table: list[bytes], raw: list[bytes]) -> np.ndarray:
+        """Whether the tokens give back each unit's bytes: all at once, and one by one only where some do not."""
+        spelt = list(map(table.__getitem__, chain.from_iterable(ids)))
+        ends = np.cumsum([len(x) for x in ids])
+        sizes = np.concatenate(([0], np.cumsum([len(t) for t in spelt])))[np.concatenate(([0], ends))]
+        if b"".join(spelt) == b"".join(raw) and (np.diff(sizes) == [len(x) for x in raw]).all():
+            return np.ones(len(ids), bool)
+        return np.array([b"".join([table[i] for i in x]) == u for x, u in zip(ids, raw, strict=True)], bool)
 
     def documents(self, texts: list[str | None]) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray]:
-        """(tokens of both, groups, links) and the groups' text of each text; the links of all as (row, pair), row by row."""
+        """(tokens of both, groups, links) and the groups' text of each text; the links of all as (row, pair), row by row.
+
+        Nothing here refers to itself, so the collector has nothing to find in its many small lists.
+        """
+        gc.disable()
+        try:
+            return self._documents(texts)
+        finally:
+            gc.enable()
+
+    def _documents(self, texts: list[str | None]) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray]:
         n = len(texts)
         cut = [self.units(t or "") for t in texts]
         if len(self.given_back) > MOST_UNITS:
-            self._clear()
+            self._forget()
         seen = self.at
         new = {u: None for row in cut for u in row if u not in seen}
         # Long units come last and go again, so they are never kept.
@@ -151,7 +187,8 @@ class Pair:
         kept, long = len(self.given_back), [u for u in new if len(u) > MOST_KEPT_CHARS]
         self._learn(long)
         sizes = np.array([len(row) for row in cut], np.int64)
-        at = np.fromiter((seen[u] for row in cut for u in row), np.int64, int(sizes.sum()))
+        at = np.array(list(map(seen.__getitem__, chain.from_iterable(cut))), np.int64)
+        self.used += np.bincount(at, minlength=len(self.used))
         of = np.repeat(np.arange(n), sizes)
         lost = np.zeros(n, bool)
         lost[of[~self.given_back[at]]] = True
@@ -162,11 +199,19 @@ class Pair:
             del seen[u]
         self.a.cut(kept)
         self.b.cut(kept)
-        self.given_back = self.given_back[:kept]
+        self.given_back, self.used = self.given_back[:kept], self.used[:kept]
 
         row_a, row_b = np.repeat(of, count_a), np.repeat(of, count_b)
         ends_a, ends_b = np.cumsum(self.sizes[0][ids_a]), np.cumsum(self.sizes[1][ids_b])
-        cuts_a, cuts_b = common_ends(ends_a, ends_b)
+        # Two dictionaries a text.
+        list_a, list_b, cuts_a, cuts_b = ends_a.tolist(), ends_b.tolist(), [], []
+        bound_a, bound_b = (np.searchsorted(r, np.arange(n + 1)).tolist() for r in (row_a, row_b))
+        for k in range(n):
+            (p, q), (r, s) = bound_a[k : k + 2], bound_b[k : k + 2]
+            x, y = common_ends(list_a[p:q], list_b[r:s], p, r)
+            cuts_a += x
+            cuts_b += y
+        cuts_a, cuts_b = np.array(cuts_a, np.int64), np.array(cuts_b, np.int64)
         i, j = slice_links(ends_a, ends_b, cuts_a, cuts_b)
         pairs = (ids_a[i] << 16 | ids_b[j]).astype(np.uint32)
         numbers = np.stack([np.bincount(r, minlength=n) for r in (row_a, row_b, row_a[cuts_a], row_a[i])], 1)
@@ -174,16 +219,15 @@ class Pair:
 
     def _said(self, ids_a: np.ndarray, ids_b: np.ndarray, cuts_a: np.ndarray, cuts_b: np.ndarray, numbers: np.ndarray) -> list[str]:
         """Each text's groups: a group's first ids, then its second ones."""
-        said: list[str] = [""] * (len(ids_a) + len(ids_b))
+        codes = np.empty(len(ids_a) + len(ids_b), np.int64)
         for side, ids, cuts, others, shift in ((0, ids_a, cuts_a, cuts_b, 1), (1, ids_b, cuts_b, cuts_a, 0)):
             last = np.zeros(len(ids), np.int64)
             last[cuts] = 1
             group = np.cumsum(last) - last
             # Of the other side all earlier groups stand before; before second ids also their own group's first ones.
             before = np.concatenate(([0], others + 1))[group + 1 - shift]
-            table = self.said[side]
-            for place, code in zip((np.arange(len(ids)) + before).tolist(), (2 * ids + last).tolist(), strict=True):
-                said[place] = table[code]
+            codes[np.arange(len(ids)) + before] = 2 * (ids + side * len(self.bytes_a)) + last
+        said = list(map(self.said.__getitem__, codes.tolist()))
         ends = np.cumsum(numbers[:, 0] + numbers[:, 1]).tolist()
         return ["".join(said[lo:hi])[:-1] for lo, hi in zip([0, *ends[:-1]], ends, strict=True)]
 

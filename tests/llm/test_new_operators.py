@@ -94,8 +94,8 @@ def test_units_equal_whole_texts(text):
 
 def test_slice_links_overlap_without_shared_ends():
     a, b = np.array([2, 5, 9, 12]), np.array([4, 9, 12])
-    cuts = alignment.common_ends(a, b)
-    assert [x.tolist() for x in cuts] == [[2, 3], [1, 2]]
+    cuts = [np.array(x) for x in alignment.common_ends(a.tolist(), b.tolist())]
+    assert [x.tolist() for x in cuts] == [[2, 3], [1, 2]] and alignment.common_ends([3], [3], 7, 9) == ([7], [9])
     assert list(zip(*(x.tolist() for x in alignment.slice_links(a, b, *cuts)), strict=True)) == [(0, 0), (1, 0), (1, 1), (2, 1), (3, 2)]
 
 
@@ -163,8 +163,9 @@ def test_minhash_of_hard_rows(hard, hard_rows, n):
     assert Counter(map(tuple, got.collect())) == plain_components(hard_rows, n, 80)
 
 
-def test_minhash_of_chains_and_borders(spark):
-    """A chain of texts each near the next only, a template that many texts share below 0.8, copies, and pairs at the threshold."""
+def test_minhash_of_chains_and_borders(spark, monkeypatch):
+    """A chain of texts each near the next only, a template that many texts share below 0.8, copies, and pairs at the threshold, in small blocks."""
+    monkeypatch.setattr(minhash, "BLOCK_ROWS", 16)
     words = invented(40, 200).split()
     rows = [(1000 - k, " ".join(words[: k * 4] + [f"new{k}x{j}" for j in range(k * 4)] + words[k * 4 :]) if k else " ".join(words)) for k in range(8)]
     chain = list(words)
@@ -182,14 +183,6 @@ def test_minhash_of_chains_and_borders(spark):
     assert Counter(map(tuple, got.collect())) == plain_components(rows, 2, 80)
 
 
-def test_minhash_blocks_of_a_large_group(spark, monkeypatch):
-    monkeypatch.setattr(minhash, "BLOCK_ROWS", 8)
-    words = invented(50, 120).split()
-    rows = [(k, " ".join(words[:100] + [f"a{k}_{j}" for j in range(20 if k % 3 else 6)])) for k in range(90)]
-    got = minhash.near_components(spark.createDataFrame(rows, "doc_id long, text string"), minhash.NearRule(ngram=2))
-    assert Counter(map(tuple, got.collect())) == plain_components(rows, 2, 80)
-
-
 def test_minima_estimate_the_likeness():
     r = np.random.default_rng(3)
     both = r.integers(0, 1 << 63, 800, dtype=np.uint64)
