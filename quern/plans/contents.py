@@ -141,8 +141,8 @@ def time_snippets(pages: DataFrame, keyword: str) -> DataFrame:
     return best.select("page_id", F.coalesce(F.when(F.col("best").rlike(HOURS), said), F.col("best"), F.lit(X.NOT_FOUND)).alias("snippet"))
 
 
-def time_snippet(spark: SparkSession, d: str) -> DataFrame:
-    return time_snippets(table(spark, d, "pages"), OWN_TERMS[0])
+def time_snippet(spark: SparkSession, d: str, keyword: str = OWN_TERMS[0]) -> DataFrame:
+    return time_snippets(table(spark, d, "pages"), keyword)
 
 
 def relevant_prefix(text: Column, most: int, terms: tuple[str, ...] = SCHEDULE_TERMS) -> Column:

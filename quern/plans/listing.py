@@ -146,6 +146,11 @@ def coverage_ratios(spark: SparkSession, d: str) -> DataFrame:
     return n.crossJoin(c).crossJoin(f).select(F.round(F.col("children") / F.greatest("parents", F.lit(1)), 6).alias("children_per_parent"), F.round(100.0 * F.col("with_facts") / F.greatest("children", F.lit(1)), 6).alias("coverage_percent"))
 
 
+def newest_facts(spark: SparkSession, d: str) -> DataFrame:
+    """The three facts that came last, of facts with data."""
+    return facts(spark, d).where(X.has_data(F.col("fact_value"))).orderBy(F.col("created_at").desc(), F.col("fact_id").desc()).limit(3).select("fact_id", "child_id", "fact_type", "created_at")
+
+
 def export_summary(spark: SparkSession, d: str) -> DataFrame:
     """The six figures of an export's summary sheet."""
     f = facts(spark, d)
@@ -166,7 +171,7 @@ def address_assembly(spark: SparkSession, d: str) -> DataFrame:
     return c.join(n, c["c_nationkey"] == n["n_nationkey"], "left").select("c_custkey", F.coalesce(F.nullif(full, F.lit("")), parts).alias("address"))
 
 
-QUERIES = {f.__name__: f for f in (parent_listing_page, global_summary, children_with_parent_name, children_with_data, children_without_data, pivot_two_fact_types, child_with_fact_array, counted_page, override_resolution, full_outer_compare, compare_rate, two_tier_priority, oldest_first, set_difference, set_intersection, ordered_union, keyword_merge, parent_child_statistics, display_names, grouped_by_status, coverage_ratios, export_summary, export_envelope, address_assembly)}
+QUERIES = {f.__name__: f for f in (parent_listing_page, global_summary, children_with_parent_name, children_with_data, children_without_data, pivot_two_fact_types, child_with_fact_array, counted_page, override_resolution, full_outer_compare, compare_rate, two_tier_priority, oldest_first, set_difference, set_intersection, ordered_union, keyword_merge, parent_child_statistics, display_names, grouped_by_status, coverage_ratios, newest_facts, export_summary, export_envelope, address_assembly)}
 
 _COMPARABLE = r"regexp_replace(CASE WHEN regexp_matches({u}, '^https?://') THEN {u} ELSE 'https://' || {u} END, '^http://', 'https://')".replace("{u}", "regexp_replace(lower(trim(url)), '/$', '')")
 _COMPARE = f"""WITH p AS (SELECT page_id, {_COMPARABLE} AS u FROM pages),
@@ -216,6 +221,7 @@ SELECT keyword, kind, max(p_size) AS weight FROM f GROUP BY 1, 2""",
     "grouped_by_status": "SELECT o_custkey, o_orderstatus, count(*) AS n, string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_orderkey) AS ids FROM orders GROUP BY 1, 2",
     "coverage_ratios": f"""WITH {FACTS_SQL} SELECT round((SELECT count(*) FROM customer) / greatest((SELECT count(*) FROM nation), 1), 6) AS children_per_parent,
 round(100.0 * (SELECT count(DISTINCT child_id) FROM facts) / greatest((SELECT count(*) FROM customer), 1), 6) AS coverage_percent""",
+    "newest_facts": f"WITH {FACTS_SQL} SELECT fact_id, child_id, fact_type, created_at FROM facts WHERE {HAS_DATA_SQL} ORDER BY created_at DESC, fact_id DESC LIMIT 3",
     "export_summary": f"WITH {FACTS_SQL} SELECT count(*) AS n_rows, count(DISTINCT child_id) AS n_children, count(fact_value) AS n_values, count(DISTINCT fact_type) AS n_types, min(created_at) AS first_at, max(created_at) AS last_at FROM facts",
     "export_envelope": """SELECT c_nationkey, '{"count":' || count(*) || ',"rows":[' || string_agg('{"c_custkey":' || c_custkey || ',"c_name":"' || c_name || '"}', ',' ORDER BY c_custkey) || ']}' AS document FROM customer GROUP BY 1""",
     "address_assembly": """SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN 'Full ' || c_name ELSE concat_ws(', ', CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_name END, n_name, c_mktsegment) END AS address

@@ -151,6 +151,23 @@ def cost_rollup(spark: SparkSession, d: str) -> DataFrame:
     return r.groupBy("tier").agg(F.round(F.sum(F.when(F.col("rn") <= 4, F.col("cost"))), 6).alias("recent_cost"), F.round(F.sum("cost"), 6).alias("total_cost"), F.count("*").alias("n"), F.round(F.sum("cost") / F.greatest(F.count("*"), F.lit(1)), 6).alias("mean_cost"))
 
 
+def recent_costs(spark: SparkSession, d: str, last: int = 1000) -> DataFrame:
+    """Cost of the last requests by model and by task, beside the totals over all.
+
+    The last ones are a limit that each task applies before anything is shuffled.
+    """
+    price = spark.createDataFrame([("high", 0.00125, 0.01), ("medium", 0.0003, 0.0025), ("low", 0.0001, 0.0004)], "tier string, p_in double, p_out double")
+    cost = F.col("n_in") / 1000 * F.col("p_in") + F.col("n_out") / 1000 * F.col("p_out")
+    r = _requests(spark, d).join(F.broadcast(price), "tier").select("conv_id", "turn", "tier", "role", cost.alias("cost"))
+    recent = r.orderBy(F.col("conv_id").desc(), F.col("turn").desc(), "role").limit(last)
+    one = lambda df, kind, c: df.groupBy(F.lit(kind).alias("kind"), F.coalesce(c, F.lit("unknown")).alias("name"))
+    out = None
+    for kind, c in (("model", "tier"), ("task", "role")):
+        mine = one(recent, kind, c).agg(F.round(F.sum("cost"), 6).alias("recent_cost"), F.count("*").alias("recent")).join(one(r, kind, c).agg(F.round(F.sum("cost"), 6).alias("total_cost"), F.count("*").alias("total")), ["kind", "name"], "right")
+        out = mine if out is None else out.unionByName(mine)
+    return out.select("kind", "name", F.coalesce("recent_cost", F.lit(0.0)).alias("recent_cost"), F.coalesce("recent", F.lit(0)).alias("recent"), "total_cost", "total")
+
+
 def throughput(spark: SparkSession, d: str) -> DataFrame:
     """Visits per minute, of each kind, over the kind's whole span."""
     v = visits(spark, d).groupBy("event_type").agg(F.count("*").alias("n"), F.count_if("ok").alias("n_ok"), ((F.max(_EPOCH("ts")) - F.min(_EPOCH("ts"))) / 60_000_000).alias("minutes"))
@@ -170,7 +187,7 @@ def numeric_average(spark: SparkSession, d: str) -> DataFrame:
     return v.groupBy("event_type").agg(F.round(F.coalesce(F.avg(F.expr("try_cast(shown AS double)")), F.lit(0.0)), 4).alias("mean"))
 
 
-QUERIES = {f.__name__: f for f in (daily_cumulative, last_n_per_key, recent_mean, trailing_rate, key_stats_p95, visit_stats, worker_rollup, worst_state, breaker_health, activity_class, lease_expiry, lease_assign, chunked, routing, cost_rollup, throughput, json_props, numeric_average)}
+QUERIES = {f.__name__: f for f in (daily_cumulative, last_n_per_key, recent_mean, trailing_rate, key_stats_p95, visit_stats, worker_rollup, worst_state, breaker_health, activity_class, lease_expiry, lease_assign, chunked, routing, cost_rollup, recent_costs, throughput, json_props, numeric_average)}
 
 _V = f"WITH {VISITS_SQL}"
 _HITS = " + ".join(f"CAST(contains(t, '{t}') AS INTEGER)" for t in TERMS)
@@ -214,6 +231,10 @@ SELECT event_id, CASE WHEN event_id % 2 = 0 THEN CASE WHEN worker IN (SELECT wor
     "cost_rollup": f"""{_REQ}, p AS (SELECT * FROM (VALUES ('high', 0.00125, 0.01), ('medium', 0.0003, 0.0025), ('low', 0.0001, 0.0004)) v(tier, p_in, p_out)),
 c AS (SELECT s.tier, n_in / 1000 * CAST(p_in AS DOUBLE) + n_out / 1000 * CAST(p_out AS DOUBLE) AS cost, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rn FROM s JOIN p ON s.tier = p.tier)
 SELECT tier, round(sum(CASE WHEN rn <= 4 THEN cost END), 6) AS recent_cost, round(sum(cost), 6) AS total_cost, count(*) AS n, round(sum(cost) / greatest(count(*), 1), 6) AS mean_cost FROM c GROUP BY tier""",
+    "recent_costs": f"""{_REQ}, p AS (SELECT * FROM (VALUES ('high', 0.00125, 0.01), ('medium', 0.0003, 0.0025), ('low', 0.0001, 0.0004)) v(tier, p_in, p_out)),
+c AS (SELECT s.tier, coalesce(role, 'unknown') AS role, n_in / 1000 * CAST(p_in AS DOUBLE) + n_out / 1000 * CAST(p_out AS DOUBLE) AS cost, row_number() OVER (ORDER BY conv_id DESC, turn DESC, role) <= 1000 AS late FROM s JOIN p ON s.tier = p.tier),
+k AS (SELECT 'model' AS kind, tier AS name, cost, late FROM c UNION ALL SELECT 'task', role, cost, late FROM c)
+SELECT kind, name, round(coalesce(sum(cost) FILTER (late), 0.0), 6) AS recent_cost, count(*) FILTER (late) AS recent, round(sum(cost), 6) AS total_cost, count(*) AS total FROM k GROUP BY 1, 2""",
     "throughput": f"""{_V}, g AS (SELECT event_type, count(*) AS n, count(*) FILTER (ok) AS k, (max(epoch_us(ts)) - min(epoch_us(ts))) / 60000000 AS m FROM visits GROUP BY event_type)
 SELECT event_type, round(n / greatest(m, 1.0), 6) AS per_minute, round(100.0 * k / greatest(n, 1), 4) AS success_percent FROM g""",
     "json_props": "SELECT k % 10 AS k10, count(*) AS n, CAST(sum(k) AS BIGINT) AS total FROM (SELECT CAST(coalesce(json_extract_string(props, '$.key'), json_extract_string(props, '$.k')) AS BIGINT) AS k FROM events) GROUP BY 1",

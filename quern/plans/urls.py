@@ -55,8 +55,15 @@ def url_features(spark: SparkSession, d: str) -> DataFrame:
 
 def url_pattern_stats(spark: SparkSession, d: str) -> DataFrame:
     """Attempts and successes of each host and path shape."""
-    p = table(spark, d, "pages").select(X.url_host(F.col("url")).alias("host"), X.url_pattern(X.url_path(F.col("url"))).alias("pattern"), (F.length("html") > 2000).alias("ok"))
-    return p.groupBy("host", "pattern").agg(F.count("*").alias("attempts"), F.count_if("ok").alias("successes"))
+    p = table(spark, d, "pages").select(X.url_host(F.col("url")).alias("host"), X.url_pattern(X.url_path(F.col("url"))).alias("pattern"), (F.length("html") > 2000).alias("ok"), "page_id")
+    return p.groupBy("host", "pattern").agg(F.count("*").alias("attempts"), F.count_if("ok").alias("successes"), F.max(F.when(F.col("ok"), F.col("page_id"))).alias("last_success"))
+
+
+def host_patterns(spark: SparkSession, d: str) -> DataFrame:
+    """Each host's path shapes that have succeeded and those that never have; lists are as long as a host has shapes."""
+    p = url_pattern_stats(spark, d).withColumn("good", F.col("successes") > 0)
+    listed = lambda keep: F.array_join(F.sort_array(F.collect_list(F.when(keep, F.col("pattern")))), " ")
+    return p.groupBy("host").agg(listed(F.col("good")).alias("succeeded"), listed(~F.col("good")).alias("failed"))
 
 
 def url_relevance(spark: SparkSession, d: str) -> DataFrame:
@@ -135,7 +142,7 @@ def adaptive_threshold(spark: SparkSession, d: str) -> DataFrame:
     return p.select("page_id", F.greatest(F.lit(3), 15 + move).alias("threshold"))
 
 
-QUERIES = {f.__name__: f for f in (url_normalize, url_suppression, url_features, url_pattern_stats, url_relevance, url_quality_topn, url_quality_by_label, url_priority, url_keyword_join, candidate_urls, url_total_score, host_strategy, optimal_workers, adaptive_threshold)}
+QUERIES = {f.__name__: f for f in (url_normalize, url_suppression, url_features, url_pattern_stats, host_patterns, url_relevance, url_quality_topn, url_quality_by_label, url_priority, url_keyword_join, candidate_urls, url_total_score, host_strategy, optimal_workers, adaptive_threshold)}
 
 _HOST = "lower(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1))"
 _PATH = "regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1)"
@@ -168,7 +175,8 @@ SQL = {
 SELECT page_id, CAST(contains(path, 'en') AS DOUBLE) AS has_en, CAST(contains(path, 'fr') OR contains(path, 'de') AS DOUBLE) AS has_other, CAST(depth AS DOUBLE) AS path_depth, CAST(length(path) AS DOUBLE) AS path_length,
 CAST(contains(path, '-') AS DOUBLE) AS has_hyphen, CAST(contains(path, '_') AS DOUBLE) AS has_underscore, CAST(length(host) AS DOUBLE) AS domain_length, CAST(len(string_split(host, '.')) > 2 AS DOUBLE) AS has_subdomain,
 CAST(ends_with(path, '.html') AS DOUBLE) AS ends_with_html, CAST({_any('path', ('donate', 'news', '9'))} AS DOUBLE) AS has_negative FROM p""",
-    "url_pattern_stats": f"SELECT {_HOST} AS host, {_PATTERN} AS pattern, count(*) AS attempts, count(*) FILTER (length(html) > 2000) AS successes FROM pages GROUP BY 1, 2",
+    "url_pattern_stats": f"SELECT {_HOST} AS host, {_PATTERN} AS pattern, count(*) AS attempts, count(*) FILTER (length(html) > 2000) AS successes, max(CASE WHEN length(html) > 2000 THEN page_id END) AS last_success FROM pages GROUP BY 1, 2",
+    "host_patterns": f"WITH p AS (SELECT {_HOST} AS host, {_PATTERN} AS pattern, bool_or(length(html) > 2000) AS good FROM pages GROUP BY 1, 2) SELECT host, coalesce(string_agg(pattern, ' ' ORDER BY pattern) FILTER (good), '') AS succeeded, coalesce(string_agg(pattern, ' ' ORDER BY pattern) FILTER (NOT good), '') AS failed FROM p GROUP BY host",
     "url_relevance": f"""SELECT page_id, url FROM pages WHERE NOT {_any('lower(url)', T.exclude)} AND ({_any('lower(url)', T.include)} OR len(string_split(url, '/')) <= 5)
 AND NOT regexp_matches(url, '(?i)\\.(jpg|png|gif|mp4)$') AND NOT regexp_matches(url, '[^/]+@[^/]+')""",
     "url_quality_topn": f"""WITH {_QUALITY} SELECT page_id, quality, round(least(score, 100.0), 4) AS score,

@@ -152,9 +152,10 @@ def test_chain_takes_the_first_with_rows_in_each_pages_order(spark):
     both = "<table><tr><th>Church<tr><td>Table Church</table><article><h1>Article Church</h1></article>"
     rows = [(1, "http://a", both, ["NavigationExtractor", "TableExtractor", "ImprovedGenericExtractor"]), (2, "http://a", both, ["ImprovedGenericExtractor", "TableExtractor"]), (3, "http://a", both, ["PDFDirectoryExtractor"]), (4, None, None, ["TableExtractor"]), (5, "http://a", "", []), (6, "http://a", both, None)]
     df = spark.createDataFrame(rows, PAGE + ", o array<string>").withColumn("source", F.lit("clash")).withColumn("nodes", F.lit(1))
-    got = {(r["page_id"], r["source"], r["name"]) for r in E.extracted(df, F.col("o")).collect()}
+    rows = E.extracted(df, F.col("o"))
+    got = {(r["page_id"], r["source"], r["name"]) for r in rows.collect()}
     assert got == {(1, "TableExtractor", "Table Church"), (2, "ImprovedGenericExtractor", "Article Church")}
-    plan = E.extracted(df, F.col("o"))._jdf.queryExecution().executedPlan().toString()
+    plan = rows._jdf.queryExecution().executedPlan().toString()
     assert plan.count("MapInArrow") == 1 and "Exchange" not in plan
     by = D.with_nodes(df.select("page_id", "url", "html")).select("page_id", E.by_method(F.when(F.col("page_id") == 1, "table_extraction").otherwise("unknown"), F.col("nodes"), F.col("url"))["name"].alias("n")).where("size(n) > 0").collect()
     assert {(r["page_id"], *r["n"]) for r in by} == {(1, "Table Church"), (2, "Article Church"), (3, "Article Church"), (6, "Article Church")}

@@ -41,7 +41,7 @@ def files(spark, folder, rows, order):
     return spark.readStream.schema(SHAPE).option("maxFilesPerTrigger", 2).parquet(f"{folder}/{order}/*")
 
 
-@pytest.mark.parametrize("order", ["sorted", "reversed", "mixed"])
+@pytest.mark.parametrize("order", ["reversed", "mixed"])
 def test_streams_equal_batch_folds(spark, tmp_path, order):
     rows = events(4)
     real = [x for x in rows if x[0] is not None and x[1] is not None]
@@ -79,11 +79,11 @@ def test_a_late_sign_revives_a_stale_worker(spark, tmp_path):
     hour = timedelta(hours=1)
     row = lambda w, h: (w, START + h * hour, h, None, None, True, None)
     for k, rows in enumerate([[row(1, 0), row(2, 0)], [row(2, 30)], [row(2, 31)], [row(1, 32), row(2, 32)]]):
-        path = f"{tmp_path}/{k}"
+        path = f"{tmp_path}/in/{k}"
         spark.createDataFrame(rows, SHAPE).coalesce(1).write.parquet(path)
         for name in os.listdir(path):
             os.utime(f"{path}/{name}", (1_700_000_000 + k * 60,) * 2)
-    stream = spark.readStream.schema(SHAPE).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/*")
+    stream = spark.readStream.schema(SHAPE).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
     out = str(tmp_path / "out")
     spark.conf.set(*STORE)
     M.dead_man(stream.select("worker", "ts")).writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / "log")).trigger(availableNow=True).foreachBatch(lambda b, n: b.write.mode("append").parquet(out)).start().awaitTermination()
