@@ -2,6 +2,13 @@
 
 Each stage takes all that its predecessor kept; the stages' results are written
 to the shared folder as Parquet and read again.
+
+Null and empty texts are judged like others: the classifier scores them, the line
+rules reject them, and none is a near copy of anything.  Very long texts are read
+whole; equal ids with different texts stay apart; repeated rows of equal id and text
+become one in the third stage; rows without an id stay unless they are near copies
+of one that has an id.  Other columns pass through unchanged, whatever their names.
+Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -48,7 +55,8 @@ STAGES = [
     ("packing", packed),
 ]
 
-#: The stages train a classifier and compare whole texts; they are tested against brute force.
+#: The stages train a classifier and compare whole texts: stages 2 to 5 are tested row by row
+#: against plain versions (tests/llm/test_pipeline.py), the first by its accuracy.
 ORACLE_SQL = None
 
 
