@@ -66,7 +66,7 @@ _SKIPPED = " OR ".join(f"contains(lower(name), '{t}')" for t in E.FINDER_SKIPS)
 SQL = {
     "page_elements": f"WITH t AS (SELECT page_id, unnest(regexp_extract_all(regexp_replace(html, '(?s)(<(?:script|style)[^>]*>).*?</(?:script|style)>|<!--.*?-->', '\\1', 'g'), '<([a-z][a-z0-9]*)', 1)) AS tag FROM pages) SELECT page_id, tag, count(*) AS n FROM t GROUP BY page_id, tag",
     "extracted_rows": f"""WITH a AS (SELECT page_id, regexp_extract({_BARE}, '(?s)<article>(.*)</article>', 1) AS a FROM pages), s AS (SELECT page_id, a, {contents._plain("regexp_replace(a, '<[^>]*>', '', 'g')")} AS said FROM a),
-n AS (SELECT page_id, {_SQUEEZED.format(contents._plain("regexp_extract(a, '(?s)<h1>(.*?)</h1>', 1)"))} AS name, nullif(regexp_extract(said, '\\(?[0-9]{{3}}\\)?[-.\\s]?[0-9]{{3}}[-.\\s]?[0-9]{{4}}'), '') AS phone, nullif(regexp_extract(a, '<a [^>]*href="(http[^"]*)"', 1), '') AS website FROM s)
+n AS (SELECT page_id, trim(regexp_replace({_SQUEEZED.format(contents._plain("regexp_extract(a, '(?s)<h1>(.*?)</h1>', 1)"))}, ',\\s*$', '')) AS name, nullif(regexp_extract(said, '\\(?[0-9]{{3}}\\)?[-.\\s]?[0-9]{{3}}[-.\\s]?[0-9]{{4}}'), '') AS phone, nullif(regexp_extract(a, '<a [^>]*href="(http[^"]*)"', 1), '') AS website FROM s)
 SELECT page_id, 'ImprovedGenericExtractor' AS source, 0 AS pos, name, phone, website, 'improved_generic_extraction' AS method FROM n WHERE length(name) >= 3 AND ({_NAMED})""",
     "finder_items": f"""WITH f AS (SELECT page_id, regexp_extract_all({_BARE}, '(?s)<li>.*?</li>', 0) AS f FROM pages), i AS (SELECT page_id, unnest(f) AS item, generate_subscripts(f, 1) AS place FROM f),
 n AS (SELECT page_id, place, trim(regexp_replace({_SQUEEZED.format(contents._plain("regexp_replace(item, '<[^>]*>', '', 'g')"))}, ',\\s*$', '')) AS name FROM i)

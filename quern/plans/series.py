@@ -192,7 +192,7 @@ QUERIES = {f.__name__: f for f in (daily_cumulative, last_n_per_key, recent_mean
 _V = f"WITH {VISITS_SQL}"
 _HITS = " + ".join(f"CAST(contains(t, '{t}') AS INTEGER)" for t in TERMS)
 _REQ = f"""WITH q AS (SELECT conv_id, turn, role, lower(coalesce(text, '')) AS t FROM conversations),
-r AS (SELECT conv_id, turn, round(0.2 * least(length(t) / 2000, 1.0) + 0.5 * CASE role WHEN 'assistant' THEN 0.8 WHEN 'system' THEN 0.6 ELSE 0.5 END + 0.3 * least(({_HITS}) / 10, 1.0), 3) AS complexity,
+r AS (SELECT conv_id, turn, role, round(0.2 * least(length(t) / 2000, 1.0) + 0.5 * CASE role WHEN 'assistant' THEN 0.8 WHEN 'system' THEN 0.6 ELSE 0.5 END + 0.3 * least(({_HITS}) / 10, 1.0), 3) AS complexity,
   length(t) AS n_in, ceil(length(t) / 4) AS n_out FROM q),
 s AS (SELECT *, CASE WHEN complexity > 0.7 THEN 'high' WHEN complexity > 0.4 THEN 'medium' ELSE 'low' END AS tier FROM r)"""
 _BREAK = f"""{_V}, g AS (SELECT worker, max(CASE state WHEN 'OPEN' THEN 3 WHEN 'HALF_OPEN' THEN 2 ELSE 1 END) AS r, count(*) AS requests, count(*) FILTER (ok) AS successes, count(*) FILTER (status = 500) AS blocked
@@ -232,7 +232,7 @@ SELECT event_id, CASE WHEN event_id % 2 = 0 THEN CASE WHEN worker IN (SELECT wor
 c AS (SELECT s.tier, n_in / 1000 * CAST(p_in AS DOUBLE) + n_out / 1000 * CAST(p_out AS DOUBLE) AS cost, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rn FROM s JOIN p ON s.tier = p.tier)
 SELECT tier, round(sum(CASE WHEN rn <= 4 THEN cost END), 6) AS recent_cost, round(sum(cost), 6) AS total_cost, count(*) AS n, round(sum(cost) / greatest(count(*), 1), 6) AS mean_cost FROM c GROUP BY tier""",
     "recent_costs": f"""{_REQ}, p AS (SELECT * FROM (VALUES ('high', 0.00125, 0.01), ('medium', 0.0003, 0.0025), ('low', 0.0001, 0.0004)) v(tier, p_in, p_out)),
-c AS (SELECT s.tier, coalesce(role, 'unknown') AS role, n_in / 1000 * CAST(p_in AS DOUBLE) + n_out / 1000 * CAST(p_out AS DOUBLE) AS cost, row_number() OVER (ORDER BY conv_id DESC, turn DESC, role) <= 1000 AS late FROM s JOIN p ON s.tier = p.tier),
+c AS (SELECT s.tier, coalesce(s.role, 'unknown') AS role, n_in / 1000 * CAST(p_in AS DOUBLE) + n_out / 1000 * CAST(p_out AS DOUBLE) AS cost, row_number() OVER (ORDER BY conv_id DESC, turn DESC, s.role) <= 1000 AS late FROM s JOIN p ON s.tier = p.tier),
 k AS (SELECT 'model' AS kind, tier AS name, cost, late FROM c UNION ALL SELECT 'task', role, cost, late FROM c)
 SELECT kind, name, round(coalesce(sum(cost) FILTER (late), 0.0), 6) AS recent_cost, count(*) FILTER (late) AS recent, round(sum(cost), 6) AS total_cost, count(*) AS total FROM k GROUP BY 1, 2""",
     "throughput": f"""{_V}, g AS (SELECT event_type, count(*) AS n, count(*) FILTER (ok) AS k, (max(epoch_us(ts)) - min(epoch_us(ts))) / 60000000 AS m FROM visits GROUP BY event_type)
