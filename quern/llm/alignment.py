@@ -8,8 +8,8 @@ A text falls into units at single spaces between other characters, where both
 tokenizers always cut: the first one's pattern gives such a space to the word
 that follows, and no piece of the second has a space after another character
 (checked when the vocabulary is loaded; otherwise a text is one unit).  A unit
-is encoded once and looked up afterwards, in tables bounded by `MOST_UNITS`;
-texts are aligned a slice at a time.
+is encoded and aligned once, together with other new ones, and looked up afterwards,
+in tables bounded by `MOST_UNITS`.
 
 The number of documents of an id pair is counted over the whole corpus.  The most
 frequent pairs, at most `HOT_PAIRS`, are broadcast; all others meet their counts
@@ -74,16 +74,14 @@ def slice_links(ends_a: np.ndarray, ends_b: np.ndarray, cuts_a: np.ndarray, cuts
     return np.searchsorted(ends_a, ends), np.searchsorted(ends_b, ends)
 
 
-class Ids:
-    """Token ids of units, one after another, as they are learnt."""
+class Lists:
+    """Lists of numbers of units, one after another, as they are learnt."""
 
     def __init__(self) -> None:
-        self.counts, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.counts, self.flat = np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
-    def add(self, ids: list[list[int]]) -> None:
-        counts = np.array([len(x) for x in ids], np.int64)
-        self.counts = np.concatenate((self.counts, counts))
-        self.flat = np.concatenate((self.flat, np.fromiter(chain.from_iterable(ids), np.int64, int(counts.sum()))))
+    def add(self, counts: np.ndarray, flat: np.ndarray) -> None:
+        self.counts, self.flat = np.concatenate((self.counts, counts)), np.concatenate((self.flat, flat))
 
     def keep(self, at: np.ndarray) -> None:
         self.flat, self.counts = self.of(at)
@@ -93,7 +91,7 @@ class Ids:
         self.flat = self.flat[: int(self.counts.sum())]
 
     def of(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of the units at these places, in order, and how many each has."""
+        """The lists of the units at these places, in order, and how long each is."""
         starts = np.cumsum(self.counts) - self.counts
         counts = self.counts[at]
         ends = np.cumsum(counts)
@@ -122,18 +120,19 @@ class Pair:
         # Ids as they stand in the groups' text: inside a side, and at its end.
         self.said = [f"{i}{end}" for table, last in ((self.bytes_a, "|"), (self.bytes_b, ";")) for i in range(len(table)) for end in (",", last)]
         self.at: dict[str, int] = {}
-        self.a, self.b = Ids(), Ids()
-        self.given_back, self.used = np.zeros(0, bool), np.zeros(0, np.int64)
+        self.links, self.groups = Lists(), []
+        #: Tokens of both and groups of each unit, -1 groups where a tokenizer does not give it back.
+        self.numbers, self.used = np.zeros((0, 3), np.int64), np.zeros(0, np.int64)
 
     def _forget(self) -> None:
         """Keeps the better half of the units by use, of those met more than once."""
         often = np.argsort(-self.used, kind="stable")[: MOST_UNITS // 2]
         keep = np.sort(often[self.used[often] > 1])
-        units = list(self.at)
-        self.at = {units[i]: k for k, i in enumerate(keep.tolist())}
-        self.a.keep(keep)
-        self.b.keep(keep)
-        self.given_back, self.used = self.given_back[keep], self.used[keep]
+        units, places = list(self.at), keep.tolist()
+        self.at = {units[i]: k for k, i in enumerate(places)}
+        self.groups = [self.groups[i] for i in places]
+        self.links.keep(keep)
+        self.numbers, self.used = self.numbers[keep], self.used[keep]
 
     def units(self, text: str) -> list[str]:
         """The units of space and text, each without the space that it begins with."""
@@ -149,10 +148,23 @@ class Pair:
             b = self.second.encode(some, num_threads=1)
             raw = [u.encode("utf-8", "surrogatepass") for u in whole]
             back = self._back(a, self.bytes_a, raw) & self._back(b, self.bytes_b, raw)
-            self.at.update(zip(some, range(len(self.given_back), len(self.given_back) + len(some)), strict=True))
-            self.a.add(a)
-            self.b.add(b)
-            self.given_back, self.used = np.concatenate((self.given_back, back)), np.concatenate((self.used, np.zeros(len(some), np.int64)))
+            self.at.update(zip(some, range(len(self.groups), len(self.groups) + len(some)), strict=True))
+            self._align([x if ok else [] for x, ok in zip(a, back.tolist(), strict=True)], [x if ok else [] for x, ok in zip(b, back.tolist(), strict=True)], back)
+
+    def _align(self, a: list[list[int]], b: list[list[int]], back: np.ndarray) -> None:
+        """Appends the groups and links of units, whose bytes lie one after another."""
+        n = len(a)
+        count_a, count_b = np.array([len(x) for x in a], np.int64), np.array([len(x) for x in b], np.int64)
+        ids_a, ids_b = (np.fromiter(chain.from_iterable(x), np.int64, int(c.sum())) for x, c in ((a, count_a), (b, count_b)))
+        unit = np.repeat(np.arange(n), count_a)
+        ends_a, ends_b = np.cumsum(self.sizes[0][ids_a]), np.cumsum(self.sizes[1][ids_b])
+        cuts_a, cuts_b = (np.array(c, np.int64) for c in common_ends(ends_a.tolist(), ends_b.tolist()))
+        i, j = slice_links(ends_a, ends_b, cuts_a, cuts_b)
+        cut = np.bincount(unit[cuts_a], minlength=n)
+        self.groups += self._say(ids_a, ids_b, cuts_a, cuts_b, np.cumsum(count_a + count_b))
+        self.links.add(np.bincount(unit[i], minlength=n), (ids_a[i] << 16 | ids_b[j]).astype(np.uint32))
+        self.numbers = np.concatenate((self.numbers, np.stack((count_a, count_b, np.where(back, cut, -1)), 1)))
+        self.used = np.concatenate((self.used, np.zeros(n, np.int64)))
 
     @staticmethod
     def _back(ids: list[list[int]], table: list[bytes], raw: list[bytes]) -> np.ndarray:
@@ -178,47 +190,35 @@ class Pair:
     def _documents(self, texts: list[str | None]) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray]:
         n = len(texts)
         cut = [self.units(t or "") for t in texts]
-        if len(self.given_back) > MOST_UNITS:
+        if len(self.groups) > MOST_UNITS:
             self._forget()
         seen = self.at
         new = {u: None for row in cut for u in row if u not in seen}
         # Long units come last and go again, so they are never kept.
         self._learn([u for u in new if len(u) <= MOST_KEPT_CHARS])
-        kept, long = len(self.given_back), [u for u in new if len(u) > MOST_KEPT_CHARS]
+        kept, long = len(self.groups), [u for u in new if len(u) > MOST_KEPT_CHARS]
         self._learn(long)
         sizes = np.array([len(row) for row in cut], np.int64)
-        at = np.array(list(map(seen.__getitem__, chain.from_iterable(cut))), np.int64)
+        places = list(map(seen.__getitem__, chain.from_iterable(cut)))
+        at, of = np.array(places, np.int64), np.repeat(np.arange(n), sizes)
         self.used += np.bincount(at, minlength=len(self.used))
-        of = np.repeat(np.arange(n), sizes)
         lost = np.zeros(n, bool)
-        lost[of[~self.given_back[at]]] = True
+        lost[of[self.numbers[at, 2] < 0]] = True
+        ends = np.cumsum(sizes).tolist()
+        said = ["" if gone else ";".join(map(self.groups.__getitem__, places[lo:hi])) for gone, lo, hi in zip(lost.tolist(), [0, *ends[:-1]], ends, strict=True)]
         keep = ~lost[of]
         at, of = at[keep], of[keep]
-        (ids_a, count_a), (ids_b, count_b) = self.a.of(at), self.b.of(at)
+        pairs, counts = self.links.of(at)
+        numbers = np.stack([np.bincount(of, w, n).astype(np.int64) for w in (*self.numbers[at].T, counts)], 1)
         for u in long:
             del seen[u]
-        self.a.cut(kept)
-        self.b.cut(kept)
-        self.given_back, self.used = self.given_back[:kept], self.used[:kept]
-
-        row_a, row_b = np.repeat(of, count_a), np.repeat(of, count_b)
-        ends_a, ends_b = np.cumsum(self.sizes[0][ids_a]), np.cumsum(self.sizes[1][ids_b])
-        # Two dictionaries a text.
-        list_a, list_b, cuts_a, cuts_b = ends_a.tolist(), ends_b.tolist(), [], []
-        bound_a, bound_b = (np.searchsorted(r, np.arange(n + 1)).tolist() for r in (row_a, row_b))
-        for k in range(n):
-            (p, q), (r, s) = bound_a[k : k + 2], bound_b[k : k + 2]
-            x, y = common_ends(list_a[p:q], list_b[r:s], p, r)
-            cuts_a += x
-            cuts_b += y
-        cuts_a, cuts_b = np.array(cuts_a, np.int64), np.array(cuts_b, np.int64)
-        i, j = slice_links(ends_a, ends_b, cuts_a, cuts_b)
-        pairs = (ids_a[i] << 16 | ids_b[j]).astype(np.uint32)
-        numbers = np.stack([np.bincount(r, minlength=n) for r in (row_a, row_b, row_a[cuts_a], row_a[i])], 1)
-        return numbers, self._said(ids_a, ids_b, cuts_a, cuts_b, numbers), row_a[i], pairs
+        del self.groups[kept:]
+        self.links.cut(kept)
+        self.numbers, self.used = self.numbers[:kept], self.used[:kept]
+        return numbers, said, np.repeat(of, counts), pairs
 
-    def _said(self, ids_a: np.ndarray, ids_b: np.ndarray, cuts_a: np.ndarray, cuts_b: np.ndarray, numbers: np.ndarray) -> list[str]:
-        """Each text's groups: a group's first ids, then its second ones."""
+    def _say(self, ids_a: np.ndarray, ids_b: np.ndarray, cuts_a: np.ndarray, cuts_b: np.ndarray, ends: np.ndarray) -> list[str]:
+        """Each unit's groups, up to its end in tokens of both: a group's first ids, then its second ones."""
         codes = np.empty(len(ids_a) + len(ids_b), np.int64)
         for side, ids, cuts, others, shift in ((0, ids_a, cuts_a, cuts_b, 1), (1, ids_b, cuts_b, cuts_a, 0)):
             last = np.zeros(len(ids), np.int64)
@@ -227,8 +227,7 @@ class Pair:
             # Of the other side all earlier groups stand before; before second ids also their own group's first ones.
             before = np.concatenate(([0], others + 1))[group + 1 - shift]
             codes[np.arange(len(ids)) + before] = 2 * (ids + side * len(self.bytes_a)) + last
-        said = list(map(self.said.__getitem__, codes.tolist()))
-        ends = np.cumsum(numbers[:, 0] + numbers[:, 1]).tolist()
+        said, ends = list(map(self.said.__getitem__, codes.tolist())), ends.tolist()
         return ["".join(said[lo:hi])[:-1] for lo, hi in zip([0, *ends[:-1]], ends, strict=True)]
 
 

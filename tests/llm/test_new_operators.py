@@ -121,7 +121,7 @@ def test_units_are_forgotten_when_there_are_many(monkeypatch):
     texts = ["one two three", "four five six seven " + "y" * 900, "one two three"]
     first = [pair.documents([t])[1][0] for t in texts]
     assert first == pair.documents(texts)[1] and first[0] == first[2]
-    assert all(len(u) <= alignment.MOST_KEPT_CHARS for u in pair.at) and len(pair.at) == len(pair.given_back) == len(pair.a.counts)
+    assert all(len(u) <= alignment.MOST_KEPT_CHARS for u in pair.at) and len(pair.at) == len(pair.groups) == len(pair.links.counts)
 
 
 # 12 minhash
