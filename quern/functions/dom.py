@@ -49,9 +49,13 @@ def _span(value: str | None) -> int:
 
 
 class Reader:
-    """One page's nodes as [tag, attributes, text, size, row, column, rows]; tag is empty for text and '#raw' for scripts."""
+    """One page's nodes as [tag, attributes, text, size, row, column, rows]; tag is empty for text and '#raw' for scripts.
 
-    def __init__(self) -> None:
+    unescape turns the references of texts into letters; those of attributes are read as browsers do.
+    """
+
+    def __init__(self, unescape: Callable[[str], str] = html.unescape) -> None:
+        self.unescape = unescape
         self.nodes: list[list] = []
         self.open: list[int] = []
         self.counts: dict[str, int] = {}
@@ -163,9 +167,9 @@ class Reader:
     def say(self, text: str) -> None:
         """Text goes on where only comments lie between."""
         if self.saying:
-            self.nodes[-1][2] += html.unescape(text)
+            self.nodes[-1][2] += self.unescape(text)
         else:
-            self.nodes.append(["", {}, html.unescape(text), 0, None, None, None])
+            self.nodes.append(["", {}, self.unescape(text), 0, None, None, None])
             self.saying = True
 
 
@@ -184,7 +188,7 @@ def _as_array(pages: list[list[list]]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, pages)]), pa.int32()), nodes)
 
 
-def with_nodes(df: DataFrame, html_col: str = "html", into: str = "nodes", at_once: int = 64) -> DataFrame:
+def with_nodes(df: DataFrame, html_col: str = "html", into: str = "nodes", at_once: int = 64, unescape: Callable[[str], str] = html.unescape) -> DataFrame:
     """The rows with their page's nodes in place of the page."""
     shown = [c for c in df.columns if c != html_col]
     shape = T.StructType([*[df.schema[c] for c in shown], T.StructField(into, NODES)])
@@ -193,7 +197,7 @@ def with_nodes(df: DataFrame, html_col: str = "html", into: str = "nodes", at_on
         for whole in batches:
             for k in range(0, whole.num_rows, at_once):
                 b = whole.slice(k, at_once)
-                nodes = _as_array([Reader().read(p or "") for p in b.column(b.num_columns - 1).to_pylist()])
+                nodes = _as_array([Reader(unescape).read(p or "") for p in b.column(b.num_columns - 1).to_pylist()])
                 yield pa.RecordBatch.from_arrays([*b.columns[:-1], nodes], names=[*shown, into])
 
     return df.select(*shown, html_col).mapInArrow(run, shape)

@@ -201,6 +201,13 @@ def unescape(c: Column) -> Column:
     return c
 
 
+def unescape_text(text: str) -> str:
+    """`unescape` for a text in Python: only references that end in a semicolon count."""
+    for entity, letter in ENTITIES:
+        text = text.replace(entity, letter)
+    return text
+
+
 def html_text(html: Column) -> Column:
     """Text of a page: scripts, styles and tags become spaces, white space is squeezed."""
     bare = F.regexp_replace(html, "(?is)<(script|style)[^>]*>.*?</(script|style)>", " ")

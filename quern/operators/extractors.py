@@ -11,6 +11,7 @@ PDFs are not part of this.
 
 from __future__ import annotations
 
+import html
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
@@ -301,8 +302,8 @@ def chain(order: Column, nodes: Column, base: Column, terms: ListingTerms = List
     return F.aggregate(order, none, step)
 
 
-def extracted(pages: DataFrame, order: Column, keys: Sequence[str] = ("page_id",), url_col: str = "url", html_col: str = "html", terms: ListingTerms = ListingTerms()) -> DataFrame:
+def extracted(pages: DataFrame, order: Column, keys: Sequence[str] = ("page_id",), url_col: str = "url", html_col: str = "html", terms: ListingTerms = ListingTerms(), unescape: Callable[[str], str] = html.unescape) -> DataFrame:
     """(keys, source, pos, row fields): each page read once, by the first extractor of its order that gives rows."""
-    read = D.with_nodes(pages.select(*keys, F.col(url_col).alias("_url"), order.alias("_order"), F.col(html_col).alias("_html")), "_html", "_nodes")
+    read = D.with_nodes(pages.select(*keys, F.col(url_col).alias("_url"), order.alias("_order"), F.col(html_col).alias("_html")), "_html", "_nodes", unescape=unescape)
     got = read.select(*keys, chain(F.col("_order"), F.col("_nodes"), F.col("_url"), terms).alias("_got"))
     return got.select(*keys, F.col("_got.source").alias("source"), F.posexplode("_got.rows").alias("pos", "_row")).select(*keys, "source", "pos", "_row.*")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import duckdb
 from pyspark.sql import functions as F
 
 from quern.functions import exprs as X
@@ -229,3 +230,12 @@ def test_links_take_published_terms_unless_told(spark):
 
 def test_page_text_leaves_scripts_out(spark):
     assert one(spark, X.html_text(F.col("h")), h="<p>a</p><SCRIPT>var t='</p>'</script><style>p{}</style> b") == "a b"
+
+
+def test_extracted_rows_read_references_as_their_sql(spark, tmp_path):
+    from quern.plans import pages
+
+    page = "<html><body><article><h1>The hand&amp;&amp &lt;i&gt; &eacute; &amp;lt;</h1><p>x</p></article></body></html>"
+    spark.createDataFrame([(1, "http://a.b/c", page)], "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    want = duckdb.sql(pages.SQL["extracted_rows"].replace("FROM pages", f"FROM '{tmp_path}/pages.parquet/*.parquet'")).fetchall()
+    assert [tuple(r) for r in pages.extracted_rows(spark, str(tmp_path)).collect()] == want and want[0][3] == "The hand&&amp <i> &eacute; &lt;"
