@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -143,12 +145,18 @@ def routing(spark: SparkSession, d: str) -> DataFrame:
 
 
 def cost_rollup(spark: SparkSession, d: str) -> DataFrame:
-    """Cost by tier over each conversation's last four requests, totals over all."""
-    price = spark.createDataFrame([("high", 0.00125, 0.01), ("medium", 0.0003, 0.0025), ("low", 0.0001, 0.0004)], "tier string, p_in double, p_out double")
-    r = _requests(spark, d).join(F.broadcast(price), "tier").withColumn("cost", F.col("n_in") / 1000 * F.col("p_in") + F.col("n_out") / 1000 * F.col("p_out"))
+    """Cost by tier over each conversation's last four requests, totals over all.
+
+    Prices are decimals, so sums are exact and do not depend on the order of rows.
+    """
+    price = spark.createDataFrame([("high", Decimal("0.00125"), Decimal("0.01")), ("medium", Decimal("0.0003"), Decimal("0.0025")), ("low", Decimal("0.0001"), Decimal("0.0004"))], "tier string, p_in decimal(9,5), p_out decimal(9,5)")
+    r = _requests(spark, d).join(F.broadcast(price), "tier").withColumn("per_1000", F.col("n_in") * F.col("p_in") + F.col("n_out") * F.col("p_out"))
     rn = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.col("turn").desc()))
     r = r.withColumn("rn", rn)
-    return r.groupBy("tier").agg(F.round(F.sum(F.when(F.col("rn") <= 4, F.col("cost"))), 6).alias("recent_cost"), F.round(F.sum("cost"), 6).alias("total_cost"), F.count("*").alias("n"), F.round(F.sum("cost") / F.greatest(F.count("*"), F.lit(1)), 6).alias("mean_cost"))
+    cost = lambda c: (F.sum(c) * F.lit(Decimal("0.001"))).cast("decimal(24,8)")
+    shown = lambda c: F.round(c, 6).cast("double")
+    g = r.groupBy("tier").agg(cost(F.when(F.col("rn") <= 4, F.col("per_1000"))).alias("recent"), cost("per_1000").alias("total"), F.count("*").alias("n"))
+    return g.select("tier", shown(F.col("recent")).alias("recent_cost"), shown(F.col("total")).alias("total_cost"), "n", shown(F.col("total") / F.col("n").cast("decimal(12,0)")).alias("mean_cost"))
 
 
 def recent_costs(spark: SparkSession, d: str, last: int = 1000) -> DataFrame:

@@ -232,6 +232,15 @@ def test_page_text_leaves_scripts_out(spark):
     assert one(spark, X.html_text(F.col("h")), h="<p>a</p><SCRIPT>var t='</p>'</script><style>p{}</style> b") == "a b"
 
 
+def test_costs_are_exact_sums(spark, tmp_path):
+    from quern.plans import series
+
+    # 0.0000225 in all, which a sum of doubles misses.
+    rows = [(k, 0, "user", "x" * n) for k, n in enumerate((41, 25, 43))]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").coalesce(1).write.parquet(str(tmp_path / "conversations.parquet"))
+    assert [tuple(r) for r in series.cost_rollup(spark, str(tmp_path)).collect()] == [("low", 0.000023, 0.000023, 3, 0.000008)]
+
+
 def test_extracted_rows_read_references_as_their_sql(spark, tmp_path):
     from quern.plans import pages
 
