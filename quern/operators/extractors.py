@@ -72,6 +72,10 @@ class ListingTerms:
     finder_names: Sequence[D.Test] = (_c("name"), _c("parish-name"), _t("h3"), _t("h4"), _c("title"), _t("span"))
     generic_items: Sequence[D.Test] = GENERIC_ITEMS
     generic_names: Sequence[str] = GENERIC_NAMES
+    generic_headings: Sequence[str] = ("h1", "h2", "h3", "h4", "h5")
+    #: Whether a generic element without a heading is named by its first line, and whether addresses and distances are cut off names.
+    generic_lines: bool = True
+    generic_split: bool = True
     listed: Sequence[tuple[D.Test | None, D.Test]] = LISTED
     named: Sequence[str] = NAMED
     controls: Sequence[str] = CONTROLS
@@ -119,6 +123,12 @@ def split_name(raw: Column) -> Column:
     return let(F.coalesce(plain, F.lit("")), parts)
 
 
+def whole_name(raw: Column) -> Column:
+    """The struct of `split_name` for a line that is all name."""
+    null = lambda kind: F.lit(None).cast(kind)
+    return F.struct(X.squeeze(F.regexp_replace(F.trim(raw), ",\\s*$", "")).alias("name"), *[null("string").alias(n) for n in ("street", "city", "state", "zip", "full")], null("double").alias("miles"))
+
+
 def _row(method: str, confidence: float, name: Column, s: Column, **more: Column) -> Column:
     """A row of a split name; more replaces its fields."""
     null = F.lit(None)
@@ -223,8 +233,10 @@ def generic_rows(nodes: Column, base: Column, terms: ListingTerms = ListingTerms
     """Elements by the first selector that gives rows: heading or first line, phone, first link to another site."""
 
     def one(item: Column) -> Column:
-        headings = [F.when(F.length(h) > 2, h) for h in (X.squeeze(D.text_of(D.first(D.inside(item), _t(f"h{k}")))) for k in range(1, 6))]
-        return let(D.text_of(item), lambda said: let(split_name(F.coalesce(*headings, F.try_element_at(_lines(said), F.lit(1)), F.lit(""))), lambda s: made(item, said, s)))
+        headings = [F.when(F.length(h) > 2, h) for h in (X.squeeze(D.text_of(D.first(D.inside(item), _t(tag)))) for tag in terms.generic_headings)]
+        lines = lambda said: [F.try_element_at(_lines(said), F.lit(1))] if terms.generic_lines else []
+        named = split_name if terms.generic_split else whole_name
+        return let(D.text_of(item), lambda said: let(named(F.coalesce(*headings, *lines(said), F.lit(""))), lambda s: made(item, said, s)))
 
     def made(item: Column, said: Column, s: Column) -> Column:
         links = F.transform(F.filter(item, lambda n: n["tag"] == "a"), lambda n: D.attr(n, "href"))

@@ -248,3 +248,14 @@ def test_extracted_rows_read_references_as_their_sql(spark, tmp_path):
     spark.createDataFrame([(1, "http://a.b/c", page)], "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
     want = duckdb.sql(pages.SQL["extracted_rows"].replace("FROM pages", f"FROM '{tmp_path}/pages.parquet/*.parquet'")).fetchall()
     assert [tuple(r) for r in pages.extracted_rows(spark, str(tmp_path)).collect()] == want and want[0][3] == "The hand&&amp <i> &eacute; &lt;"
+
+
+def test_extracted_rows_name_pages_by_the_whole_heading_as_their_sql(spark, tmp_path):
+    """Headings too short for a name, and headings that read like addresses or distances."""
+    from quern.plans import pages
+
+    heads = ["de", "a,", "the,", "Of 8233 theast 4036451696482", "The 12 Elm Street, York, NY 10001", "The and (2.5 Miles) of", "  the \t of , "]
+    rows = [(k, f"http://a.b/{k}", f"<html><body><article><h1>{h}</h1><p><b>{h} of<br><p>the 555-555-1234</p></article></body></html>") for k, h in enumerate(heads)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    want = duckdb.sql(pages.SQL["extracted_rows"].replace("FROM pages", f"FROM '{tmp_path}/pages.parquet/*.parquet'")).fetchall()
+    assert sorted(tuple(r) for r in pages.extracted_rows(spark, str(tmp_path)).collect()) == sorted(want) and sorted(r[0] for r in want) == [2, 3, 4, 5, 6]
